@@ -17,7 +17,9 @@ from pyspark.sql.window import Window as W
 
 from .common import durable
 
-LEVELS = (8, 32)
+LEVELS = (4, 16)
+#: The share of a block that may survive a level for its rows still to be picked one by one.
+FEW = 0.02
 #: Rows of a block of candidates and of queries, and of the candidates that give each query its first score to beat.
 CANDIDATES, QUERIES, SEEDS = 4096, 1024, 1024
 
@@ -35,7 +37,7 @@ def quantized(rows: DataFrame, id_col: str = "vec_id", vector: str = "embedding"
 def statistics(x: np.ndarray, segments: int) -> np.ndarray:
     """Features whose inner product bounds the vectors' from above: per segment sqrt(length) times mean and deviation."""
     edges = np.unique(np.linspace(0, x.shape[1], min(segments, x.shape[1]) + 1).astype(int))
-    length = np.diff(edges).astype(np.float64)
+    length = np.diff(edges).astype(x.dtype)
     mean = np.add.reduceat(x, edges[:-1], axis=1) / length
     square = np.add.reduceat(x * x, edges[:-1], axis=1) / length
     deviation = np.sqrt(np.maximum(square - mean * mean, 0.0))
@@ -43,32 +45,43 @@ def statistics(x: np.ndarray, segments: int) -> np.ndarray:
 
 
 def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Integer inner products of all rows of a with all rows of b; through doubles where these can't round."""
-    if float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1] < 2**53:
-        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
+    """Integer inner products of all rows of a with all rows of b; through floating point where it can't round."""
+    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
+    for kind, bits in ((np.float32, 24), (np.float64, 53)):
+        if most < 2**bits:
+            return (a.astype(kind) @ b.astype(kind).T).astype(np.int64)
     return np.array(a.astype(object) @ b.astype(object).T, dtype=np.int64)
 
 
 def block_top(q_row, q, floor, c_row, c_id, c, k):
     """(query index, candidate index, score) of each query's best k in a block that reach its floor; ties to smaller ids."""
-    qf, cf = q.astype(np.float64), c.astype(np.float64)
-    slack = 0.5 + 1e-9 * np.outer(np.linalg.norm(qf, axis=1), np.linalg.norm(cf, axis=1)).max(initial=0.0)
-    upper = statistics(qf, LEVELS[0]) @ statistics(cf, LEVELS[0]).T
-    own = q_row[:, None] == c_row[None, :]
-    upper[own] = -np.inf
-    alive_q, alive_c = np.nonzero(upper + slack >= floor[:, None])
-    for segments in LEVELS[1:]:
-        if segments >= q.shape[1]:
+    qf, cf = q.astype(np.float32), c.astype(np.float32)
+    # Single precision is enough for bounds: the slack covers its rounding.
+    slack = 0.5 + 1e-5 * float(np.linalg.norm(qf, axis=1).max(initial=0.0)) * float(np.linalg.norm(cf, axis=1).max(initial=0.0))
+    least = (floor - slack).astype(np.float32)
+    alive = q_row[:, None] != c_row[None, :]
+    picked = None
+    for segments in LEVELS:
+        if segments > max(1, q.shape[1] // 2):
             break
         sq, sc = statistics(qf, segments), statistics(cf, segments)
-        keep = np.concatenate([np.einsum("ij,ij->i", sq[alive_q[i : i + 65536]], sc[alive_c[i : i + 65536]]) + slack >= floor[alive_q[i : i + 65536]] for i in range(0, len(alive_q), 65536)] or [np.zeros(0, bool)])
-        alive_q, alive_c = alive_q[keep], alive_c[keep]
-    if len(alive_q) > 0.05 * len(q) * len(c):  # so many survivors that one product is cheaper than picking rows
-        score = exact(q, c)[alive_q, alive_c]
+        if picked is None:
+            alive &= sq @ sc.T >= least[:, None]
+            if np.count_nonzero(alive) <= FEW * alive.size:
+                picked = np.nonzero(alive)
+        else:
+            kept = np.einsum("ij,ij->i", sq[picked[0]], sc[picked[1]]) >= least[picked[0]]
+            picked = picked[0][kept], picked[1][kept]
+    if picked is None:  # so many survivors that one product is cheaper than picking rows
+        every = exact(q, c)
+        alive &= every >= floor[:, None]
+        alive_q, alive_c = np.nonzero(alive)
+        score = every[alive_q, alive_c]
     else:
-        score = np.concatenate([np.einsum("ij,ij->i", q[alive_q[i : i + 65536]], c[alive_c[i : i + 65536]]) for i in range(0, len(alive_q), 65536)] or [np.zeros(0, np.int64)])
-    keep = score >= floor[alive_q]
-    alive_q, alive_c, score = alive_q[keep], alive_c[keep], score[keep]
+        alive_q, alive_c = picked
+        score = np.einsum("ij,ij->i", q[alive_q], c[alive_c])
+        keep = score >= floor[alive_q]
+        alive_q, alive_c, score = alive_q[keep], alive_c[keep], score[keep]
     order = np.lexsort((c_row[alive_c], c_id[alive_c], -score, alive_q))
     alive_q, alive_c, score = alive_q[order], alive_c[order], score[order]
     nth = np.arange(len(alive_q)) - np.searchsorted(alive_q, alive_q, "left")
