@@ -35,6 +35,12 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def compact(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """A durable table of narrow rows in as many partitions as it needs, so that small ones don't cost a task and a file per shuffle partition."""
+    done = durable(df)
+    return done.coalesce(max(1, -(-done.count() // rows)))
+
+
 class KeyFilter:
     """A Bloom filter over 64-bit keys of fixed size, so its broadcast has a bound whatever the data.
 

@@ -5,7 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import compact
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node has one edge to a smaller node or edges from larger ones only: then the smaller ends are the components."""
+    ends = edges.select("u", F.lit(1).alias("out")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("out")))
+    roles = ends.groupBy("u").agg(F.sum("out").alias("n"), F.min("out").alias("low"))
+    return roles.filter("n > 1 or (n = 1 and low = 0)").isEmpty()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -15,19 +22,16 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     smaller neighbours on the smallest node it knows, until nothing changes. Steps are grouped minima and joins,
     so a node with very many neighbours is combined before the shuffle and split by adaptive joins after it.
     """
-    edges = durable(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    seen = None
+    edges = compact(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     for _ in range(max_rounds):
+        if _are_stars(edges):
+            break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        edges = durable(small.select("e.u", "e.v").filter("u <> v").distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen:
-            break
-        seen = now
+        edges = compact(small.select("e.u", "e.v").filter("u <> v").distinct())
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp"))).distinct()
