@@ -11,7 +11,7 @@ LAYERS = ("summary", "stable", "episodic")
 def whole_days(since: Column, as_of: Column) -> Column:
     """Full 24-hour days, at least 0; null if since is null."""
     micros = F.unix_micros(as_of) - F.unix_micros(since)
-    return F.greatest(F.floor(micros / F.lit(86_400_000_000)), F.lit(0)).cast("int")
+    return F.when(micros.isNotNull(), F.greatest(F.floor(micros / F.lit(86_400_000_000)), F.lit(0)).cast("int"))
 
 
 def parse_time(text: Column) -> Column:

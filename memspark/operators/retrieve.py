@@ -9,6 +9,7 @@ from pyspark.sql.window import Window as W
 from ..functions import memory as m
 from ..functions import text as t
 from ..functions.policy import ScorePolicy
+from ..sources.durable import durable
 
 SCOPE = ["chat_id", "character_id"]
 
@@ -204,8 +205,9 @@ def _of_layer(entries: Column, layer: str) -> Column:
 def retrieve(requests: DataFrame, memories: DataFrame, as_of: Column, p: ScorePolicy | None = None, lemmas: dict[str, str] | None = None, prune: bool = True) -> DataFrame:
     """One row per request and scored candidate: the parts of its score, selected, rank, filtered_by_diversity, reason."""
     p = p or ScorePolicy()
-    scored = score(query_features(requests, p, lemmas), memory_features(memories), as_of, p, prune)
-    chosen = select_layered(scored, p)
+    # Scores are read by the selection and by the result, so they are written once.
+    scored = durable(score(query_features(requests, p, lemmas), memory_features(memories), as_of, p, prune))
+    chosen = durable(select_layered(scored, p))
     ranks = chosen.select("request_id", F.posexplode("selected").alias("i", "s")).select("request_id", F.col("s.id").alias("id"), (F.col("i") + 1).alias("rank"))
     dropped = chosen.select("request_id", F.explode("filtered_ids").alias("id"), F.lit(True).alias("filtered_by_diversity"))
     out = scored.join(ranks, ["request_id", "id"], "left").join(dropped, ["request_id", "id"], "left")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import memory as m
 from ..functions import text as t
 from ..functions.policy import GatePolicy, MergePolicy
+from ..sources.durable import durable
 from ..sources.memories import COLUMNS, create, metadata
 from .duplicates import exact_matches, soft_matches
 from .extract import quality_gate
@@ -78,7 +79,7 @@ def merge(memories: DataFrame, hits: DataFrame, as_of, p: MergePolicy | None = N
 
 def store(memories: DataFrame, candidates: DataFrame, as_of, gate: GatePolicy | None = None, merge_policy: MergePolicy | None = None) -> tuple[DataFrame, DataFrame]:
     """(snapshot after the batch, decisions). See decide() for the batch rule."""
-    decided = decide(memories, candidates, gate, merge_policy)
+    decided = durable(decide(memories, candidates, gate, merge_policy))
     made = create(decided.filter("decision = 'stored'"), as_of)
     every = memories.select(*COLUMNS).unionByName(made)
     return merge(every, decided.filter("decision = 'updated'"), as_of, merge_policy), decided

@@ -75,7 +75,7 @@ def joined(x: str) -> str:
 
 
 def days(ts: str) -> str:
-    return f"greatest(floor((epoch_us(TIMESTAMP '{AS_OF}') - epoch_us({ts})) / 86400000000), 0)::INTEGER"
+    return f"CASE WHEN {ts} IS NOT NULL THEN greatest(floor((epoch_us(TIMESTAMP '{AS_OF}') - epoch_us({ts})) / 86400000000), 0)::INTEGER END"
 
 
 def truncated(c: str, limit: int) -> str:

@@ -129,7 +129,7 @@ def message_lines(rows: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def parse_list(col: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(col, F.lit("")), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(col, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def blank_to_null(col: Column) -> Column:
