@@ -79,11 +79,17 @@ class SequentialStore(StatefulProcessor):
         pass
 
 
+def _stateful(df: DataFrame) -> DataFrame:
+    """df, in a session whose state store coordinator runs: a batch query doesn't start it, asking for the streams does."""
+    _ = df.sparkSession.streams.active
+    return df
+
+
 def store_stream(candidates: DataFrame, gate: GatePolicy | None = None, merge: MergePolicy | None = None) -> DataFrame:
     """Decisions on a stream (or table) of candidates (id, scope, type, content, normalized_content, source, importance, metadata, seq) that pass the gate, in the order of seq within a batch."""
     rows = quality_gate(candidates, gate).filter("gate_ok").withColumns({"entities": F.col("metadata.entities"), "keywords": F.col("metadata.keywords")})
     rows = rows.select(*SCOPE, "id", "type", "content", "normalized_content", "importance", "entities", "keywords", "seq")
-    return rows.groupBy(*SCOPE).transformWithStateInPandas(statefulProcessor=SequentialStore(merge or MergePolicy()), outputStructType=DECISIONS, outputMode="append", timeMode="none")
+    return _stateful(rows).groupBy(*SCOPE).transformWithStateInPandas(statefulProcessor=SequentialStore(merge or MergePolicy()), outputStructType=DECISIONS, outputMode="append", timeMode="none")
 
 
 def usage_stream(log: DataFrame) -> DataFrame:
@@ -125,7 +131,7 @@ class RecentContext(StatefulProcessor):
 def recent_context_stream(messages: DataFrame, n: int = 8) -> DataFrame:
     """chat_id, msg_idx, recent of a stream of messages (chat_id, msg_idx, text)."""
     rows = messages.select("chat_id", "msg_idx", "text")
-    return rows.groupBy("chat_id").transformWithStateInPandas(statefulProcessor=RecentContext(n), outputStructType="chat_id string, msg_idx int, recent array<string>", outputMode="append", timeMode="none")
+    return _stateful(rows).groupBy("chat_id").transformWithStateInPandas(statefulProcessor=RecentContext(n), outputStructType="chat_id string, msg_idx int, recent array<string>", outputMode="append", timeMode="none")
 
 
 def summary_batches(read: Callable[[], DataFrame], write: Callable[[DataFrame], None], as_of: Callable[[], Column]) -> Callable[[DataFrame, int], None]:
