@@ -2,12 +2,39 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import compact
 
 
+#: Edges that a task contracts at once.
+ROWS = 200_000
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The partition's edges as stars: each node with the smallest one of its component."""
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        root = x
+        while (up := parent.setdefault(root, root)) != root:
+            root = up
+        while parent[x] != root:
+            parent[x], x = root, parent[x]
+        return root
+
+    for batch in batches:
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
+            low, high = sorted((top(u), top(v)))
+            parent[high] = low
+    stars = [(x, top(x)) for x in parent if top(x) != x]
+    yield pa.record_batch([pa.array([x for x, _ in stars], pa.int64()), pa.array([y for _, y in stars], pa.int64())], ["u", "v"])
+
+
 def _are_stars(edges: DataFrame) -> bool:
     """Whether every node has one edge to a smaller node or edges from larger ones only: then the smaller ends are the components."""
     ends = edges.select("u", F.lit(1).alias("out")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("out")))
@@ -18,11 +45,13 @@ def _are_stars(edges: DataFrame) -> bool:
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """node, comp (the smallest node that can be reached) for every node of edges (u, v).
 
-    Alternates large-star and small-star steps (Kiveris et al., SoCC 2014): each node hangs its larger, then its
+    Edges are first contracted within partitions of bounded size, each to stars around its components' smallest nodes.
+    What is left is joined up between partitions: it alternates large-star and small-star steps (Kiveris et al., SoCC 2014): each node hangs its larger, then its
     smaller neighbours on the smallest node it knows, until nothing changes. Steps are grouped minima and joins,
     so a node with very many neighbours is combined before the shuffle and split by adaptive joins after it.
     """
-    edges = compact(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    edges = compact(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), ROWS)
+    edges = compact(edges.mapInArrow(_contract, "u long, v long"), ROWS)
     for _ in range(max_rounds):
         if _are_stars(edges):
             break
@@ -31,7 +60,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        edges = compact(small.select("e.u", "e.v").filter("u <> v").distinct())
+        edges = compact(small.select("e.u", "e.v").filter("u <> v").distinct(), ROWS)
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp"))).distinct()
