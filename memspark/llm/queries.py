@@ -112,4 +112,37 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
-ORACLES: dict[str, str] = {"op3_chat_formatting": OP3_SQL, "op4_minhash_dedup": OP4_SQL, "op5_topk": OP5_SQL}
+
+
+def _starts(phrase: str) -> str:
+    words = phrase.split()
+    same = " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(words))
+    return f"[i - 1 for i in range(1, len(w) - {len(words)} + 2) if {same}]"
+
+
+def license_sql() -> str:
+    phrases = list(dict.fromkeys([*licenses.BASE, *(p for ps in licenses.TEMPLATES.values() for p in ps)]))
+    at = {p: f"s{i}" for i, p in enumerate(phrases)}
+    has = lambda p: f"len({at[p]}) > 0"
+    base = f"list_concat({', '.join(at[p] for p in licenses.BASE)})"
+    base_labels = [f"CASE WHEN {has(p)} THEN '{v}' END" for p, v in licenses.BASE.items()]
+    own_labels = [f"CASE WHEN {' AND '.join(map(has, ps))} THEN '{v}' END" for v, ps in licenses.TEMPLATES.items()]
+    joined = lambda xs: f"array_to_string(list_sort(list_distinct([x for x in [{', '.join(xs)}] if x IS NOT NULL])), ',')"
+    words = sorted({w for p in phrases for w in p.split()})
+    idf = "list_sum([m[x] for x in [{}]])"
+    weight = {p: f"({idf.format(', '.join(repr(w) for w in p.split()))} + 1e-9)" for p in phrases}
+    shares = [" + ".join(f"CASE WHEN {has(p)} THEN {weight[p]} ELSE 0 END" for p in ps) for ps in licenses.TEMPLATES.values()]
+    shares = [f"({s}) / ({' + '.join(weight[p] for p in ps)})" for s, ps in zip(shares, licenses.TEMPLATES.values(), strict=True)]
+    shares += [f"CASE WHEN {has(p)} THEN 1.0 ELSE 0.0 END" for p in licenses.BASE]
+    return rf"""
+WITH d AS (SELECT doc_id, [x for x in regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') if x <> ''] AS w FROM documents),
+v AS (SELECT unnest([{', '.join(repr(w) for w in words)}]) AS x),
+f AS (SELECT x, ln((1 + (SELECT count(*) FROM d)) / (1 + count(y))::DOUBLE) AS i FROM v LEFT JOIN (SELECT unnest(list_distinct(w)) AS y FROM d) ON x = y GROUP BY x),
+m AS (SELECT map_from_entries(list((x, i))) AS m FROM f),
+s AS (SELECT doc_id, w, {', '.join(f'{_starts(p)} AS {a}' for p, a in at.items())} FROM d)
+SELECT doc_id, len(w)::BIGINT AS n_words, len({base})::BIGINT AS n_base, list_min({base})::BIGINT AS first_word, list_max({base})::BIGINT AS last_word,
+  {joined(base_labels)} AS base_labels, {joined(base_labels + own_labels)} AS labels, round(least(greatest({', '.join(shares)}), 1.0), 6)::DOUBLE AS score FROM s, m
+"""
+
+
+ORACLES: dict[str, str] = {"op3_chat_formatting": OP3_SQL, "op4_minhash_dedup": OP4_SQL, "op5_topk": OP5_SQL, "op10_license_scan": license_sql()}
