@@ -238,3 +238,23 @@ ORACLES["apply_reviews"] = f"""WITH {MEM}, r AS (SELECT user_id || '-' || (event
   FROM events WHERE event_type IN ('view', 'purchase', 'signup')),
 f AS (SELECT id, arg_max(s, seq) FILTER (s IS NOT NULL) AS s, arg_max(rel, seq) FILTER (rel IS NOT NULL) AS rel, arg_max(note, seq) FILTER (note IS NOT NULL) AS note, count(*) AS n, bool_or(e = 'purchase') AS arc, max(ts) AS ts FROM r GROUP BY id)
 SELECT id, archived OR coalesce(arc, false) AS archived, s AS review_status, rel AS related_id, note, coalesce(n, 0)::INTEGER AS n_history, coalesce(ts, updated_at) AS updated_at FROM memories LEFT JOIN f USING (id)"""
+
+# A chat's first three turns are the store; later turns and repeats of the first two are candidates.
+STORE = f"""{MEM}, old AS (SELECT * FROM memories WHERE turn < 3),
+cand AS (SELECT id, chat_id, character_id, type, content, turn AS seq, keywords, entities FROM memories WHERE turn >= 3
+  UNION ALL SELECT id || '-again', chat_id, character_id, type, content || ' !!!', turn, keywords, entities FROM memories WHERE turn < 2),
+cleaned AS (SELECT *, regexp_replace(content, '^\\s+|\\s+$', '', 'g') AS c, {content_key('content')} AS norm FROM cand), simple AS (SELECT *, {similarity('c')} AS sim FROM cleaned),
+gated AS (SELECT *, CASE WHEN c = '' THEN 'empty_content' WHEN sim = '' THEN 'empty_after_normalization' WHEN list_contains({listed(policy.LOW_VALUE)}, sim) THEN 'low_value_pattern' WHEN length(c) < 12 THEN 'content_too_short'
+  WHEN len({words('sim')}) < 3 THEN 'too_few_words' WHEN len(keywords) >= 2 THEN 'ok' WHEN len(entities) >= 1 THEN 'ok' WHEN len({words('sim')}) >= 5 THEN 'ok' ELSE 'insufficient_retrieval_signal' END AS gate FROM simple),
+known AS (SELECT chat_id, character_id, norm, id, source = 'auto' AND NOT pinned AND NOT archived AS open FROM (SELECT *, normalized_content AS norm, row_number() OVER (PARTITION BY chat_id, character_id, normalized_content ORDER BY updated_at, id) AS nth FROM old) WHERE nth = 1),
+exact AS (SELECT g.*, k.id AS known_id, k.open FROM gated g LEFT JOIN known k ON gate = 'ok' AND g.chat_id = k.chat_id AND g.character_id = k.character_id AND g.norm = k.norm),
+led AS (SELECT *, CASE WHEN gate = 'ok' AND known_id IS NULL THEN first_value(id) OVER (PARTITION BY chat_id, character_id, norm, gate = 'ok' AND known_id IS NULL ORDER BY seq, id) END AS leader FROM exact),
+near AS (SELECT l.id, o.id AS soft_id, row_number() OVER (PARTITION BY l.id ORDER BY o.updated_at DESC, o.id DESC) AS nth FROM led l JOIN old o ON l.leader = l.id AND l.chat_id = o.chat_id AND l.character_id = o.character_id AND l.type = o.type AND o.source = 'auto' AND NOT o.pinned AND NOT o.archived
+  AND len(list_intersect(list_distinct([lower(x) for x in l.entities]), list_distinct([lower(x) for x in o.entities]))) >= 1 AND len(list_intersect(l.keywords, o.keywords)) >= 2),
+branched AS (SELECT l.*, soft_id, CASE WHEN gate <> 'ok' THEN 'quality_gate' WHEN known_id IS NOT NULL OR leader <> l.id THEN 'exact' WHEN soft_id IS NOT NULL THEN 'soft' ELSE 'new' END AS branch FROM led l LEFT JOIN (SELECT * FROM near WHERE nth = 1) s USING (id)),
+decided AS (SELECT id, chat_id, CASE WHEN branch = 'quality_gate' THEN 'skipped_low_value' WHEN known_id IS NOT NULL AND NOT open THEN 'skipped_exact_protected' WHEN branch = 'new' THEN 'stored' ELSE 'updated' END AS decision,
+  CASE WHEN branch = 'quality_gate' THEN gate WHEN known_id IS NOT NULL AND NOT open THEN 'exact_match_not_auto_updatable' WHEN branch = 'new' THEN 'new_memory_created' WHEN branch = 'soft' THEN 'soft_match_auto_updated' ELSE 'exact_match_auto_updated' END AS reason,
+  branch, coalesce(known_id, soft_id, CASE WHEN leader <> id THEN leader END) AS matched_id FROM branched)"""
+ORACLES["store_decisions"] = f"WITH {STORE} SELECT id, decision, reason, branch, matched_id FROM decided"
+ORACLES["store_counters"] = f"""WITH {STORE} SELECT 's-' || chat_id AS request_id, count(*) FILTER (decision = 'stored') AS stored, count(*) FILTER (decision = 'updated') AS updated, count(*) FILTER (decision LIKE 'skipped%') AS skipped FROM decided GROUP BY chat_id"""
+ORACLES["store_metrics"] = f"""WITH {STORE} SELECT 'decision' AS dimension, decision AS label, count(*) AS n FROM decided GROUP BY ALL UNION ALL SELECT 'reason', reason, count(*) FROM decided GROUP BY ALL UNION ALL SELECT 'branch', branch, count(*) FROM decided GROUP BY ALL"""
