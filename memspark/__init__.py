@@ -1 +1 @@
-"""Conversation-memory analytics on Spark (.)."""
+"""Conversation-memory analytics on Spark."""

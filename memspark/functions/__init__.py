@@ -1 +1 @@
-"""Conversation-memory analytics on Spark (functions)."""
+"""Column expressions and policies."""

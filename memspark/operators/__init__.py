@@ -1 +1 @@
-"""Conversation-memory analytics on Spark (operators)."""
+"""Operators over memories: extract, store, retrieve, format, summarise, report, change, evaluate."""

@@ -1 +1 @@
-"""Conversation-memory analytics on Spark (plans)."""
+"""Registered queries and their SQL."""

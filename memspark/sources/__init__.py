@@ -1 +1 @@
-"""Conversation-memory analytics on Spark (sources)."""
+"""Schemas, readers and writers."""

@@ -1 +1 @@
-"""Conversation-memory analytics on Spark (streaming)."""
+"""Streaming forms of the stateful operators."""
