@@ -24,6 +24,8 @@ HASH_BITS = 20
 #: Words per model, chosen by association with its label within the training rows.
 WORDS = 512
 FOLDS = 5
+#: Hashes that a task remembers; others are computed anew.
+CACHED_WORDS = 100_000
 L2 = 1.0
 #: Seed words of the weakly labelled categories, in the chain's order; a parameter.
 SEEDS: dict[str, tuple[str, ...]] = {
@@ -41,7 +43,7 @@ def word_hashes(text: str | None, cache: dict[str, int]) -> np.ndarray:
         h = cache.get(w)
         if h is None:
             h = xxhash.xxh32_intdigest(w) >> (32 - HASH_BITS)
-            if len(cache) < 1_000_000:
+            if len(cache) < CACHED_WORDS:
                 cache[w] = h
         out.add(h)
     return np.fromiter(out, dtype=np.int32, count=len(out))
