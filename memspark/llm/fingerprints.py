@@ -13,6 +13,8 @@ from .common import ascii_lower, durable
 BITS = 128
 RADIUS = 3
 BLOCKS = 5
+#: Near copies lie up to about 12 bits apart, unrelated texts beyond 40.
+COPY_RADIUS = 12
 #: What separates terms: ASCII other than letters and digits.
 TERM_BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -85,6 +87,50 @@ def search(queries: DataFrame, prints: DataFrame, radius: int = RADIUS, blocks:
     return found.groupBy(F.col("q_hi").alias("hi"), F.col("q_lo").alias("lo")).agg(F.sum("n").alias("n_near"))
 
 
+def block_values(hi: Column, lo: Column, blocks: int = BLOCKS) -> list[Column]:
+    """The fingerprint's bits from the highest down, cut into blocks, as longs; the first ones get the bits left over."""
+    out, at = [], 0
+    for width in _shares(BITS, blocks):
+        end = at + width
+        if end <= 64 or at >= 64:
+            value = F.shiftrightunsigned(hi if end <= 64 else lo, (64 if end <= 64 else 128) - end)
+        else:
+            value = F.shiftleft(hi, end - 64).bitwiseOR(F.shiftrightunsigned(lo, 128 - end))
+        out.append(value.bitwiseAND(F.lit((1 << width) - 1)))
+        at = end
+    return out
+
+
+def _shares(total: int, parts: int) -> list[int]:
+    return [total // parts + (k < total % parts) for k in range(parts)]
+
+
+def search_wide(queries: DataFrame, prints: DataFrame, radius: int = COPY_RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """As search(), for radii that leave no equal blocks: each block allows so many flips that some block of any pair within the radius has no more.
+
+    The allowed flips plus one sum to radius + 1 over the blocks, so exactly as many differing bits can't exceed them all. Only the queries'
+    blocks are flipped, the prints have one key a block. A pair is counted in the first block that proposes it.
+    """
+    spark = prints.sparkSession
+    flips = [n - 1 for n in _shares(radius + 1, blocks)]
+    masks = [(k, sum(1 << b for b in c)) for k, (width, most) in enumerate(zip(_shares(BITS, blocks), flips, strict=True)) for n in range(most + 1) for c in combinations(range(width), n)]
+    own, asked_for = block_values(F.col("hi"), F.col("lo"), blocks), block_values(F.col("q_hi"), F.col("q_lo"), blocks)
+    counted = prints.groupBy("hi", "lo").agg(F.count("*").alias("n"))
+    index = counted.select("hi", "lo", "n", F.posexplode(F.array(*own)).alias("block", "key"))
+    asked = queries.select(F.col("hi").alias("q_hi"), F.col("lo").alias("q_lo")).distinct()
+    asked = asked.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "q_hi", "q_lo")
+    masks = F.broadcast(spark.createDataFrame(masks, "block int, mask long"))
+    value = F.element_at(F.array(*asked_for), F.col("block") + 1)
+    asked = asked.crossJoin(masks).select("q_hi", "q_lo", "block", value.bitwiseXOR(F.col("mask")).alias("key"))
+    near = hamming((F.col("hi"), F.col("lo")), (F.col("q_hi"), F.col("q_lo"))) <= radius
+    proposes = [F.bit_count(a.bitwiseXOR(b)) <= most for a, b, most in zip(own, asked_for, flips, strict=True)]
+    first = F.lit(True)
+    for k, p in enumerate(proposes[:-1]):
+        first = first & ((F.col("block") <= k) | ~p)
+    found = asked.join(index, ["block", "key"]).filter(near).filter(first)
+    return found.groupBy(F.col("q_hi").alias("hi"), F.col("q_lo").alias("lo")).agg(F.sum("n").alias("n_near"))
+
+
 def with_next(docs: DataFrame, per_partition: int = 4) -> DataFrame:
     """doc_id, text, next_text, block, nth, tail: each document with the one after it in descending doc_id (after the last: the first).
 
@@ -111,10 +157,10 @@ def with_next(docs: DataFrame, per_partition: int = 4) -> DataFrame:
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_near for every row.
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_near, n_copies for every row.
 
     The edited text has its last third replaced by the start of the next document. n_near, for ids divisible by 100,
-    is the number of other rows within the Hamming radius. Null texts are empty; equal texts get equal fingerprints;
+    is the number of other rows within the Hamming radius of 3, n_copies that within the radius of near copies. Null texts are empty; equal texts get equal fingerprints;
     an empty table gives an empty result; other columns are ignored.
     """
     n = F.char_length("text").cast("long")
@@ -137,8 +183,11 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     )
     asked = F.col("doc_id") % 100 == 0
     near = search(done.filter(asked), done).withColumnRenamed("n_near", "n_all")
-    counted = done.filter(asked).join(near, ["hi", "lo"], "left").withColumn("n_near", F.col("n_all") - 1).drop("n_all")
-    rest = done.filter(~F.coalesce(asked, F.lit(False))).withColumn("n_near", F.lit(None).cast("long"))
+    copies = search_wide(done.filter(asked), done).withColumnRenamed("n_near", "n_wide")
+    counted = done.filter(asked).join(near, ["hi", "lo"], "left").join(copies, ["hi", "lo"], "left")
+    counted = counted.withColumn("n_near", F.col("n_all") - 1).withColumn("n_copies", F.col("n_wide") - 1).drop("n_all", "n_wide")
+    none = F.lit(None).cast("long")
+    rest = done.filter(~F.coalesce(asked, F.lit(False))).withColumn("n_near", none).withColumn("n_copies", none)
     return counted.unionByName(rest).select(
-        "doc_id", "n_chars", "edited_sha256", as_hex(F.col("hi"), F.col("lo")).alias("fingerprint"), as_hex(F.col("e_hi"), F.col("e_lo")).alias("edited_fingerprint"), "near_edited", "near_next", "n_near"
+        "doc_id", "n_chars", "edited_sha256", as_hex(F.col("hi"), F.col("lo")).alias("fingerprint"), as_hex(F.col("e_hi"), F.col("e_lo")).alias("edited_fingerprint"), "near_edited", "near_next", "n_near", "n_copies"
     )

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -65,6 +66,33 @@ def test_block_tables_find_every_pair_within_the_radius(spark):
     assert got == {p: sum((wide(p) ^ wide(q)).bit_count() <= 3 for q in prints) for p in prints}
 
 
+def test_wide_search_finds_every_pair_within_its_radius(spark):
+    rng = random.Random(3)
+    wide = []
+    for n in [0, 0, 1, 3, 4, *range(8, 16)] * 12:
+        x = 0x0123456789ABCDEFFEDCBA9876543210
+        for b in rng.sample(range(128), n):
+            x ^= 1 << b
+        wide.append(x)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    prints = [(signed(x >> 64), signed(x & (1 << 64) - 1)) for x in wide]
+    df = spark.createDataFrame(prints, "hi long, lo long")
+    got = {(r["hi"], r["lo"]): r["n_near"] for r in fingerprints.search_wide(df, df).collect()}
+    assert got == {p: sum((x ^ y).bit_count() <= 12 for y in wide) for p, x in zip(prints, wide, strict=True)}
+
+
+def test_near_copies_are_counted(spark, documents):
+    words = documents.filter("n_chars > 2000").orderBy("doc_id").first()["text"].split()
+    copies = [(i, " ".join([*words[: 20 * i], f"word{i}", *words[20 * i + 1 :]]), "en", "s", 1) for i in range(1, 9)]
+    docs = documents.filter("doc_id <> 100").unionByName(spark.createDataFrame([(100, " ".join(words), "en", "s", 1), *((1_000_000 + i, *r) for i, *r in copies)], documents.schema))
+    got = {r["doc_id"]: r for r in fingerprints.edited_fingerprints(docs).collect()}
+    distance = lambda a, b: (int(a, 16) ^ int(b, 16)).bit_count()
+    for r in got.values():
+        near = sum(distance(r["fingerprint"], x["fingerprint"]) <= 12 for x in got.values()) - 1
+        assert r["n_copies"] == (near if r["doc_id"] % 100 == 0 else None)
+    assert got[100]["n_copies"] >= 8
+
+
 def test_fingerprints_of_no_documents(no_docs):
     assert fingerprints.edited_fingerprints(no_docs).count() == 0
 
