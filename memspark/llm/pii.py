@@ -166,17 +166,87 @@ def secret(text: str, key: bytes) -> str | None:
     return permute_text(text, b"secret", key, (HEX,) if hexadecimal else (DIGITS, LOWER, UPPER))
 
 
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24,
+    "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28,
+    "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20,
+    "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25,
+    "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29,
+    "VA": 22, "VG": 24, "XK": 20,
+}
+#: Digits after the country code, where a country's numbers have a fixed length.
+PHONE_LENGTHS = {"1": 10, "7": 10, "30": 10, "33": 9, "34": 9, "41": 9, "45": 8, "47": 8, "48": 9, "91": 10, "351": 9, "380": 9, "420": 9}
+#: Groups in which cards are usually written; tried before other groupings, so a number beside a card is not taken for its part.
+CARD_GROUPS = {*((n,) for n in range(13, 20)), (4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 3, 3, 3), (4, 4, 4, 4, 3)}
+#: First digits of payment cards.
+ISSUER = re.compile("[3-6]|2[2-7]")
+
+
+def card_spans(m: re.Match) -> Iterator[tuple[int, int]]:
+    """Whole groups of a run of digits that make up 13 to 19 of them with a right check digit: usual groupings first, then from each start the longest first.
+
+    The longest windows one after the other may be grouped in any way. Others need an issuer's first digit and, but for the last, groups of 4 digits
+    or a usual grouping: one in ten windows has a right check digit, so nearly every list of small numbers would be hit.
+    """
+    text, groups = m.string, [x.span() for x in re.finditer("[0-9]+", m[0])]
+    groups = [(m.start() + a, m.start() + b) for a, b in groups]
+    if re.match(r"[\w.+-]", text[m.start() - 1 : m.start()]):
+        groups = groups[1:]
+    if re.match(r"[\w-]|\.\d", text[m.end() : m.end() + 2]):
+        groups = groups[:-1]
+    usual, other, chained = [], [], 0
+    for i in range(len(groups)):
+        sizes, windows = [], []
+        for a, b in groups[i : i + 19]:
+            sizes.append(b - a)
+            if sum(sizes) > 19:
+                break
+            if sum(sizes) >= 13:
+                windows.append((tuple(sizes), (groups[i][0], b)))
+        if windows and i >= chained:
+            chain, chained = windows[-1], i + len(windows[-1][0])
+        else:
+            chain = None
+        for sizes, (a, b) in reversed(windows):
+            likely = ISSUER.match(text, a) and (sizes in CARD_GROUPS or min(sizes[:-1]) >= 4)
+            if (likely or (sizes, (a, b)) == chain or len(sizes) == 1) and luhn_sum(only_digits(text[a:b])) % 10 == 0:
+                (usual if sizes in CARD_GROUPS else other).append((a, b))
+    yield from usual
+    yield from other
+
+
+def iban_spans(m: re.Match) -> Iterator[tuple[int, int]]:
+    """From the start of a possible IBAN to the length of its country; where that is unknown, all lengths, longest first."""
+    ends = [m.start(1) + i + 1 for i, x in enumerate(m[1]) if x != " "]
+    known = IBAN_LENGTHS.get(m[1][:2])
+    for n in (known,) if known else range(34, 14, -1):
+        if n <= len(ends) and not re.match(r"\w", m.string[ends[n - 1] : ends[n - 1] + 1]):
+            yield m.start(1), ends[n - 1]
+
+
+def phone_spans(m: re.Match) -> Iterator[tuple[int, int]]:
+    """To the country's length, if a group of digits ends there; else the most groups that a number may have."""
+    ends = [m.start() + x.end() for x in re.finditer("[0-9]+", m[0])]
+    sizes = {b: len(only_digits(m.string[m.start() : b])) for b in ends}
+    code = next((c for c in (only_digits(m[0])[:n] for n in (3, 2, 1)) if c in PHONE_LENGTHS), None)
+    fixed = [b for b in ends if code and sizes[b] == len(code) + PHONE_LENGTHS[code]]
+    yield from ((m.start(), b) for b in fixed or [b for b in reversed(ends) if sizes[b] <= 15][:1])
+
+
 #: Kind, pattern, group that is replaced, pseudonym (None: not valid, left alone). Earlier ones win where they overlap.
 DETECTORS: tuple[tuple[str, re.Pattern, int, Callable[[str, bytes], str | None]], ...] = (
     ("email", re.compile(r"[^\W_][\w.+%-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+"), 0, mail),
     ("secret", re.compile(r"(?i)\b(?:token|secret|password|passwd|api[_-]?key)\b[\"']?\s*[=:]\s*[\"']?([A-Za-z0-9_-]{12,})"), 1, secret),
-    ("iban", re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"), 0, iban),
-    ("card", re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d)"), 0, card),
+    ("iban", re.compile(r"\b(?=([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}))"), 1, iban),
+    ("card", re.compile(r"[0-9](?:[ -]?[0-9]){12,}"), 0, card),
     ("phone", re.compile(r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)"), 0, phone),
     ("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"), 0, ssn),
     ("ipv4", re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)"), 0, address),
     ("date", re.compile(r"(?<![\w./-])(?:\d{4}-\d{1,2}-\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w/-]|\.\d)"), 0, day),
 )
+#: Kinds whose pattern gives a run in which the value is looked for; the others' values are the group itself.
+SPANS: dict[str, Callable[[re.Match], Iterator[tuple[int, int]]]] = {"iban": iban_spans, "card": card_spans, "phone": phone_spans}
 
 
 def find(text: str, key: bytes) -> list[tuple[int, int, str, str]]:
@@ -186,9 +256,9 @@ def find(text: str, key: bytes) -> list[tuple[int, int, str, str]]:
     taken: list[tuple[int, int, str, str]] = []
     for kind, pattern, group, pseudonym in DETECTORS:
         for m in pattern.finditer(text):
-            a, b = m.span(group)
-            if all(b <= x or a >= y for x, y, *_ in taken) and (got := pseudonym(m[group], key)) is not None:
-                taken.append((a, b, kind, got))
+            for a, b in SPANS[kind](m) if kind in SPANS else (m.span(group),):
+                if all(b <= x or a >= y for x, y, *_ in taken) and (got := pseudonym(text[a:b], key)) is not None:
+                    taken.append((a, b, kind, got))
     return sorted(taken)
 
 
