@@ -105,6 +105,12 @@ def test_values_beside_numbers_and_words_go():
     assert replaced("+33 123 45 67 89 20") == [("+33 123 45 67 89", "phone")]
 
 
+def test_secrets_of_letters_go_without_digits_in_the_text():
+    assert replaced("password: correcthorsebatterystaple") == [("correcthorsebatterystaple", "secret")]
+    one, two = (pii.replace(t, pii.find(t, pii.KEY)) for t in ("password: correcthorsebatterystaple", "7 password: correcthorsebatterystaple"))
+    assert two == "7 " + one
+
+
 def test_number_lists_are_mostly_left():
     rng = random.Random(1)
     lists = [" ".join(str(rng.randrange(10, 100)) for _ in range(20)) for _ in range(300)]
