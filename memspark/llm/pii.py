@@ -125,6 +125,14 @@ def phone(text: str, key: bytes) -> str | None:
     return put_digits(text, d[0] + permute_text(d[1:], b"phone" + d[:1].encode(), key)) if 8 <= len(d) <= 15 else None
 
 
+def national(text: str, key: bytes) -> str | None:
+    """Without a country code: ten digits have the pseudonym they have after +1; behind a leading zero all others move."""
+    d = only_digits(text)
+    if d[0] == "0":
+        return put_digits(text, "0" + permute_text(d[1:], b"phone0", key)) if 8 <= len(d) <= 12 else None
+    return put_digits(text, d[:-10] + permute_text(d[-10:], b"phone1", key)) if len(d) in (10, 11) else None
+
+
 def address(text: str, key: bytes) -> str | None:
     """IPv4: four numbers up to 255."""
     parts = text.split(".")
@@ -134,13 +142,17 @@ def address(text: str, key: bytes) -> str | None:
 
 
 def day(text: str, key: bytes) -> str | None:
-    """Real days from 1900 to 2099 in the orders y-m-d, d/m/y and d.m.y, a day's pseudonym being the same in all."""
+    """Real days from 1900 to 2099 with -, / or ., year first or last, a day's pseudonym being the same in all. Year last: d/m/y, or m/d/y where that is no day."""
     parts, sign = re.split(r"[-/.]", text), re.search(r"[-/.]", text)[0]
-    first = sign == "-"
-    y, m, d = parts if first else parts[::-1]
-    try:
-        n = (dt.date(int(y), int(m), int(d)) - FIRST_DAY).days
-    except ValueError:
+    first = len(parts[0]) == 4
+    for order in ((0, 1, 2),) if first else ((2, 1, 0), (2, 0, 1)):
+        y, m, d = (parts[i] for i in order)
+        try:
+            n = (dt.date(int(y), int(m), int(d)) - FIRST_DAY).days
+            break
+        except ValueError:
+            continue
+    else:
         return None
     days = (LAST_DAY - FIRST_DAY).days + 1
     if not 0 <= n < days:
@@ -152,7 +164,7 @@ def day(text: str, key: bytes) -> str | None:
         n = feistel(n, a, b, b"day", key)
     got = FIRST_DAY + dt.timedelta(n)
     out = [f"{got.year:04d}", f"{got.month:0{len(m)}d}", f"{got.day:0{len(d)}d}"]
-    return sign.join(out if first else out[::-1])
+    return sign.join(out[order.index(i)] for i in range(3))
 
 
 def mail(text: str, key: bytes) -> str | None:
@@ -234,16 +246,19 @@ def phone_spans(m: re.Match) -> Iterator[tuple[int, int]]:
     yield from ((m.start(), b) for b in fixed or [b for b in reversed(ends) if sizes[b] <= 15][:1])
 
 
+#: Numbers with a zero for the country code: 030 1234567, (030) 123 4567, 020 7946 0958, 01 23 45 67 89.
+TRUNK = r"\(0\d{1,4}\) ?\d{3,4}[ -]?\d{3,4}|0\d{2,4}[ /-]\d{6,8}|0\d{2,4}[ -]\d{3,4}[ -]\d{3,4}|0[1-9](?:[ .-]\d\d){4}"
 #: Kind, pattern, group that is replaced, pseudonym (None: not valid, left alone). Earlier ones win where they overlap.
 DETECTORS: tuple[tuple[str, re.Pattern, int, Callable[[str, bytes], str | None]], ...] = (
     ("email", re.compile(r"[^\W_][\w.+%-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+"), 0, mail),
-    ("secret", re.compile(r"(?i)\b(?:token|secret|password|passwd|api[_-]?key)\b[\"']?\s*[=:]\s*[\"']?([A-Za-z0-9_-]{12,})"), 1, secret),
+    ("secret", re.compile(r"(?i)(?<![^\W_])(?:token|secret|password|passwd|api[_-]?key)\b[\"']?\s*[=:]\s*[\"']?([A-Za-z0-9_-]{12,})"), 1, secret),
     ("iban", re.compile(r"\b(?=([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}))"), 1, iban),
     ("card", re.compile(r"[0-9](?:[ -]?[0-9]){12,}"), 0, card),
     ("phone", re.compile(r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)"), 0, phone),
+    ("phone", re.compile(rf"(?<![\w+.)/-])(?:(?:1[ .-])?(?:\([2-9]\d\d\) ?|[2-9]\d\d[ .-])[2-9]\d\d[ .-]\d{{4}}|{TRUNK})(?![\w/-]|\.\d)"), 0, national),
     ("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"), 0, ssn),
     ("ipv4", re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)"), 0, address),
-    ("date", re.compile(r"(?<![\w./-])(?:\d{4}-\d{1,2}-\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w/-]|\.\d)"), 0, day),
+    ("date", re.compile(r"(?<![\w./-])(?:\d{4}([/-])\d{1,2}\1\d{1,2}|\d{1,2}([/.-])\d{1,2}\2\d{4})(?=T\d)|(?<![\w./-])(?:\d{4}([/-])\d{1,2}\3\d{1,2}|\d{1,2}([/.-])\d{1,2}\4\d{4})(?![\w/-]|\.\d)"), 0, day),
 )
 #: Kinds whose pattern gives a run in which the value is looked for; the others' values are the group itself.
 SPANS: dict[str, Callable[[re.Match], Iterator[tuple[int, int]]]] = {"iban": iban_spans, "card": card_spans, "phone": phone_spans}
@@ -258,7 +273,7 @@ def find(text: str, key: bytes) -> list[tuple[int, int, str, str]]:
         if not possible.get(kind, digits):
             continue
         for m in pattern.finditer(text):
-            for a, b in SPANS[kind](m) if kind in SPANS else (m.span(group),):
+            for a, b in SPANS[kind](m) if kind in SPANS and pseudonym is not national else (m.span(group),):
                 if all(b <= x or a >= y for x, y, *_ in taken) and (got := pseudonym(text[a:b], key)) is not None:
                     taken.append((a, b, kind, got))
     return sorted(taken)

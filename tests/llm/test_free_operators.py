@@ -111,6 +111,22 @@ def test_secrets_of_letters_go_without_digits_in_the_text():
     assert two == "7 " + one
 
 
+def test_usual_formats_go():
+    same = ["1990-05-17T00:00:00Z", "1990/05/17", "17-05-1990", "05/17/1990", "5-17-1990", "17.5.1990"]
+    found = [pii.find(t, pii.KEY) for t in same]
+    assert all(len(f) == 1 and f[0][2] == "date" for f in found)
+    assert len({frozenset(map(int, re.findall(r"\d+", f[0][3]))) for f in found}) == 1 and "1990" not in found[0][0][3]
+    assert pii.replace(same[0], found[0]).endswith("T00:00:00Z")
+    for text in ("1990-05/17", "17-05-1990-3", "31-04-2021", "99/99/2021", "1990-05-17Today"):
+        assert replaced(text) == []
+    phones = ["(212) 555-1234", "212-555-1234", "212.555.1234", "1-212-555-1234", "+1 212 555 1234"]
+    assert all(replaced(f"call {t} now") == [(t, "phone")] for t in [*phones, "030 1234567", "020 7946 0958", "01 23 45 67 89"])
+    assert len({pii.only_digits(pii.find(t, pii.KEY)[0][3])[-10:] for t in phones}) == 1
+    for name in ("access_token=", "client_secret = ", "AWS_SECRET: ", "x-api-key: "):
+        assert replaced(name + "abcdefghijklmnop") == ([("abcdefghijklmnop", "secret")])
+    assert replaced("mytoken=abcdefghijklmnop") == []
+
+
 def test_number_lists_are_mostly_left():
     rng = random.Random(1)
     lists = [" ".join(str(rng.randrange(10, 100)) for _ in range(20)) for _ in range(300)]
