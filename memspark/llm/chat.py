@@ -37,15 +37,28 @@ RECORD = (
     "messages array<struct<role:string,content:string>>, conversations array<struct<from:string,value:string>>"
 )
 ROLE_NAMES = {"human": "user", "gpt": "assistant"}
+#: Bytes up to which a record is parsed as it is.
+PARSED_WHOLE = 4 << 20
 #: Fixed marks of the template.
 MARKS = {"system": ("<<SYS>>", "<</SYS>>"), "user": ("[INST]", "[/INST]"), "assistant": ("<s>", "</s>")}
 #: A control string without its first character, after "<" and after "[".
 AFTER_ANGLE, AFTER_BRACKET = r"(?:/?s>|</?SYS>>)", r"(?:/?INST\]|/?TURN)"
 
 
-def field_paths(record: Column) -> Column:
-    """The record's nested field names in order, e.g. OBJECT<messages: ARRAY<OBJECT<content, role>>>; null if it isn't JSON."""
-    shape = F.schema_of_variant(F.try_parse_json(record))
+def layout(record: Column) -> Column:
+    """The record with empty texts and with equal neighbours in arrays of objects folded into one: the same field paths in few bytes."""
+    plain = F.regexp_replace(record, r"\\.", "_")
+    bare = F.regexp_replace(plain, r'"([^"]*+)"(\s*+:)|"[^"]*+"', '"$1"$2')
+    return F.regexp_replace(bare, r"(\{[^{}]*+\})\s*+,\s*+(?=\1)", "")
+
+
+def field_paths(record: Column, parsed_whole: int = PARSED_WHOLE) -> Column:
+    """The record's nested field names in order, e.g. OBJECT<messages: ARRAY<OBJECT<content, role>>>; null if it isn't JSON.
+
+    A VARIANT holds 128 MiB at most, so of longer records than parsed_whole bytes only the layout is parsed.
+    """
+    whole = F.octet_length(record) <= parsed_whole
+    shape = F.schema_of_variant(F.try_parse_json(F.when(whole, record).otherwise(layout(record))))
     return F.regexp_replace(shape, r": (?:[A-Z_]+)(?:\([0-9,]*\))?(?=[,>])", "")
 
 
@@ -76,7 +89,7 @@ def _listed(array: Column, mapping: Mapping) -> Column:
 def canonical_turns(records: DataFrame, key: str = "conv_id", record: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """key, schema_fp, mapping, turns array<struct<role, text>>. A layout without a mapping gives a null mapping and no turns."""
     rows = records.select(key, record, F.xxhash64(field_paths(F.col(record))).alias("schema_fp"))
-    rows = rows.select(key, "schema_fp", choose_mapping(F.col("schema_fp"), mappings).alias("mapping"), F.from_json(record, RECORD).alias("r"))
+    rows = rows.select(key, "schema_fp", choose_mapping(F.col("schema_fp"), mappings).alias("mapping"), F.from_json(record, RECORD, {"maxStringLen": "2147483647"}).alias("r"))
     turns = F.array().cast("array<struct<role:string,text:string>>")
     for m in mappings:
         if m.turns:
@@ -172,6 +185,8 @@ def chat_digest(conversations: DataFrame) -> DataFrame:
     extra = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").unionByName(extra)
     turns = canonical_turns(pack_records(rows))
+    unknown = F.raise_error(F.concat(F.lit("no mapping for the record of conversation "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))))
+    turns = turns.withColumn("turns", F.when(F.col("mapping").isNull(), unknown).otherwise(F.col("turns")))
     back = read_back(format_turns(turns))
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(

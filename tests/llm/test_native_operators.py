@@ -143,6 +143,28 @@ def test_layouts_choose_mappings(spark):
     assert got[7] == ("system-instruction", [("system", "s"), ("user", "i"), ("assistant", "o")]) and got[4] == got[5] == got[6] == (None, [])
 
 
+def test_layouts_have_the_fields_of_their_records(spark):
+    records = ['{"messages":[{"role":"a:\\"","content":"{x},{x}"},{"role":"b","content":""},{"role":"c","content":"\\\\"}]}', '{"a":["x:","y"],"b":{"c":[{"d":1},{"e":null}]}}', '{"prompt" : "p\\n" , "completion":null}', '[{"x":"1"},{"x":"2"},{"y":"3"}]', "no json", "{}"]
+    df = spark.createDataFrame([(r,) for r in records], "record string")
+    got = df.select(chat.field_paths(F.col("record"), 0).alias("a"), chat.field_paths(F.col("record")).alias("b"), F.octet_length(chat.layout(F.col("record"))).alias("n")).collect()
+    assert [r["a"] for r in got] == [r["b"] for r in got] and got[0]["b"] == "OBJECT<messages: ARRAY<OBJECT<content, role>>>" and got[0]["n"] < 45
+
+
+def test_conversations_beyond_a_variant_keep_their_turns(spark):
+    long = F.repeat(F.lit("0123456789"), 13_500_000)
+    rows = spark.range(2).select(F.lit(5).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.when(F.col("id") == 0, long).otherwise(F.lit("yes")).alias("text"))
+    got = chat.canonical_turns(chat.pack_records(rows)).select("mapping", F.transform("turns", lambda t: F.struct(t["role"], F.char_length(t["text"]))).alias("turns")).first()
+    assert got["mapping"] == "instruction" and [tuple(t) for t in got["turns"]] == [("user", 135_000_000), ("assistant", 3)]
+
+
+def test_records_without_a_mapping_fail_the_digest(spark, monkeypatch):
+    monkeypatch.setattr(chat, "MAPPINGS", ())
+    monkeypatch.setattr(chat.canonical_turns, "__defaults__", ("conv_id", "record", ()))
+    rows = spark.createDataFrame([(1, 0, "user", "x")], "conv_id long, turn long, role string, text string")
+    with pytest.raises(Exception, match="no mapping"):
+        chat.chat_digest(rows).collect()
+
+
 # Mixing
 
 
