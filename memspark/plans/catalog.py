@@ -167,8 +167,9 @@ def soft_sides(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 
 @query
 def soft_matches(spark, sf_dir):
+    # All chats are one scope here, so the limit on a chat's newest memories doesn't apply.
     new, old = soft_sides(spark, sf_dir)
-    return duplicates.soft_matches(new, old, MergePolicy(newest=200)).select("candidate_id", "existing_id", "n_entities", "n_keywords")
+    return duplicates.soft_matches(new, old, MergePolicy(newest=None)).select("candidate_id", "existing_id", "n_entities", "n_keywords")
 
 
 @query
