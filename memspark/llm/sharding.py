@@ -56,12 +56,12 @@ def rebalance(slot_map: DataFrame, usage: DataFrame, n_shards: int) -> DataFrame
         by_shard.setdefault(shard, []).append(slot)
         load[shard] = load.get(shard, 0) + weight.get(slot, 0)
     goal = sum(load.values()) / n_shards
-    heap = [(-v, k) for k, v in load.items()]
-    heapq.heapify(heap)
     for slots in by_shard.values():
         slots.sort(key=lambda s: (weight.get(s, 0), s))
     for new in range(max(load) + 1, n_shards):
         got = 0
+        heap = [(-v, k) for k, v in load.items()]  # of old shards; one that gave no more to the last new shard may give to this one
+        heapq.heapify(heap)
         while heap and got < goal:
             heaviest, shard = heapq.heappop(heap)
             fits = [s for s in by_shard[shard] if 0 < weight.get(s, 0) <= min(goal - got, -heaviest - goal)]
@@ -71,6 +71,7 @@ def rebalance(slot_map: DataFrame, usage: DataFrame, n_shards: int) -> DataFrame
             by_shard[shard].remove(slot)
             place[slot] = new
             got += weight[slot]
+            load[shard] -= weight[slot]
             heapq.heappush(heap, (heaviest + weight[slot], shard))
     return slot_map.sparkSession.createDataFrame([(version, s, k) for s, k in sorted(place.items())], MAP_SCHEMA)
 

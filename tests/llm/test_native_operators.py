@@ -251,6 +251,17 @@ def test_rebalance_moves_slots_into_the_new_shard_only(spark, tmp_path):
     assert {r["version"] for r in spark.read.parquet(str(tmp_path / "map")).select("version").distinct().collect()} == {1, 2}
 
 
+def test_rebalance_fills_several_new_shards(spark):
+    usage = spark.createDataFrame([(s, 100 + s * 7 % 50, 1) for s in range(256)], "virtual_slot int, bytes long, n_rows long")
+    one = sharding.build_map(usage, 6, 256)
+    old, new = ({r["virtual_slot"]: r["shard"] for r in m.collect()} for m in (one, sharding.rebalance(one, usage, 9)))
+    assert all(new[s] == old[s] or new[s] in (6, 7, 8) for s in old)
+    load = Counter()
+    for r in usage.collect():
+        load[new[r["virtual_slot"]]] += r["bytes"]
+    assert set(load) == set(range(9)) and max(load.values()) - min(load.values()) < 400
+
+
 # Licenses
 
 
