@@ -8,7 +8,10 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+import unicodedata
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from hashlib import blake2b
 
 import pyarrow as pa
@@ -57,9 +60,19 @@ def permute_symbols(values: list[int], radices: list[int], tweak: bytes, key: by
     return out[::-1]
 
 
-def permute_text(text: str, tweak: bytes, key: bytes, classes: tuple[str, ...] = (DIGITS, LOWER, UPPER)) -> str:
-    """Each character moves within its class; characters outside the classes stay."""
-    own = [next((c for c in classes if x in c), None) for x in text]
+@lru_cache(4096)
+def script_class(x: str) -> str | None:
+    """The letters or digits that a character beyond ASCII moves among: those of its kind in its row of 256, or all of the row where it is alone."""
+    if x.isascii() or not x.isalnum():
+        return None
+    row = [chr(c) for c in range(ord(x) & ~0xFF, (ord(x) & ~0xFF) + 256) if chr(c).isalnum() and c > 127]
+    kind = "".join(c for c in row if unicodedata.category(c) == unicodedata.category(x))
+    return kind if len(kind) > 1 else "".join(row)
+
+
+def permute_text(text: str, tweak: bytes, key: bytes, classes: tuple[str, ...] = (DIGITS, LOWER, UPPER), scripts: bool = False) -> str:
+    """Each character moves within its class; characters outside the classes stay. scripts: letters and digits beyond ASCII move too."""
+    own = [next((c for c in classes if x in c), script_class(x) if scripts else None) for x in text]
     places = [i for i, c in enumerate(own) if c]
     moved = permute_symbols([own[i].index(text[i]) for i in places], [len(own[i]) for i in places], tweak, key)
     out = list(text)
@@ -168,9 +181,9 @@ def day(text: str, key: bytes) -> str | None:
 
 
 def mail(text: str, key: bytes) -> str | None:
-    """The part before the @ is permuted by itself, so an address keeps its domain."""
+    """The part before the @ is permuted by itself, letters of all scripts, so an address keeps its domain."""
     name, _, domain = text.rpartition("@")
-    return f"{permute_text(name, b'mail' + domain.lower().encode(), key)}@{domain}"
+    return f"{permute_text(name, b'mail' + domain.lower().encode(), key, scripts=True)}@{domain}"
 
 
 def secret(text: str, key: bytes) -> str | None:
@@ -205,7 +218,7 @@ def card_spans(m: re.Match) -> Iterator[tuple[int, int]]:
     groups = [(m.start() + a, m.start() + b) for a, b in groups]
     if re.match(r"[\w.+-]", text[m.start() - 1 : m.start()]):
         groups = groups[1:]
-    if re.match(r"[\w-]|\.\d", text[m.end() : m.end() + 2]):
+    if re.match(r"[\w-]|\.[0-9]", text[m.end() : m.end() + 2]):
         groups = groups[:-1]
     usual, other, chained = [], [], 0
     for i in range(len(groups)):
@@ -228,6 +241,20 @@ def card_spans(m: re.Match) -> Iterator[tuple[int, int]]:
     yield from other
 
 
+_NAME = re.compile(r"[\w.+%-]")
+
+
+def mail_spans(m: re.Match) -> Iterator[tuple[int, int]]:
+    """The address whose domain was found: its name is the run before the @, marks on letters included, from the first letter or digit on. Runs end at an @, so all of them are read once."""
+    text, a = m.string, m.start()
+    while a > 0 and (_NAME.match(text, a - 1) or unicodedata.category(text[a - 1])[0] == "M"):
+        a -= 1
+    while a < m.start() and not text[a].isalnum():
+        a += 1
+    if a < m.start():
+        yield a, m.end()
+
+
 def iban_spans(m: re.Match) -> Iterator[tuple[int, int]]:
     """From the start of a possible IBAN to the length of its country; where that is unknown, all lengths, longest first."""
     ends = [m.start(1) + i + 1 for i, x in enumerate(m[1]) if x != " "]
@@ -247,36 +274,53 @@ def phone_spans(m: re.Match) -> Iterator[tuple[int, int]]:
 
 
 #: Numbers with a zero for the country code: 030 1234567, (030) 123 4567, 020 7946 0958, 01 23 45 67 89.
-TRUNK = r"\(0\d{1,4}\) ?\d{3,4}[ -]?\d{3,4}|0\d{2,4}[ /-]\d{6,8}|0\d{2,4}[ -]\d{3,4}[ -]\d{3,4}|0[1-9](?:[ .-]\d\d){4}"
+TRUNK = r"\(0[0-9]{1,4}\) ?[0-9]{3,4}[ -]?[0-9]{3,4}|0[0-9]{2,4}[ /-][0-9]{6,8}|0[0-9]{2,4}[ -][0-9]{3,4}[ -][0-9]{3,4}|0[1-9](?:[ .-][0-9][0-9]){4}"
 #: Kind, pattern, group that is replaced, pseudonym (None: not valid, left alone). Earlier ones win where they overlap.
 DETECTORS: tuple[tuple[str, re.Pattern, int, Callable[[str, bytes], str | None]], ...] = (
-    ("email", re.compile(r"[^\W_][\w.+%-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+"), 0, mail),
+    ("email", re.compile(r"@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+"), 0, mail),
     ("secret", re.compile(r"(?i)(?<![^\W_])(?:token|secret|password|passwd|api[_-]?key)\b[\"']?\s*[=:]\s*[\"']?([A-Za-z0-9_-]{12,})"), 1, secret),
     ("iban", re.compile(r"\b(?=([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}))"), 1, iban),
     ("card", re.compile(r"[0-9](?:[ -]?[0-9]){12,}"), 0, card),
-    ("phone", re.compile(r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)"), 0, phone),
-    ("phone", re.compile(rf"(?<![\w+.)/-])(?:(?:1[ .-])?(?:\([2-9]\d\d\) ?|[2-9]\d\d[ .-])[2-9]\d\d[ .-]\d{{4}}|{TRUNK})(?![\w/-]|\.\d)"), 0, national),
-    ("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"), 0, ssn),
-    ("ipv4", re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)"), 0, address),
-    ("date", re.compile(r"(?<![\w./-])(?:\d{4}([/-])\d{1,2}\1\d{1,2}|\d{1,2}([/.-])\d{1,2}\2\d{4})(?=T\d)|(?<![\w./-])(?:\d{4}([/-])\d{1,2}\3\d{1,2}|\d{1,2}([/.-])\d{1,2}\4\d{4})(?![\w/-]|\.\d)"), 0, day),
+    ("phone", re.compile(r"(?<![\w+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?!\w)"), 0, phone),
+    ("phone", re.compile(rf"(?<![\w+.)/-])(?:(?:1[ .-])?(?:\([2-9][0-9][0-9]\) ?|[2-9][0-9][0-9][ .-])[2-9][0-9][0-9][ .-][0-9]{{4}}|{TRUNK})(?![\w/-]|\.[0-9])"), 0, national),
+    ("ssn", re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"), 0, ssn),
+    ("ipv4", re.compile(r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w|\.[0-9])"), 0, address),
+    ("date", re.compile(r"(?<![\w./-])(?:[0-9]{4}([/-])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([/.-])[0-9]{1,2}\2[0-9]{4})(?=T[0-9])|(?<![\w./-])(?:[0-9]{4}([/-])[0-9]{1,2}\3[0-9]{1,2}|[0-9]{1,2}([/.-])[0-9]{1,2}\4[0-9]{4})(?![\w/-]|\.[0-9])"), 0, day),
 )
 #: Kinds whose pattern gives a run in which the value is looked for; the others' values are the group itself.
-SPANS: dict[str, Callable[[re.Match], Iterator[tuple[int, int]]]] = {"iban": iban_spans, "card": card_spans, "phone": phone_spans}
+SPANS: dict[str, Callable[[re.Match], Iterator[tuple[int, int]]]] = {"email": mail_spans, "iban": iban_spans, "card": card_spans, "phone": phone_spans}
+
+
+class Taken:
+    """Disjoint places in a text; whether another one is free takes a search, not a pass over all."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.places: list[tuple[int, int, str, str]] = []
+
+    def free(self, a: int, b: int) -> bool:
+        at = bisect_left(self.starts, b)
+        return at == 0 or self.places[at - 1][1] <= a
+
+    def add(self, a: int, b: int, kind: str, pseudonym: str) -> None:
+        at = bisect_left(self.starts, a)
+        self.starts.insert(at, a)
+        self.places.insert(at, (a, b, kind, pseudonym))
 
 
 def find(text: str, key: bytes) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, pseudonym) of what is replaced, in order."""
     possible = {"email": "@" in text, "secret": "=" in text or ":" in text}
-    digits = re.search(r"\d", text) is not None
-    taken: list[tuple[int, int, str, str]] = []
+    digits = re.search("[0-9]", text) is not None
+    taken = Taken()
     for kind, pattern, group, pseudonym in DETECTORS:
         if not possible.get(kind, digits):
             continue
         for m in pattern.finditer(text):
             for a, b in SPANS[kind](m) if kind in SPANS and pseudonym is not national else (m.span(group),):
-                if all(b <= x or a >= y for x, y, *_ in taken) and (got := pseudonym(text[a:b], key)) is not None:
-                    taken.append((a, b, kind, got))
-    return sorted(taken)
+                if taken.free(a, b) and (got := pseudonym(text[a:b], key)) is not None:
+                    taken.add(a, b, kind, got)
+    return taken.places
 
 
 def replace(text: str, found: list[tuple[int, int, str, str]]) -> str:
