@@ -1,17 +1,19 @@
 """Sharding over fixed virtual slots.
 
-Records hash into a fixed number of slots, bytes are summed per slot, and a versioned table maps
-slots to shards. Rebalancing edits that table only: a record's slot never changes.
+Records hash by id into a fixed number of slots, bytes are summed per slot, and a stored, versioned table maps
+slots to shards. Rebalancing adds a version of that table only: a record's slot never changes, whatever its text becomes.
 """
 
 from __future__ import annotations
 
 import heapq
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..sources.durable import checkpoint_dir
 from .common import durable
 
 SLOTS = 4096
@@ -21,13 +23,18 @@ MAP_SCHEMA = "version int, virtual_slot int, shard int"
 def with_slots(docs: DataFrame, n_slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, virtual_slot of each row. Size: UTF-8 bytes of the text plus 8; a null text has none and CRC 0.
 
-    The slot hashes the id with the text's checksum and size, so rows that share an id spread too.
+    The slot hashes the id alone. An id that repeats, or null, names no record, so its rows are dealt by their place in the table and
+    even one that holds most rows spreads over all slots.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
-        F.col(id_col).alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
+        F.col(id_col).alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.monotonically_increasing_id().alias("place")
     )
-    return rows.withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(n_slots)).cast("int"))
+    rows = durable(rows)
+    repeated = rows.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("again"), F.lit(True).alias("repeats"))
+    marked = rows.join(repeated, rows["doc_id"].eqNullSafe(repeated["again"]), "left")
+    key = F.when(F.col("repeats"), F.xxhash64("doc_id", "place")).otherwise(F.xxhash64("doc_id"))
+    return marked.select("doc_id", "size", "text_crc32", F.pmod(key, F.lit(n_slots)).cast("int").alias("virtual_slot"))
 
 
 def slot_bytes(rows: DataFrame) -> DataFrame:
@@ -78,7 +85,12 @@ def rebalance(slot_map: DataFrame, usage: DataFrame, n_shards: int) -> DataFrame
 
 def save_map(slot_map: DataFrame, path: str) -> None:
     """Adds a version to the stored map; earlier versions stay readable."""
-    slot_map.write.mode("append").partitionBy("version").parquet(path)
+    slot_map.coalesce(1).write.mode("append").partitionBy("version").parquet(path)
+
+
+def load_map(spark: SparkSession, path: str, version: int) -> DataFrame:
+    """A version of the stored map, as it was saved."""
+    return spark.read.schema(MAP_SCHEMA).parquet(path).filter(F.col("version") == version)
 
 
 def assign(rows: DataFrame, slot_map: DataFrame, usage: DataFrame) -> DataFrame:
@@ -98,15 +110,22 @@ def assign(rows: DataFrame, slot_map: DataFrame, usage: DataFrame) -> DataFrame:
     )
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 24, n_slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot for each row of docs.
+def shard_documents(docs: DataFrame, n_shards: int = 24, n_slots: int = SLOTS, path: str | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot, next_shard for each row of docs.
 
-    Law `bytes`: the map is drawn from bytes per slot, so shards are near equal in size. Empty table:
-    empty result. Null texts count 8 bytes. Repeated rows each get a place. Other columns are ignored.
+    Law `bytes`: the map is drawn from bytes per slot, so shards are near equal in size. It is stored at path (in the shared
+    checkpoint folder, if none is given) as version 1; version 2 is that map rebalanced for one more shard, and next_shard is
+    what it says: the old shard, or the new one for rows of the slots that move. Empty table: empty result. Null texts
+    count 8 bytes. Repeated rows each get a place. Other columns are ignored.
     """
+    spark = docs.sparkSession
+    path = path or f"{checkpoint_dir(spark)}/slot-maps-{uuid.uuid4().hex}"
     rows = durable(with_slots(docs, n_slots))
     usage = durable(slot_bytes(rows))
-    placed = assign(rows, build_map(usage, n_shards, n_slots), usage)
-    return placed.select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot"
+    save_map(build_map(usage, n_shards, n_slots), path)
+    save_map(rebalance(load_map(spark, path, 1), usage, n_shards + 1), path)
+    placed = assign(rows, load_map(spark, path, 1), usage)
+    after = load_map(spark, path, 2).select("virtual_slot", F.col("shard").alias("next_shard"))
+    return placed.join(F.broadcast(after), "virtual_slot").select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "next_shard"
     )
