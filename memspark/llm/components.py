@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 from .common import compact
 
 
-#: Edges that a task contracts at once.
+#: Nodes that a task holds at once when it contracts edges, and edges of a partition.
 ROWS = 200_000
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The partition's edges as stars: each node with the smallest one of its component."""
+    """The partition's edges as stars: each node with the smallest one of its component, as far as ROWS nodes at a time show it."""
     parent: dict[int, int] = {}
 
     def top(x: int) -> int:
@@ -27,12 +27,20 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parent[x], x = root, parent[x]
         return root
 
+    def stars() -> pa.RecordBatch:
+        found = [(x, t) for x in parent if (t := top(x)) != x]
+        parent.clear()
+        return pa.record_batch([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["u", "v"])
+
     for batch in batches:
-        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
-            low, high = sorted((top(u), top(v)))
-            parent[high] = low
-    stars = [(x, top(x)) for x in parent if top(x) != x]
-    yield pa.record_batch([pa.array([x for x, _ in stars], pa.int64()), pa.array([y for _, y in stars], pa.int64())], ["u", "v"])
+        for at in range(0, batch.num_rows, 10_000):
+            some = batch.slice(at, 10_000)
+            for u, v in zip(some.column("u").to_pylist(), some.column("v").to_pylist(), strict=True):
+                low, high = sorted((top(u), top(v)))
+                parent[high] = low
+            if len(parent) > ROWS:
+                yield stars()
+    yield stars()
 
 
 def _are_stars(edges: DataFrame) -> bool:
@@ -45,7 +53,7 @@ def _are_stars(edges: DataFrame) -> bool:
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """node, comp (the smallest node that can be reached) for every node of edges (u, v).
 
-    Edges are first contracted within partitions of bounded size, each to stars around its components' smallest nodes.
+    Edges are first contracted within partitions, in runs of a bounded number of nodes, each to stars around its components' smallest nodes.
     What is left is joined up between partitions: it alternates large-star and small-star steps (Kiveris et al., SoCC 2014): each node hangs its larger, then its
     smaller neighbours on the smallest node it knows, until nothing changes. Steps are grouped minima and joins,
     so a node with very many neighbours is combined before the shuffle and split by adaptive joins after it.

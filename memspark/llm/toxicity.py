@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ _TOKEN = re.compile(r"[^\W\d_]+")
 
 
 def word_hashes(text: str | None, cache: dict[str, int]) -> np.ndarray:
-    """Distinct hashes of the text's lower-cased words."""
+    """Distinct hashes of the text's lower-cased words, in order."""
     out = set()
     for w in set(_TOKEN.findall((text or "").lower())):
         h = cache.get(w)
@@ -46,7 +47,7 @@ def word_hashes(text: str | None, cache: dict[str, int]) -> np.ndarray:
             if len(cache) < CACHED_WORDS:
                 cache[w] = h
         out.add(h)
-    return np.fromiter(out, dtype=np.int32, count=len(out))
+    return np.array(sorted(out), dtype=np.int32)
 
 
 @dataclass(frozen=True)
@@ -64,9 +65,14 @@ class Chain:
     links: tuple[Link, ...]
     threshold: float
 
+    @cached_property
+    def known(self) -> frozenset[int]:
+        """The words that any link weighs; all others are left out at once."""
+        return frozenset(h for link in self.links for h in link.words)
+
     def predict(self, hashes: np.ndarray) -> list[float]:
         out: list[float] = []
-        present = hashes.tolist()
+        present = sorted(self.known.intersection(hashes.tolist()))
         for link in self.links:
             get = link.words.get
             z = link.constant + sum(get(h, 0.0) for h in present) + sum(w * p for w, p in zip(link.before, out, strict=True))
@@ -74,8 +80,12 @@ class Chain:
         return out
 
 
-def _fit(docs: np.ndarray, words: np.ndarray, before: np.ndarray, y: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Logistic regression on the given rows. docs, words: a row and a word hash per entry. Returns chosen words, weights, weights of before, constant."""
+#: Training rows that must hold a word for it to be chosen.
+LEAST_ROWS = 5
+
+
+def _fit(docs: np.ndarray, words: np.ndarray, n_words: int, before: np.ndarray, y: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Logistic regression on the given rows. docs, words: a row and a word's number per entry. Returns chosen words, weights, weights of before, constant."""
     inside = np.zeros(len(y), dtype=bool)
     inside[rows] = True
     use = inside[docs]
@@ -84,13 +94,13 @@ def _fit(docs: np.ndarray, words: np.ndarray, before: np.ndarray, y: np.ndarray,
         rate = (positive + 0.5) / (n + 1)
         return np.zeros(0, np.int64), np.zeros(0), np.zeros(before.shape[1]), float(np.log(rate / (1 - rate)))
     d, w = docs[use], words[use]
-    all_n = np.bincount(w, minlength=1 << HASH_BITS)
-    pos_n = np.bincount(w, weights=y[d], minlength=1 << HASH_BITS)
+    all_n = np.bincount(w, minlength=n_words)
+    pos_n = np.bincount(w, weights=y[d], minlength=n_words)
     due = all_n * positive / n
-    score = np.where(all_n >= 5, (pos_n - due) ** 2 / np.maximum(due * (1 - positive / n), 1e-9), 0.0)
+    score = np.where(all_n >= LEAST_ROWS, (pos_n - due) ** 2 / np.maximum(due * (1 - positive / n), 1e-9), 0.0)
     chosen = np.sort(np.argsort(-score, kind="stable")[:WORDS])
     chosen = chosen[score[chosen] > 6.6]
-    column = np.full(1 << HASH_BITS, -1)
+    column = np.full(n_words, -1, dtype=np.int32)
     column[chosen] = np.arange(len(chosen))
     hit = column[w] >= 0
     place = np.full(len(y), -1)
@@ -113,26 +123,32 @@ def _fit(docs: np.ndarray, words: np.ndarray, before: np.ndarray, y: np.ndarray,
     return chosen, beta[:k], beta[k : k + m], float(beta[-1])
 
 
-def _score(docs: np.ndarray, words: np.ndarray, before: np.ndarray, model: tuple, n: int) -> np.ndarray:
+def _score(docs: np.ndarray, words: np.ndarray, n_words: int, before: np.ndarray, model: tuple, n: int) -> np.ndarray:
     chosen, w, b, constant = model
-    weight = np.zeros(1 << HASH_BITS)
+    weight = np.zeros(n_words)
     weight[chosen] = w
     z = np.bincount(docs, weights=weight[words], minlength=n) + before @ b + constant
     return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
 
 
 def fit_arrays(docs: np.ndarray, words: np.ndarray, labels: dict[str, np.ndarray]) -> tuple[Chain, np.ndarray]:
-    """The chain for labels in their order, and the last label's out-of-fold probabilities."""
+    """The chain for labels in their order, and the last label's out-of-fold probabilities. docs, words: a row and a word hash per entry."""
     n = len(next(iter(labels.values())))
+    # Words of too few rows can't be chosen in any fold, so they go first and the others are numbered: arrays are as long as the words that may count.
+    often = np.flatnonzero(np.bincount(words, minlength=1) >= LEAST_ROWS)
+    number = np.full(int(words.max(initial=0)) + 1, -1, dtype=np.int32)
+    number[often] = np.arange(len(often), dtype=np.int32)
+    words = number[words]
+    docs, words, n_words = docs[words >= 0].astype(np.int32), words[words >= 0], len(often)
     fold = np.arange(n) % FOLDS
     before, links, own = np.zeros((n, 0)), [], np.zeros(n)
     for name, y in labels.items():
         y, own = y.astype(np.float64), np.zeros(n)
         for f in range(min(FOLDS, n)):
-            model = _fit(docs, words, before, y, np.flatnonzero(fold != f)) if n > 1 else (np.zeros(0, np.int64), np.zeros(0), np.zeros(before.shape[1]), -30.0)
-            own[fold == f] = _score(docs, words, before, model, n)[fold == f]
-        chosen, w, b, constant = _fit(docs, words, before, y, np.arange(n))
-        links.append(Link(name, dict(zip(chosen.tolist(), w.tolist(), strict=True)), tuple(b.tolist()), constant))
+            model = _fit(docs, words, n_words, before, y, np.flatnonzero(fold != f)) if n > 1 else (np.zeros(0, np.int64), np.zeros(0), np.zeros(before.shape[1]), -30.0)
+            own[fold == f] = _score(docs, words, n_words, before, model, n)[fold == f]
+        chosen, w, b, constant = _fit(docs, words, n_words, before, y, np.arange(n))
+        links.append(Link(name, dict(zip(often[chosen].tolist(), w.tolist(), strict=True)), tuple(b.tolist()), constant))
         before = np.column_stack((before, own))
     return Chain(tuple(links), best_threshold(own, y)), own
 
@@ -153,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, seeds: dict[str, tuple[str, ...]] |
     seeds = SEEDS if seeds is None else seeds
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, int] = {}
@@ -161,15 +177,17 @@ def fit(docs: DataFrame, labels: DataFrame, seeds: dict[str, tuple[str, ...]] |
             hashes = [word_hashes(t, cache) for t in batch.column("text").to_pylist()]
             yield pa.record_batch([batch.column("doc_id"), batch.column("toxic"), pa.array(hashes, pa.list_(pa.int32()))], ["doc_id", "toxic", "words"])
 
-    got = rows.mapInArrow(run, "doc_id long, toxic int, words array<int>").toArrow().sort_by("doc_id")
+    # Of rows that share an id the one with the smallest list of words counts, whatever the order of tasks.
+    hashed = rows.mapInArrow(run, "doc_id long, toxic int, words array<int>").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("words").alias("words"))
+    got = hashed.toArrow().sort_by("doc_id")
     if not got.num_rows:
         return None
     lists = got.column("words").combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    words = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    docs_at = np.repeat(np.arange(got.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+    words = lists.flatten().to_numpy(zero_copy_only=False)
+    docs_at = np.repeat(np.arange(got.num_rows, dtype=np.int32), lists.value_lengths().to_numpy(zero_copy_only=False))
     toxic = got.column("toxic").to_numpy() > 0
-    rng = np.random.default_rng(7).permutation(got.num_rows)  # folds don't follow the ids
+    rng = np.random.default_rng(7).permutation(got.num_rows).astype(np.int32)  # folds don't follow the ids
     docs_at, toxic = rng[docs_at], toxic[np.argsort(rng)]
     wanted = {}
     for name, seed in seeds.items():

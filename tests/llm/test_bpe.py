@@ -1,4 +1,5 @@
 import hashlib
+import json
 
 import numpy as np
 import pytest
@@ -33,23 +34,70 @@ def test_codec_agrees_on_every_character(codec, library):
         assert codec.decode(got) == library.decode(ids, skip_special_tokens=False)
 
 
-def test_parts_cover_the_text_and_encode_alike(codec, library, documents):
-    odd = ["", " ", "a", "x" * 50_000, "a b " * 9000, "  two  spaces  " * 900, "漢字 " * 4000, "no<|endoftext|>te <|endoftext|> x" * 300, "don't 's 're " * 500]
-    for text in [*odd, *[r["text"] for r in documents.limit(60).collect()]]:
+ODD = [
+    "", " ", "a", "x" * 50_000, "a b " * 9000, "  two  spaces  " * 900, "漢字 " * 4000, "漢字かな交じり文。" * 900, "Привет, мир! Как дела? " * 700, "no<|endoftext|>te <|endoftext|> x" * 300, "<|endoftext|>" * 900,
+    "don't 's 're we'll " * 500, "a \n\n b\r\n\t c" * 900, "😀👍🏽 é e\u0301 " * 800, " " * 9000 + "x", "मानक हिन्दी " * 900, "'" * 4000 + "s" * 4000,
+]
+
+
+def test_chunks_cover_the_text_between_characters(documents):
+    for text in [*ODD, *[r["text"] for r in documents.limit(60).collect()]]:
         raw = text.encode()
-        got = bpe.parts(raw)
-        assert [a for a, _, _ in got] == [0, *[b for _, b, _ in got]][: len(got)] and (not got or got[-1][1] == len(raw))
-        ids = [i for a, b, _ in got for i in codec.encode(raw[a:b]).tolist()]
-        assert ids == library.encode(text, add_special_tokens=False).ids
+        got = bpe.chunks(raw)
+        assert [a for a, _ in got] == [0, *[b for _, b in got]][: len(got)] and (not got or got[-1][1] == len(raw))
+        assert all(raw[a:b].decode() for a, b in got) and all(b - a <= bpe.MOST + 3 for a, b in got)
+
+
+def made(codec, raw):
+    ids = codec.encode(raw)
+    return bpe.Chunk(codec, ids, bpe.chunk_starts(codec, raw))
 
 
-def test_equal_passages_share_chunks():
+@pytest.mark.parametrize("seed", range(3))
+def test_repaired_joins_equal_the_whole_encoding(codec, library, documents, seed):
+    """Texts cut anywhere between characters, runs of text and chunks mixed at will, also far smaller chunks than the operator cuts."""
+    rng = np.random.default_rng(seed)
+    for text in [*[x[:6000] for x in ODD], *[r["text"][:20000] for r in documents.limit(40).collect()]]:
+        at, runs = 0, []
+        while at < len(text):
+            to = min(len(text), at + int(rng.integers(1, [12, 90, 1500][seed])))
+            piece = text[at:to].encode()
+            runs.append(piece if rng.random() < 0.3 else made(codec, piece))
+            at = to
+        assert bpe.join(codec, runs).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("language", ["latin", "cyrillic", "han"])
+def test_joins_keep_the_ids_of_shared_chunks(codec, language, monkeypatch):
     rng = np.random.default_rng(5)
-    word = lambda: "".join(map(chr, rng.integers(97, 123, 5)))
-    shared = " ".join(word() for _ in range(4000))
-    one, two = (f"{' '.join(word() for _ in range(k))} {shared} {word()}".encode() for k in (37, 501))
-    bodies = [{raw[a:b] for a, b, body in bpe.parts(raw) if body} for raw in (one, two)]
-    assert sum(map(len, bodies[0] & bodies[1])) > 0.8 * len(shared)
+    low, high, gap = {"latin": (97, 123, " "), "cyrillic": (0x430, 0x450, " "), "han": (0x4E00, 0x5E00, "。")}[language]
+    word = lambda: "".join(map(chr, rng.integers(low, high, 5)))
+    shared = gap.join(word() for _ in range(3000))
+    texts = [f"{gap.join(word() for _ in range(k))}{gap}{shared}{gap}{word()}" for k in (37, 501)]
+    cuts = [{x[a:b] for a, b in bpe.chunks(x)} for x in (t.encode() for t in texts)]
+    same = cuts[0] & cuts[1]
+    assert sum(map(len, same)) > 0.8 * len(shared.encode())
+    encoded, real = [], codec.encode
+    runs = [made(codec, x) if (x := t[a:b]) in same else x for t in [texts[0].encode()] for a, b in bpe.chunks(t)]
+    monkeypatch.setattr(codec, "encode", lambda data: encoded.append(len(data)) or real(data))
+    ids = bpe.join(codec, runs)
+    assert sum(encoded) < 0.5 * len(texts[0].encode())  # the rest came from the chunks
+    assert ids.tolist() == real(texts[0].encode()).tolist()
+
+
+def test_other_rules_are_refused():
+    with open(bpe.default_tokenizer()) as f:
+        spec = json.load(f)
+    bpe.check_spec(spec)
+    changes = [("normalizer", {"type": "NFC"}), ("pre_tokenizer", {"type": "Whitespace"}), ("pre_tokenizer", {"type": "ByteLevel", "add_prefix_space": True}), ("pre_tokenizer", {"type": "ByteLevel", "use_regex": False}), ("decoder", None)]
+    for field, value in changes:
+        with pytest.raises(ValueError):
+            bpe.check_spec(spec | {field: value})
+    for flag in ("lstrip", "rstrip", "single_word"):
+        with pytest.raises(ValueError):
+            bpe.check_spec(spec | {"added_tokens": [spec["added_tokens"][0] | {flag: True}]})
+    with pytest.raises(ValueError):
+        bpe.check_spec(spec | {"added_tokens": [{"content": "<ab", "id": 1}, {"content": "b>", "id": 2}]})
 
 
 @pytest.mark.parametrize("which", ["odd_docs", "documents", "shared"])
