@@ -9,6 +9,7 @@ from pyspark.sql.window import Window as W
 from ..functions import text as t
 from ..functions.memory import can_auto_update
 from ..functions.policy import MergePolicy
+from ..sources.durable import durable
 
 
 def first_by_content(memories: DataFrame, keys: list[str]) -> DataFrame:
@@ -55,22 +56,32 @@ def overlap_pairs(rows: DataFrame, scope: list[str], tokens: Column, percent: in
     """a, b, n_shared, n_a, n_b of rows (id) in one scope whose token sets' overlap coefficient reaches percent / 100; a is the smaller set, ties by id.
 
     Equal sets are folded into one class before the join and only classes are paired, so copies don't multiply. With tokens in
-    order of rarity, the first |A| - ceil(t|A|) + 1 tokens of the smaller set must hold one token of the larger (prefix filter).
+    order of rarity, the first |A| - ceil(t|A|) + 1 tokens of the smaller set must hold one token of the larger (prefix filter). Proposed
+    pairs are counted out token by token: rows are two ids and a token's number, and no set travels with a pair.
     Returned are pairs of class representatives (smallest ids); overlap_classes() gives the members.
     """
-    sets = _classes(rows, scope, tokens).filter("n > 0").select(*scope, F.col("rep").alias("id"), "tokens", "n").distinct()
+    return _paired(_classes(rows, scope, tokens), scope, percent)
+
+
+def _paired(classes: DataFrame, scope: list[str], percent: int) -> DataFrame:
+    sets = classes.filter("n > 0").select(*scope, F.col("rep").alias("id"), "tokens", "n").distinct()
     long = sets.select(*scope, "id", "n", F.explode("tokens").alias("token"))
-    frequency = long.groupBy(*scope, "token").agg(F.count("*").alias("df"))
-    ranked = long.join(frequency, [*scope, "token"])
-    by_rarity = ranked.groupBy(*scope, "id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ts"))
-    n_prefix = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
-    prefix = by_rarity.select(*scope, F.col("id").alias("a"), F.col("n").alias("n_a"), F.explode(F.slice("ts", F.lit(1), n_prefix)).alias("t")).select(*scope, "a", "n_a", F.col("t.token").alias("token"))
-    other = long.select(*scope, F.col("id").alias("b"), F.col("n").alias("n_b"), "token")
+    # A number for each token of each scope, so that later joins need neither the token nor the scope. Written, as numbers must stay.
+    numbered = durable(long.groupBy(*scope, "token").agg(F.count("*").alias("df")).withColumn("t", F.monotonically_increasing_id()))
+    held = durable(long.join(numbered, [*scope, "token"]).select(*scope, "id", "n", "t", "df"))
+    by_rarity = held.groupBy(*scope, "id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("ts"))
+    placed = by_rarity.select(*scope, F.col("id").alias("a"), F.col("n").alias("n_a"), F.posexplode("ts").alias("at", "x")).select(*scope, "a", "n_a", "at", F.col("x.t").alias("t"))
+    n_prefix = F.col("n_a") - F.ceil(F.col("n_a") * percent / 100).cast("int") + 1
+    placed = placed.withColumn("first", F.col("at") < n_prefix).drop("at")
+    other = held.select(F.col("id").alias("b"), F.col("n").alias("n_b"), "t")
     smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
-    proposed = prefix.join(other, [*scope, "token"]).filter(smaller).select(*scope, "a", "b").distinct()
-    of = lambda x: sets.select(F.col("id").alias(x), F.col("tokens").alias(f"t_{x}"), F.col("n").alias(f"n_{x}"), *scope)
-    checked = proposed.join(of("a"), [*scope, "a"]).join(of("b"), [*scope, "b"]).withColumn("n_shared", F.size(F.array_intersect("t_a", "t_b")))
-    return checked.filter(100 * F.col("n_shared") >= percent * F.col("n_a")).select(*scope, "a", "b", "n_shared", "n_a", "n_b")
+    pair = [*scope, "a", "b", "n_a", "n_b"]
+    proposed = durable(placed.filter("first").join(other, "t").filter(smaller).groupBy(*pair).agg(F.count("*").alias("c")))
+    # One token settles sets of one; of the others the remaining tokens are looked up in the larger set.
+    rest = placed.filter("not first").select("a", "t")
+    more = proposed.filter("n_a > 1").join(rest, "a").join(other.select("b", "t"), ["b", "t"]).select(*pair, F.lit(1).cast("long").alias("c"))
+    counted = proposed.unionByName(more).groupBy(*pair).agg(F.sum("c").alias("n_shared"))
+    return counted.filter(100 * F.col("n_shared") >= percent * F.col("n_a")).select(*scope, "a", "b", "n_shared", "n_a", "n_b")
 
 
 def _classes(rows: DataFrame, scope: list[str], tokens: Column) -> DataFrame:
@@ -86,9 +97,10 @@ def overlap_classes(rows: DataFrame, scope: list[str], tokens: Column) -> DataFr
 
 def overlap_report(rows: DataFrame, scope: list[str], tokens: Column, percent: int = 85) -> DataFrame:
     """id, class_id, n_links: each row's class of equal token sets and the number of other rows it is linked to by equality or overlap."""
-    members = overlap_classes(rows, scope, tokens)
+    classes = durable(_classes(rows, scope, tokens))  # tokens are read for classes and for pairs
+    members = classes.select(*scope, "id", "rep", F.col("n").alias("n_tokens"))
     sizes = members.groupBy(*scope, "rep").agg(F.count("*").alias("members"))
-    pairs = overlap_pairs(rows, scope, tokens, percent)
+    pairs = _paired(classes, scope, percent)
     both = pairs.select(*scope, F.col("a").alias("rep"), F.col("b").alias("other")).unionByName(pairs.select(*scope, F.col("b").alias("rep"), F.col("a").alias("other")))
     linked = both.join(sizes.select(*scope, F.col("rep").alias("other"), F.col("members").alias("m")), [*scope, "other"]).groupBy(*scope, "rep").agg(F.sum("m").alias("outside"))
     full = members.join(sizes, [*scope, "rep"]).join(linked, [*scope, "rep"], "left")
@@ -103,8 +115,9 @@ def near_duplicate_pairs(memories: DataFrame, percent: int = 85, scope: list[str
     """
     scope = ["chat_id", "character_id"] if scope is None else scope
     usable = memories.filter(~F.col("pinned")).withColumn("norm", t.normalize_report(F.col("content")))
-    classes = overlap_classes(usable, scope, t.token_set(F.col("norm")))
-    pairs = overlap_pairs(usable, scope, t.token_set(F.col("norm")), percent)
+    sets = durable(_classes(usable, scope, t.token_set(F.col("norm"))))
+    classes = sets.select(*scope, "id", "rep", F.col("n").alias("n_tokens"))
+    pairs = _paired(sets, scope, percent)
     same = classes.filter("n_tokens > 0").select(*scope, F.col("rep").alias("ra"), F.col("rep").alias("rb")).distinct()
     cls = pairs.select(*scope, F.col("a").alias("ra"), F.col("b").alias("rb")).unionByName(same)
     of = lambda x: classes.select(*scope, F.col("rep").alias(f"r{x}"), F.col("id").alias(x))
@@ -121,6 +134,32 @@ def near_duplicate_pairs(memories: DataFrame, percent: int = 85, scope: list[str
     return placed.filter(F.coalesce(status, F.lit("")) != "reviewed_keep").select(*scope, first.alias("a"), second.alias("b"))
 
 
+def near_duplicate_candidates(memories: DataFrame, percent: int = 85, scope: list[str] | None = None) -> DataFrame:
+    """id, related_id: each memory that near_duplicate_pairs() would pair, once, with one of its partners; pairs are never rows.
+
+    Of two partners the one that comes first in the list (pos) must not be reviewed_keep. So a memory needs a later partner and not to be
+    reviewed itself, or an earlier partner that isn't; the last place and the first open place of its class and of linked classes tell.
+    """
+    scope = ["chat_id", "character_id"] if scope is None else scope
+    usable = memories.filter(~F.col("pinned")).withColumn("norm", t.normalize_report(F.col("content")))
+    sets = durable(_classes(usable, scope, t.token_set(F.col("norm"))))
+    classes = sets.select(*scope, "id", "rep", F.col("n").alias("n_tokens"))
+    place = usable.select("id", "pos", "norm", (F.coalesce("metadata.review_status", F.lit("")) != "reviewed_keep").alias("open"))
+    # Texts without letters or digits have no tokens: their class is the text itself.
+    kind = F.when(F.col("n_tokens") > 0, F.concat(F.lit("t"), F.col("rep").cast("string"))).otherwise(F.concat(F.lit("n"), "norm"))
+    rows = classes.join(place, "id").select(*scope, "id", kind.alias("class"), "pos", "open")
+    one = F.struct("pos", "id")
+    ends = rows.groupBy(*scope, "class").agg(F.max(one).alias("last"), F.min(F.when(F.col("open"), one)).alias("first_open"))
+    pairs = _paired(sets, scope, percent)
+    name = lambda c, n: F.concat(F.lit("t"), F.col(c).cast("string")).alias(n)
+    both = pairs.select(*scope, name("a", "class"), name("b", "other")).unionByName(pairs.select(*scope, name("b", "class"), name("a", "other")))
+    linked = both.join(ends.withColumnRenamed("class", "other"), [*scope, "other"]).groupBy(*scope, "class").agg(F.max("last").alias("other_last"), F.min("first_open").alias("other_first"))
+    full = rows.join(ends, [*scope, "class"]).join(linked, [*scope, "class"], "left")
+    last, first = F.greatest("last", "other_last"), F.least("first_open", "other_first")
+    related = F.when(first["pos"] < F.col("pos"), first["id"]).when(F.col("open") & (last["pos"] > F.col("pos")), last["id"])
+    return full.select("id", related.alias("related_id")).filter(F.col("related_id").isNotNull())
+
+
 def shadowed_by_stable(cards: DataFrame, min_shared: int = 2, scope: list[str] | None = None) -> DataFrame:
     """id, related_id: episodic memories that aren't active and share signals with a stable one; the first by list order (pos)."""
     scope = ["chat_id", "character_id"] if scope is None else scope

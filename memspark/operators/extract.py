@@ -46,6 +46,7 @@ def extract(messages: DataFrame, p: ExtractPolicy | None = None, lemmas: dict[st
     )
 
 
+# The gate's reasons, here those that pass and below all.
 PASSED = ("non_auto_bypass", "has_keywords", "has_entities", "rich_content")
 
 

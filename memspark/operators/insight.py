@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import memory as m
 from ..functions import text as t
-from .duplicates import near_duplicate_pairs, shadowed_by_stable
+from .duplicates import near_duplicate_candidates, near_duplicate_pairs, shadowed_by_stable
 
 SCOPE = ["chat_id", "character_id"]
 CANDIDATE_TYPES = ("near_duplicate", "stale_low_value_episode", "shadowed_by_stable")
@@ -80,16 +80,29 @@ def list_position(memories: DataFrame, scope: list[str] | None = None) -> DataFr
     return memories.withColumn("pos", F.row_number().over(W.partitionBy(*scope).orderBy(F.desc("updated_at"), F.desc("id"))))
 
 
-def consolidation_candidates(memories: DataFrame, as_of: Column, percent: int = 85, scope: list[str] | None = None) -> DataFrame:
-    """id, type, reason, related_id: near duplicates (both sides), stale episodes of low use, episodes covered by a stable memory."""
+# The reasons of candidates.
+REASONS = {
+    "near_duplicate": "Near-duplicate content cluster.", "stale_low_value_episode": "Stale episodic memory with low retrieval activity.", "shadowed_by_stable": "Similar topic already represented by a stable memory.",
+}
+
+
+def consolidation_candidates(memories: DataFrame, as_of: Column, percent: int = 85, scope: list[str] | None = None, pairs: bool = True) -> DataFrame:
+    """id, type, reason, related_id: near duplicates, stale episodes of low use, episodes covered by a stable memory.
+
+    pairs: a row for each near duplicate of a memory, as the report of one chat lists them; else one row a memory, whatever the size of its group.
+    """
     scope = SCOPE if scope is None else scope
     rows = m.cards(list_position(memories, scope), as_of)
-    pairs = near_duplicate_pairs(rows, percent, scope).select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("related_id")), F.struct(F.col("b").alias("id"), F.col("a").alias("related_id")))).alias("p"))
-    near = pairs.select("p.id", F.lit("near_duplicate").alias("type"), F.lit("Near-duplicate content cluster.").alias("reason"), "p.related_id")
+    named = lambda c: (F.lit(c).alias("type"), F.lit(REASONS[c]).alias("reason"))
+    if pairs:
+        near = near_duplicate_pairs(rows, percent, scope).select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("related_id")), F.struct(F.col("b").alias("id"), F.col("a").alias("related_id")))).alias("p"))
+        near = near.select("p.id", *named("near_duplicate"), "p.related_id")
+    else:
+        near = near_duplicate_candidates(rows, percent, scope).select("id", *named("near_duplicate"), "related_id")
     open_ = rows.filter(~F.col("pinned") & (F.coalesce("metadata.review_status", F.lit("")) != "reviewed_keep"))
     stale = open_.filter((F.col("layer") == "episodic") & (F.col("freshness") == "stale") & F.col("activity").isin("never_used", "low_use"))
-    stale = stale.select("id", F.lit("stale_low_value_episode").alias("type"), F.lit("Stale episodic memory with low retrieval activity.").alias("reason"), F.lit(None).cast("string").alias("related_id"))
-    shadow = shadowed_by_stable(rows, scope=scope).select("id", F.lit("shadowed_by_stable").alias("type"), F.lit("Similar topic already represented by a stable memory.").alias("reason"), "related_id")
+    stale = stale.select("id", *named("stale_low_value_episode"), F.lit(None).cast("string").alias("related_id"))
+    shadow = shadowed_by_stable(rows, scope=scope).select("id", *named("shadowed_by_stable"), "related_id")
     return near.unionByName(stale).unionByName(shadow)
 
 
@@ -121,7 +134,7 @@ def browse(
     if activity:
         rows = rows.filter(F.col("activity") == activity)
     if consolidation:
-        found = consolidation_candidates(memories, as_of)
+        found = consolidation_candidates(memories, as_of, pairs=False)
         rows = by_ids(rows, found if consolidation == "candidates_only" else found.filter(F.col("type") == consolidation))
     return sorted_memories(rows, sort, as_of).offset(offset).limit(limit)
 
@@ -150,6 +163,10 @@ def message_audit(messages: DataFrame, chars: int = 240) -> DataFrame:
     return messages.groupBy("request_id").agg(F.count("*").alias("message_count"), F.array_sort(F.collect_list(entry)).alias("messages"))
 
 
+# Fixed value: the name of the loop that records come from.
+LOOP = "pre_generation_retrieve_current_turn"
+
+
 def audit_records(requests: DataFrame, store: DataFrame | None, retrieve: DataFrame | None, insertion: DataFrame | None, ts: Column) -> DataFrame:
     """One record a request, joined from its stages, with notes on what is missing or odd.
 
@@ -159,7 +176,7 @@ def audit_records(requests: DataFrame, store: DataFrame | None, retrieve: DataFr
     some = lambda c: F.nullif(F.col(c), F.lit(""))
     rows = requests.select(
         "request_id", F.concat_ws(":", "chat_id", F.unix_millis(ts)).alias("interaction_id"), ts.alias("timestamp"), some("chat_id").alias("chat_id"), some("character_id").alias("character_id"),
-        some("groupId").alias("group_id"), "chat_scope_source", "character_scope_source", F.lit("pre_generation_retrieve_current_turn").alias("loop_pattern"),
+        some("groupId").alias("group_id"), "chat_scope_source", "character_scope_source", F.lit(LOOP).alias("loop_pattern"),
     )
     shapes = {
         "store": "struct<stored:bigint,updated:bigint,skipped:bigint>",
@@ -174,6 +191,7 @@ def audit_records(requests: DataFrame, store: DataFrame | None, retrieve: DataFr
     }
     for name, part in parts.items():
         rows = rows.withColumn(name, F.lit(None).cast(shapes[name])) if part is None else rows.join(part, "request_id", "left")
+    # The stage that counts, and the notes.
     pre = lambda c: F.coalesce(F.col(f"{c}.stage") == "pre_generation", F.lit(False))
     yes = lambda c: F.coalesce(c, F.lit(False))
     notes = {

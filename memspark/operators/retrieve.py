@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -117,89 +120,83 @@ def plain_top(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-ENTRY = "struct<score:double,prio:int,updated_at:timestamp,id:string,layer:string,norm:string,tokens:array<string>>"
-CHOSEN = f"array<{ENTRY}>"
+CHOSEN = "array<struct<score:double,id:string,layer:string>>"
+#: Layers by priority within a band, the first one first.
+PRIORITY = ("summary", "stable", "episodic")
 
 
-def band_sort(entries: Column, band: float) -> Column:
+def banded(entries: list[dict], band: float) -> Iterator[dict]:
     """Entries by score; those within `band` of a band's best go by layer priority, time and id, all descending.
 
     A band opens at its best score, so unlike comparing neighbours this is a total order and doesn't depend on the input's order.
+    Bands are made as they are asked for, so a pass that stops early sorts no more.
     """
-    best_first = F.array_sort(entries, lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).otherwise(0))
-    zero = F.struct(F.lit(0).alias("no"), F.lit(float("inf")).alias("top"), F.array().cast(f"array<struct<no:int,e:{ENTRY}>>").alias("out"))
-
-    def step(acc: Column, e: Column) -> Column:
-        opens = acc["top"] - e["score"] > band
-        no = F.when(opens, acc["no"] + 1).otherwise(acc["no"])
-        return F.struct(no.alias("no"), F.when(opens, e["score"]).otherwise(acc["top"]).alias("top"), F.concat(acc["out"], F.array(F.struct(no.alias("no"), e.alias("e")))).alias("out"))
-
-    numbered = F.aggregate(best_first, zero, step)["out"]
-
-    def order(a: Column, b: Column) -> Column:
-        x, y = a["e"], b["e"]
-        out = F.lit(0)
-        for f in ("id", "updated_at", "prio"):
-            out = F.when(x[f] > y[f], -1).when(x[f] < y[f], 1).otherwise(out)
-        return F.when(a["no"] < b["no"], -1).when(a["no"] > b["no"], 1).otherwise(out)
-
-    return F.transform(F.array_sort(numbered, order), lambda x: x["e"])
-
-
-def _similar(e: Column, chosen: Column, limit: float) -> Column:
-    return (e["norm"] == "") | F.exists(chosen, lambda s: (s["norm"] == e["norm"]) | (t.overlap_ratio(s["tokens"], e["tokens"]) >= limit))
-
-
-def _fill(state: Column, entries: Column, top: Column, p: ScorePolicy, capped: bool = False, seed: bool = False) -> Column:
-    """A greedy pass over the entries. state: what is chosen, the ids tried and found too similar, whether this pass took one. A seeding pass takes one entry, and none for limits below 3."""
-
-    def step(acc: Column, e: Column) -> Column:
-        chosen = acc["chosen"]
-        open_ = (F.size(chosen) < top) & ~F.exists(chosen, lambda s: s["id"] == e["id"])
-        if capped:
-            open_ = open_ & (F.size(F.filter(chosen, lambda s: s["layer"] == e["layer"])) < m.by_layer(e["layer"], p.caps))
-        if seed:
-            open_ = open_ & ~acc["done"] & (top >= 3)
-        verdict = F.when(~open_, F.lit(0)).when(_similar(e, chosen, p.similar), F.lit(1)).otherwise(F.lit(2))
-        one = F.array(F.struct(verdict.alias("v"), e.alias("e")))
-        return F.struct(
-            F.concat(chosen, F.transform(F.filter(one, lambda x: x["v"] == 2), lambda x: x["e"])).alias("chosen"),
-            F.concat(acc["dropped"], F.transform(F.filter(one, lambda x: x["v"] == 1), lambda x: x["e"]["id"])).alias("dropped"),
-            (acc["done"] | (verdict == 2)).alias("done"),
-        )
-
-    return F.aggregate(entries, state.withField("done", F.lit(False)), step)
+    by_score, at = sorted(entries, key=lambda e: -e["score"]), 0
+    while at < len(by_score):
+        end = at
+        while end < len(by_score) and by_score[at]["score"] - by_score[end]["score"] <= band:
+            end += 1
+        own = sorted(by_score[at:end], key=lambda e: (e["updated_at"], e["id"]), reverse=True)
+        yield from sorted(own, key=lambda e: PRIORITY.index(e["layer"]))
+        at = end
+
+
+def select_entries(entries: list[dict], top: int, p: ScorePolicy) -> tuple[list[dict], list[str]]:
+    """What is chosen of one request's passing entries, best first, and the ids that were tried and too similar. See select_layered()."""
+    chosen, taken, dropped = [], set(), {}
+
+    def similar(e: dict) -> bool:
+        for s in chosen:
+            smaller = min(len(s["tokens"]), len(e["tokens"]))
+            if s["norm"] == e["norm"] or (smaller and len(s["tokens"] & e["tokens"]) / smaller >= p.similar):
+                return True
+        return e["norm"] == ""
+
+    def fits(e: dict) -> bool:
+        """Takes e unless it is too similar."""
+        if similar(e):
+            dropped[e["id"]] = True
+            return False
+        chosen.append(e)
+        taken.add(e["id"])
+        return True
+
+    if top >= 3:
+        for layer in PRIORITY:
+            next((e for e in banded([e for e in entries if e["layer"] == layer], p.band) if len(chosen) < top and e["id"] not in taken and fits(e)), None)
+    for capped in (True, False):
+        for e in banded(entries, p.band):
+            if len(chosen) >= top:
+                break
+            if e["id"] not in taken and not (capped and sum(s["layer"] == e["layer"] for s in chosen) >= p.caps[e["layer"]]):
+                fits(e)
+    best = sorted(chosen, key=lambda e: (e["score"], e["updated_at"], e["id"]), reverse=True)
+    return best, list(dropped)
 
 
 def select_layered(scored: DataFrame, p: ScorePolicy | None = None) -> DataFrame:
     """request_id, selected array (ranked), filtered_ids: three greedy passes over each request's passing entries.
 
     From a limit of 3 on the best of each layer comes first; then the best under the layers' caps; then the best without caps.
-    An entry too similar to one already chosen is skipped. Only entries over the threshold are gathered per request.
+    An entry too similar to one already chosen is skipped. Only entries over the threshold are gathered per request, with hashes for
+    their tokens; each choice depends on those before it, so a request's passes run in one small function.
     """
     p = p or ScorePolicy()
-    prio = m.by_layer(F.col("ret_layer"), {"summary": 2, "stable": 1, "episodic": 0})
-    entry = F.struct("score", prio.cast("int").alias("prio"), "updated_at", "id", F.col("ret_layer").alias("layer"), "norm", "tokens")
+    entry = F.struct("score", F.unix_micros("updated_at").alias("updated_at"), "id", F.col("ret_layer").alias("layer"), F.when(F.col("norm") == "", F.lit("")).otherwise(F.sha2("norm", 256)).alias("norm"), F.transform("tokens", lambda x: F.xxhash64(x)).alias("tokens"))
     gathered = scored.filter("passed").groupBy("request_id").agg(F.max(F.coalesce("top", F.lit(5))).alias("top"), F.collect_list(entry).alias("entries"))
-    rows = gathered.withColumn("ranked", band_sort(F.col("entries"), p.band))
-    # One pass a step, each naming the step before it once, so that the plan grows with the steps and no faster.
-    rows = rows.withColumn("s", F.struct(F.array().cast(CHOSEN).alias("chosen"), F.array().cast("array<string>").alias("dropped"), F.lit(False).alias("done")))
-    for layer in m.LAYERS:
-        rows = rows.withColumn("s", _fill(F.col("s"), band_sort(_of_layer(F.col("entries"), layer), p.band), F.col("top"), p, seed=True))
-    rows = rows.withColumn("s", _fill(F.col("s"), F.col("ranked"), F.col("top"), p, capped=True))
-    rows = rows.withColumn("s", _fill(F.col("s"), F.col("ranked"), F.col("top"), p))
-
-    def final(a: Column, b: Column) -> Column:
-        out = F.lit(0)
-        for f in ("id", "updated_at", "score"):
-            out = F.when(a[f] > b[f], -1).when(a[f] < b[f], 1).otherwise(out)
-        return out
-
-    return rows.select("request_id", F.array_sort("s.chosen", final).alias("selected"), F.array_distinct("s.dropped").alias("filtered_ids"))
-
-
-def _of_layer(entries: Column, layer: str) -> Column:
-    return F.filter(entries, lambda e: e["layer"] == layer)
+    kind = pa.list_(pa.struct([("score", pa.float64()), ("id", pa.string()), ("layer", pa.string())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            selected, filtered = [], []
+            for top, entries in zip(batch.column("top").to_pylist(), batch.column("entries"), strict=True):
+                listed = [e | {"tokens": set(e["tokens"]), "updated_at": -(2**62) if e["updated_at"] is None else e["updated_at"]} for e in entries.as_py()]
+                best, dropped = select_entries(listed, top, p)
+                selected.append([{k: e[k] for k in ("score", "id", "layer")} for e in best])
+                filtered.append(dropped)
+            yield pa.record_batch([batch.column("request_id"), pa.array(selected, kind), pa.array(filtered, pa.list_(pa.string()))], ["request_id", "selected", "filtered_ids"])
+
+    return gathered.mapInArrow(run, f"request_id string, selected {CHOSEN}, filtered_ids array<string>")
 
 
 def retrieve(requests: DataFrame, memories: DataFrame, as_of: Column, p: ScorePolicy | None = None, lemmas: dict[str, str] | None = None, prune: bool = True) -> DataFrame:

@@ -22,10 +22,11 @@ def decide(memories: DataFrame, candidates: DataFrame, gate: GatePolicy | None =
     The batch rule: matches are looked for among the memories as they were before the batch. Candidates of the batch with equal
     content in a scope follow the first of them: it is matched or stored, the others count as exact hits of the same memory.
     """
-    gated = quality_gate(candidates, gate).withColumn("normalized_content", t.normalize_content(F.col("content")))
+    # Gated candidates and their exact hits are read several times, so they are written once.
+    gated = durable(quality_gate(candidates, gate).withColumn("normalized_content", t.normalize_content(F.col("content"))))
     bad = gated.filter("not gate_ok").select("*", F.lit(None).cast("string").alias("matched_id"), F.lit(False).alias("protected"), F.lit("quality_gate").alias("branch"))
     good = gated.filter("gate_ok")
-    exact = exact_matches(good, memories)
+    exact = durable(exact_matches(good, memories))
     state = memories.select(F.col("id").alias("existing_id"), (~m.can_auto_update()).alias("protected"))
     known = exact.filter("existing_id is not null").join(state, "existing_id").withColumn("branch", F.lit("exact")).withColumnRenamed("existing_id", "matched_id")
     rest = exact.filter("existing_id is null").drop("existing_id")
@@ -38,6 +39,7 @@ def decide(memories: DataFrame, candidates: DataFrame, gate: GatePolicy | None =
     rest = rest.withColumn("branch", branch).withColumn("matched_id", F.coalesce("soft_id", F.when(~leads, F.col("leader")))).withColumn("protected", F.lit(False))
     cols = [*gated.columns, "matched_id", "protected", "branch"]
     rows = bad.select(*cols).unionByName(known.select(*cols)).unionByName(rest.select(*cols))
+    # Names of branches, decisions and reasons.
     decision = (
         F.when(F.col("branch") == "quality_gate", F.lit("skipped_low_value")).when(F.col("protected"), F.lit("skipped_exact_protected")).when(F.col("branch") == "new", F.lit("stored")).otherwise(F.lit("updated"))
     )

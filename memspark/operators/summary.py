@@ -57,12 +57,16 @@ def _segments(items: Column, hints: list[str], most: int) -> Column:
     return F.slice(F.transform(first, lambda x: t.truncate_at_blank(x["content"], 120, dots="", strip_stops=True)), 1, most)
 
 
+# The frame around a summary's parts.
+HEAD, EVENTS, RELATED, GOALS = "Краткая сводка последних эпизодов (", "Недавние события: ", "Изменения в отношениях: ", "Текущие цели и состояние: "
+
+
 def summary_text(items: Column, p: SummaryPolicy) -> Column:
     """The fixed Russian frame around up to three events, one relationship change and two goals or states."""
     events, related, goals = _segments(items, [], p.segments), _segments(items, policy.SUMMARY_RELATIONSHIP, 1), _segments(items, policy.SUMMARY_GOALS, 2)
     part = lambda name, xs: F.when(F.size(xs) > 0, F.concat(F.lit(name), F.array_join(xs, "; "), F.lit(".")))
-    head = F.concat(F.lit("Краткая сводка последних эпизодов ("), F.size(items).cast("string"), F.lit("):"))
-    text = F.concat_ws(" ", head, part("Недавние события: ", events), part("Изменения в отношениях: ", related), part("Текущие цели и состояние: ", goals))
+    head = F.concat(F.lit(HEAD), F.size(items).cast("string"), F.lit("):"))
+    text = F.concat_ws(" ", head, part(EVENTS, events), part(RELATED, related), part(GOALS, goals))
     return F.when(F.size(items) > 0, text).otherwise(F.lit(""))
 
 

@@ -14,6 +14,7 @@ from ..functions import text as t
 from ..functions.policy import BudgetPolicy, ExtractPolicy, MergePolicy, ScorePolicy
 from ..operators import blocks, changes, duplicates, evaluate, extract, insight, retrieve, store, summary
 from ..sources import memories as src
+from ..sources.durable import durable
 from .oracles import ORACLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -192,7 +193,7 @@ def consolidation_candidates(spark, sf_dir):
 
 @query
 def consolidation_summary(spark, sf_dir):
-    return insight.consolidation_summary(insight.consolidation_candidates(used_memories(spark, sf_dir), as_of()))
+    return insight.consolidation_summary(insight.consolidation_candidates(used_memories(spark, sf_dir), as_of(), pairs=False))
 
 
 @query
@@ -201,19 +202,19 @@ def browse_page(spark, sf_dir):
     return got.select("id", "updated_days", "touch_state")
 
 
-def requests_from_conversations(spark, sf_dir, recent: int = 0, top: int = 5) -> tuple[DataFrame, DataFrame]:
-    """Each conversation's last user turn as a request, and the turns before it as memories."""
-    messages = src.messages_from_conversations(spark, sf_dir)
+def requests_from_conversations(spark, sf_dir, recent: int = 0, top: int = 5, rows: DataFrame | None = None, archived: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Each conversation's last user turn as a request, and the turns before it as memories. rows: turns in place of the table's."""
+    messages = src.messages_from_conversations(spark, sf_dir, rows)
     last = messages.filter("role = 'user'").groupBy("chat_id", "character_id").agg(F.max("msg_idx").alias("q_turn"), F.max_by("text", "msg_idx").alias("user_input"))
     asked = last.select(
-        F.concat(F.lit("q-"), F.col("chat_id")).alias("request_id"), "chat_id", "character_id", "q_turn", "user_input", F.lit(top).alias("limit"), F.lit(True).alias("include_archived"),
+        F.concat(F.lit("q-"), F.col("chat_id")).alias("request_id"), "chat_id", "character_id", "q_turn", "user_input", F.lit(top).alias("limit"), F.lit(archived).alias("include_archived"),
         F.array().cast("array<struct<role:string,text:string>>").alias("recent_messages"),
     )
     if recent:
         before = messages.join(asked.select("chat_id", "q_turn"), "chat_id").filter((F.col("msg_idx") < F.col("q_turn")) & (F.col("msg_idx") >= F.col("q_turn") - recent))
         said = before.groupBy("chat_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("msg_idx", "role", "text"))), lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("said"))
         asked = asked.join(said, "chat_id", "left").withColumn("recent_messages", F.coalesce("said", "recent_messages")).drop("said")
-    known = src.memories_from_conversations(spark, sf_dir, 64).withColumn("turn", F.split("id", "-")[1].cast("int"))
+    known = src.memories_from_conversations(spark, sf_dir, 64, rows).withColumn("turn", F.split("id", "-")[1].cast("int"))
     known = known.join(asked.select("chat_id", "q_turn"), "chat_id").filter(F.col("turn") < F.col("q_turn")).drop("q_turn", "turn")
     return asked, known
 
@@ -293,7 +294,7 @@ def rolling_summaries(spark, sf_dir):
 
 def stored(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """A chat's first three turns as the store, later turns and repeats of the first as candidates."""
-    rows = src.memories_from_conversations(spark, sf_dir)
+    rows = durable(src.memories_from_conversations(spark, sf_dir))
     turn = F.split("id", "-")[1].cast("int")
     old = rows.filter(turn < 3)
     again = rows.filter(turn < 2).withColumn("id", F.concat("id", F.lit("-again"))).withColumn("content", F.concat("content", F.lit(" !!!")))

@@ -211,13 +211,19 @@ ORACLES["format_blocks"] = f"""WITH {ITEMS}, n AS (SELECT *, {similarity("regexp
 g AS (SELECT *, sum(use::INTEGER) OVER (PARTITION BY request_id ORDER BY rank) AS nth FROM f)
 SELECT request_id, '[Relevant Memory]' || coalesce(string_agg(chr(10) || '- ' || {LABEL} || ' ' || {truncated('content', 120)}, '' ORDER BY rank) FILTER (use AND nth <= 4), '') AS block,
   count(*) FILTER (use AND nth <= 4)::INTEGER AS n_lines FROM g GROUP BY request_id"""
-ORACLES["budget_blocks"] = f"""WITH {ITEMS}, l AS (SELECT *, '- ' || {LABEL} || ' ' || {truncated('content', 110)} AS line, row_number() OVER (PARTITION BY request_id, ret_layer ORDER BY rank) > CASE ret_layer WHEN 'stable' THEN 2 ELSE 1 END AS capped FROM items),
+
+def budget(items: int, chars: int) -> str:
+    """budget: what stays of each chat's items and why the rest goes."""
+    return f"""{ITEMS}, l AS (SELECT *, '- ' || {LABEL} || ' ' || {truncated('content', 110)} AS line, row_number() OVER (PARTITION BY request_id, ret_layer ORDER BY rank) > CASE ret_layer WHEN 'stable' THEN 2 ELSE 1 END AS capped FROM items),
 o AS (SELECT *, row_number() OVER w AS nth, 17 + sum(length(line) + 1) OVER w AS chars FROM l WINDOW w AS (PARTITION BY request_id, capped ORDER BY CASE ret_layer WHEN 'summary' THEN 0 WHEN 'stable' THEN 1 ELSE 2 END, rank)),
-reasons AS (SELECT *, CASE WHEN capped THEN 'layer_cap:' WHEN nth > 3 THEN 'item_cap:' WHEN chars > 300 THEN 'char_budget:' END || ret_layer AS reason FROM o)
-SELECT request_id, CASE WHEN count(*) FILTER (reason IS NULL) > 0 THEN '[Relevant Memory]' || string_agg(chr(10) || line, '' ORDER BY rank) FILTER (reason IS NULL) ELSE '' END AS block,
+reasons AS (SELECT *, CASE WHEN capped THEN 'layer_cap:' WHEN nth > {items} THEN 'item_cap:' WHEN chars > {chars} THEN 'char_budget:' END || ret_layer AS reason FROM o),
+budget AS (SELECT request_id, CASE WHEN count(*) FILTER (reason IS NULL) > 0 THEN '[Relevant Memory]' || string_agg(chr(10) || line, '' ORDER BY rank) FILTER (reason IS NULL) ELSE '' END AS block,
   CASE WHEN count(*) FILTER (reason IS NULL) > 0 THEN 17 + sum(length(line) + 1) FILTER (reason IS NULL) ELSE 0 END::INTEGER AS actual_chars, count(*)::INTEGER AS retrieved_items, count(*) FILTER (reason IS NULL)::INTEGER AS injected_items,
   count(reason)::INTEGER AS trimmed_items, coalesce(string_agg(reason, ',' ORDER BY NOT capped, CASE WHEN capped THEN rank ELSE -nth END) FILTER (reason IS NOT NULL), '') AS trim_reasons,
-  count(*) FILTER (reason IS NULL AND ret_layer = 'summary')::INTEGER AS injected_summary, count(*) FILTER (reason IS NOT NULL AND ret_layer = 'episodic')::INTEGER AS trimmed_episodic FROM reasons GROUP BY request_id"""
+  count(*) FILTER (reason IS NULL AND ret_layer = 'summary')::INTEGER AS injected_summary, count(*) FILTER (reason IS NOT NULL AND ret_layer = 'episodic')::INTEGER AS trimmed_episodic FROM reasons GROUP BY request_id)"""
+
+
+ORACLES["budget_blocks"] = f"WITH {budget(3, 300)} SELECT * FROM budget"
 
 ROLLING = f"""{MEM}, win AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chat_id, character_id ORDER BY updated_at DESC, id DESC) AS nth FROM memories WHERE layer = 'episodic' AND NOT archived) WHERE nth <= 8 AND NOT is_summary),
 inputs AS (SELECT chat_id, character_id, list(id ORDER BY nth DESC) AS ids, list(content ORDER BY nth) AS contents, list(keywords ORDER BY nth DESC) AS kws FROM win GROUP BY ALL),

@@ -178,17 +178,19 @@ AS_OF = "2026-03-27 00:00:00"
 BASE_TIME = "2026-02-01 00:00:00"
 
 
-def messages_from_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+def messages_from_conversations(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    """rows: turns (conv_id, turn, role, text) in place of the table's."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet") if rows is None else rows
     return rows.select(
         F.concat(F.lit("r"), F.col("conv_id")).alias("request_id"), F.concat(F.lit("chat-"), F.col("conv_id")).alias("chat_id"),
         F.concat(F.lit("char-"), F.col("conv_id") % 7).alias("character_id"), F.col("turn").cast("int").alias("msg_idx"), "role", F.coalesce("text", F.lit("")).alias("text"),
     )
 
 
-def memories_from_conversations(spark: SparkSession, sf_dir: str, keyword_cap: int = 8) -> DataFrame:
-    """One memory per turn, with type, layer, flags and times as fixed functions of the ids."""
-    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumn("text", F.coalesce("text", F.lit("")))
+def memories_from_conversations(spark: SparkSession, sf_dir: str, keyword_cap: int = 8, rows: DataFrame | None = None) -> DataFrame:
+    """One memory per turn, with type, layer, flags and times as fixed functions of the ids. rows: turns in place of the table's."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet") if rows is None else rows
+    rows = rows.withColumn("text", F.coalesce("text", F.lit("")))
     k = F.col("conv_id") * 7 + F.col("turn")
     kind = F.element_at(F.array(*map(F.lit, ("profile", "relationship", "event", "event", "summary"))), (k % 5 + 1).cast("int"))
     updated = F.timestamp_micros(F.unix_micros(F.lit(BASE_TIME).cast("timestamp")) + F.col("turn") * 86_400_000_000 + F.col("conv_id") * 3_600_000_000)
@@ -202,7 +204,8 @@ def memories_from_conversations(spark: SparkSession, sf_dir: str, keyword_cap: i
     )
 
 
-def access_log_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, ts: views and clicks as uses of memories, moved to the memories' time."""
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").filter(F.col("event_type").isin("view", "click"))
+def access_log_from_events(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    """id, ts: views and clicks as uses of memories, moved to the memories' time. rows: events in place of the table's, such as a stream of it."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet") if rows is None else rows
+    rows = rows.filter(F.col("event_type").isin("view", "click"))
     return rows.select(F.concat_ws("-", "user_id", (F.col("event_id") % 8)).alias("id"), (F.col("ts") + F.expr("interval 790 days")).alias("ts"))

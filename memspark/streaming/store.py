@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StringType, StructField, StructType
@@ -22,74 +23,146 @@ DECISIONS = "chat_id string, character_id string, id string, decision string, br
 class SequentialStore(StatefulProcessor):
     """Stores a scope's candidates one after another: each sees what earlier ones changed.
 
-    State: normalised content to the memory under it, as JSON. A soft match looks at the policy's newest memories.
+    State: each memory by id, ids by normalised content, and the policy's newest ids, newest first. A call reads the newest memories, as soft
+    matches look at these only, and what its candidates hit exactly; so its work grows with its candidates, not with the scope.
+    Memories that are pinned, archived or not automatic are protected: an exact hit skips the candidate, soft matches pass them by.
     """
 
     def __init__(self, policy: MergePolicy):
         self.policy = policy
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        text = StructType([StructField("v", StringType())])
-        self.memories = handle.getMapState("memories", StructType([StructField("k", StringType())]), text)
+        key, text = StructType([StructField("k", StringType())]), StructType([StructField("v", StringType())])
+        self.memories = handle.getMapState("memories", key, text)
+        self.by_norm = handle.getMapState("by_norm", key, text)
+        self.newest = handle.getValueState("newest", text)
+
+    def _order(self) -> list[list]:
+        return json.loads(self.newest.get()[0]) if self.newest.exists() else []
+
+    def _cut(self, order: list[list]) -> list[list]:
+        return order if self.policy.newest is None else order[: self.policy.newest]
+
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timer_values) -> None:
+        """The memories that a scope has when the stream begins. Times before it count as older than every candidate."""
+        rows, ids = initialState.sort_values(["updated_at", "id"], ascending=False), {}
+        for r in rows.sort_values(["created_at", "id"]).itertuples():
+            ids.setdefault(r.normalized_content, []).append(r.id)
+        for r in rows.itertuples():
+            self.memories.updateValue((r.id,), (json.dumps(_memory(r, bool(r.protected))),))
+        for norm, some in ids.items():
+            self.by_norm.updateValue((norm,), (json.dumps(some),))
+        self.newest.update((json.dumps(self._cut([[-1, x] for x in rows["id"]])),))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        p, out = self.policy, []
-        given = pd.concat(list(rows))
-        state = {k[0]: json.loads(v[0]) for k, v in self.memories.iterator()}
-        for c in given.sort_values("seq").itertuples():
-            new = {"id": c.id, "type": c.type, "content": c.content, "importance": float(c.importance), "entities": list(c.entities), "keywords": list(c.keywords), "seq": int(c.seq)}
-            norm = c.normalized_content
-            branch, hit = "new", norm if norm in state else None
-            if hit is not None:
-                branch = "exact"
-            else:
-                recent = sorted(state, key=lambda k: (-state[k]["seq"], state[k]["id"]))
-                hit = next((k for k in recent[: p.newest] if self._soft(new, state[k])), None)
+        p, out, changed, cache = self.policy, [], {}, {}
+        order = self._order()
+
+        def memory(i: str) -> dict:
+            if i not in cache:
+                cache[i] = json.loads(self.memories.getValue((i,))[0])
+            return cache[i]
+
+        for c in pd.concat(list(rows)).sort_values(["seq", "id"]).itertuples():
+            new, norm = _memory(c, bool(c.protected)), c.normalized_content
+            same = json.loads(self.by_norm.getValue((norm,))[0]) if self.by_norm.containsKey((norm,)) else []
+            branch, hit = ("exact", same[0]) if same else ("new", None)
+            if hit is None:
+                hit = next((i for _, i in order if self._soft(new, memory(i))), None)
                 branch = "soft" if hit is not None else "new"
+            if branch == "exact" and memory(hit)["protected"]:
+                out.append(self._row(key, c.id, "skipped_exact_protected", branch, memory(hit)))
+                continue
             if hit is None:
-                state[norm] = new
-                changed = norm
+                cache[c.id] = new
+                self.by_norm.updateValue((norm,), (json.dumps([c.id]),))
             else:
-                changed = self._merge(state, hit, new, p.exact_boost if branch == "exact" else p.soft_boost, norm)
-            m = state[changed]
-            self.memories.updateValue((changed,), (json.dumps(m),))
-            out.append((*key, c.id, "stored" if hit is None else "updated", branch, None if hit is None else m["id"], m["content"], m["importance"], m["entities"], m["keywords"]))
+                self._merge(memory(hit), new, p.exact_boost if branch == "exact" else p.soft_boost)
+            at = hit or c.id
+            changed[at] = True
+            order = self._cut([[int(c.seq), at], *[x for x in order if x[1] != at]])
+            out.append(self._row(key, c.id, "stored" if hit is None else "updated", branch, cache[at], hit is None))
+        for i in changed:
+            self.memories.updateValue((i,), (json.dumps(cache[i]),))
+        self.newest.update((json.dumps(order),))
         yield pd.DataFrame(out, columns=[x.split(" ")[0] for x in DECISIONS.split(", ")])
 
+    @staticmethod
+    def _row(key: tuple, candidate: str, decision: str, branch: str, m: dict, is_new: bool = False) -> tuple:
+        return (*key, candidate, decision, branch, None if is_new else m["id"], m["content"], m["importance"], m["entities"], m["keywords"])
+
     def _soft(self, new: dict, old: dict) -> bool:
         lower = lambda xs: {x.lower() for x in xs}
-        shared = len(lower(new["entities"]) & lower(old["entities"])), len(set(new["keywords"]) & set(old["keywords"]))
-        return new["type"] == old["type"] and shared[0] >= self.policy.min_entities and shared[1] >= self.policy.min_keywords
+        if old["protected"] or new["type"] != old["type"]:
+            return False
+        return len(lower(new["entities"]) & lower(old["entities"])) >= self.policy.min_entities and len(set(new["keywords"]) & set(old["keywords"])) >= self.policy.min_keywords
 
-    def _merge(self, state: dict, hit: str, new: dict, boost: float, norm: str) -> str:
-        """Folds new into the memory under hit and returns the key it now has."""
-        old = state[hit]
+    def _merge(self, old: dict, new: dict, boost: float) -> None:
+        """Folds new into old; a clearly longer content takes over, and with it the normalised one."""
         for f in ("entities", "keywords"):
             old[f] += [x for x in new[f] if x not in old[f]]
-        old["importance"], old["seq"] = min(old["importance"] + boost, 1.0), new["seq"]
+        old["importance"] = min(old["importance"] + boost, 1.0)
         if len(new["content"]) > len(old["content"]) + self.policy.longer_by:
             old["content"] = new["content"]
-            if norm != hit:
-                self.memories.removeKey((hit,))
-                state[norm] = state.pop(hit)
-                return norm
-        return hit
+            if new["norm"] != old["norm"]:
+                left = [i for i in json.loads(self.by_norm.getValue((old["norm"],))[0]) if i != old["id"]]
+                self.by_norm.updateValue((old["norm"],), (json.dumps(left),)) if left else self.by_norm.removeKey((old["norm"],))
+                self.by_norm.updateValue((new["norm"],), (json.dumps([old["id"]]),))
+                old["norm"] = new["norm"]
 
     def close(self) -> None:
         pass
 
 
+def _memory(r, protected: bool) -> dict:
+    return {
+        "id": r.id, "type": r.type, "content": r.content, "norm": r.normalized_content, "importance": float(r.importance), "entities": list(r.entities), "keywords": list(r.keywords), "protected": protected,
+    }
+
+
+#: The state store that keyed state needs.
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def state_in_rocksdb(spark: SparkSession) -> Iterator[None]:
+    """For queries that keep keyed state: sets the session's state store and puts it back."""
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
+
+
 def _stateful(df: DataFrame) -> DataFrame:
     """df, in a session whose state store coordinator runs: a batch query doesn't start it, asking for the streams does."""
     _ = df.sparkSession.streams.active
     return df
 
 
-def store_stream(candidates: DataFrame, gate: GatePolicy | None = None, merge: MergePolicy | None = None) -> DataFrame:
-    """Decisions on a stream (or table) of candidates (id, scope, type, content, normalized_content, source, importance, metadata, seq) that pass the gate, in the order of seq within a batch."""
-    rows = quality_gate(candidates, gate).filter("gate_ok").withColumns({"entities": F.col("metadata.entities"), "keywords": F.col("metadata.keywords")})
-    rows = rows.select(*SCOPE, "id", "type", "content", "normalized_content", "importance", "entities", "keywords", "seq")
-    return _stateful(rows).groupBy(*SCOPE).transformWithStateInPandas(statefulProcessor=SequentialStore(merge or MergePolicy()), outputStructType=DECISIONS, outputMode="append", timeMode="none")
+def _listed(rows: DataFrame) -> DataFrame:
+    """rows with their lists and whether they are protected from automatic changes; flags that are missing count as false."""
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False)) if c in rows.columns else F.lit(False)
+    protected = (F.col("source") != "auto") | flag("pinned") | flag("archived")
+    lists = {c: F.coalesce(f"metadata.{c}", F.array().cast("array<string>")) for c in ("entities", "keywords")}
+    return rows.withColumns({**lists, "protected": F.coalesce(protected, F.lit(True))})
+
+
+STORED = ["id", "type", "content", "normalized_content", "importance", "entities", "keywords", "protected"]
+
+
+def store_stream(candidates: DataFrame, gate: GatePolicy | None = None, merge: MergePolicy | None = None, memories: DataFrame | None = None) -> DataFrame:
+    """Decisions on a stream (or table) of candidates (id, scope, type, content, normalized_content, source, importance, metadata, seq) that pass the gate, in the order of seq within a batch.
+
+    memories: a table of memories that the store holds when the stream begins; without it scopes begin empty.
+    """
+    rows = _listed(quality_gate(candidates, gate).filter("gate_ok")).select(*SCOPE, *STORED, "seq")
+    held = None if memories is None else _listed(memories).select(*SCOPE, *STORED, "created_at", "updated_at").groupBy(*SCOPE)
+    return _stateful(rows).groupBy(*SCOPE).transformWithStateInPandas(
+        statefulProcessor=SequentialStore(merge or MergePolicy()), outputStructType=DECISIONS, outputMode="append", timeMode="none", initialState=held
+    )
 
 
 def usage_stream(log: DataFrame) -> DataFrame:
@@ -134,11 +207,21 @@ def recent_context_stream(messages: DataFrame, n: int = 8) -> DataFrame:
     return _stateful(rows).groupBy("chat_id").transformWithStateInPandas(statefulProcessor=RecentContext(n), outputStructType="chat_id string, msg_idx int, recent array<string>", outputMode="append", timeMode="none")
 
 
-def summary_batches(read: Callable[[], DataFrame], write: Callable[[DataFrame], None], as_of: Callable[[], Column]) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch on a stream of new episodic memories: summarises the scopes that the batch touched."""
+def summary_batches(read: Callable[[], DataFrame], write: Callable[..., None], as_of: Callable[[], Column], by_batch: bool = False) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch on a stream of new episodic memories: summarises the scopes that the batch touched.
 
-    def run(batch: DataFrame, _: int) -> None:
+    A batch may come again after a failure. by_batch: write also gets the batch's number, so that it can replace what the first attempt
+    wrote (see replace_batch). A summary's id is that of its scope, so writers that merge by id need no number.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
         touched = batch.select(*SCOPE).distinct()
-        write(rolling_summary(read().join(touched, SCOPE, "left_semi"), as_of()))
+        done = rolling_summary(read().join(touched, SCOPE, "left_semi"), as_of())
+        write(done, number) if by_batch else write(done)
 
     return run
+
+
+def replace_batch(path: str) -> Callable[[DataFrame, int], None]:
+    """A writer for batches that may come again: each batch has a folder of its own, which a second attempt replaces."""
+    return lambda rows, number: rows.write.mode("overwrite").parquet(f"{path}/batch={number}")

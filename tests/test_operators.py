@@ -313,6 +313,17 @@ def test_consolidation(mem):
     assert [r["id"] for r in page.collect()] == ["m1", "m0"]
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_candidates_without_pairs_are_those_of_the_pairs(mem, seed):
+    rng = random.Random(seed)
+    words = "alice plants red roses daily in spring near old harbour walls".split()
+    texts = [" ".join(rng.sample(words, rng.randrange(1, 9))) for _ in range(25)] + ["...", "...", "!", " ... "]
+    memories = mem(*[{"content": rng.choice(texts), "chat_id": rng.choice("xy"), "pinned": rng.random() < 0.1, "review": rng.choice([None, None, "reviewed_keep"]), "updated_at": BASE - dt.timedelta(minutes=i)} for i in range(70)])
+    pairs, ids = (insight.consolidation_candidates(memories, now(), pairs=p).filter("type = 'near_duplicate'").collect() for p in (True, False))
+    assert len(pairs) > 2 * len(ids) > 0 and {(r["id"], r["related_id"]) for r in ids} <= {(r["id"], r["related_id"]) for r in pairs}
+    assert sorted(r["id"] for r in ids) == sorted({r["id"] for r in pairs})
+
+
 def test_sources(spark, mem, tmp_path):
     memories = mem({"content": "Keep this"}, {"content": "bad", "importance": 3.0})
     flat = src.encode_flat(memories)

@@ -28,7 +28,10 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(entry.catalog.ORACLES))
+OWN = entry.catalog.ORACLES | entry.folds.ORACLES | entry.more.ORACLES
+
+
+@pytest.mark.parametrize("name", sorted(OWN))
 def test_query_equals_sql(name, spark, duck):
     got = entry.queries()[name](spark, SF)
     columns = sorted(got.columns)
@@ -39,9 +42,44 @@ def test_query_equals_sql(name, spark, duck):
     assert normal(map(tuple, got.select(*columns).collect())) == normal(expected)
 
 
-@pytest.mark.parametrize("name", ["rolling_summaries", "anchor_blocks", "audit_records"])
-def test_query_runs(name, spark):
-    assert entry.queries()[name](spark, SF).count() > 0
+#: What must differ between rows, so that rules and their opposites are compared.
+VARIED = {
+    "said_features": ["question_like", "scene_query", "cues", "durable", "durable_statement", "relationship_question", "scene_question", "detail"],
+    "said_types": ["blocked", "preference", "profile", "relationship", "event", "type", "layer", "importance"],
+    "said_extracts": ["type", "layer", "content", "keywords", "entities"],
+    "lemma_features": ["keywords", "entities"],
+    "said_scores": ["keyword_overlap", "entity_overlap", "cue_overlap", "scene", "echo", "detail", "passed", "score"],
+    "said_layered": ["ret_layer", "selected", "rank", "filtered_by_diversity", "reason"],
+    "said_metrics": ["total_candidates", "selected_count", "filtered_by_diversity", "reason_filtered_near_duplicate", "selected_summary", "selected_stable", "selected_episodic"],
+    "evaluate_expected": ["passed", "retrieved", "missing_top", "missing", "forbidden", "layers"],
+    "evaluate_cases": ["passed", "missing_top"],
+    "said_snapshot": ["importance", "keywords", "updated_at"],
+    "said_decisions": ["decision", "reason", "branch", "matched_id"],
+    "said_shadowed": ["related_id"],
+    "said_consolidation": ["type", "related_id"],
+    "card_ages": ["freshness", "activity", "touch_state", "recency"],
+    "said_summaries": ["action", "summary_text", "keywords"],
+    "anchors_beside_blocks": ["n_anchors", "truncated"],
+    "lore_allowed": ["lore_tags", "allowed"],
+    "audit_notes": ["block_length", "notes"],
+    "chat_labels": ["display_label", "has_friendly_label"],
+}
+
+
+@pytest.fixture(scope="module")
+def larger():
+    con = duckdb.connect()
+    con.execute("SET timezone = 'UTC'")
+    for f in os.listdir("/root/testdata/sf0.01"):
+        con.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '/root/testdata/sf0.01/{f}'")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(VARIED))
+def test_branches_occur(name, larger):
+    counts = ", ".join(f"count(DISTINCT coalesce({c}::VARCHAR, 'NULL')) AS {c}" for c in VARIED[name])
+    found = larger.execute(f"SELECT {counts} FROM ({OWN[name]})")
+    assert {d[0]: n for d, n in zip(found.description, found.fetchone(), strict=True) if n < 2} == {}
 
 
 def test_names():

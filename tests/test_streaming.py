@@ -75,6 +75,79 @@ def test_store_stream_in_batches_equals_the_sequence(spark, tmp_path):
     assert pick(spark.table("stored").collect()) == expected
 
 
+def held(spark):
+    """Memories that the store holds before the stream: one that may change, protected ones, and two of equal content."""
+    base = candidates(spark, 60).filter("seq < 6").withColumn("id", F.concat(F.lit("old-"), "id"))
+    flags = {"pinned": F.col("seq") == 1, "archived": F.col("seq") == 2, "source": F.when(F.col("seq") == 3, F.lit("manual")).otherwise(F.lit("auto"))}
+    times = {c: F.timestamp_seconds(F.col("seq") * 60) for c in ("created_at", "updated_at")}
+    rows = base.withColumns({**flags, **times})
+    return rows.unionByName(rows.filter("seq = 0").withColumns({"id": F.lit("old-twin"), "created_at": F.timestamp_seconds(F.lit(7)), "updated_at": F.timestamp_seconds(F.lit(7))}))
+
+
+def with_protection(rows, memories, p):
+    """The rule with a store that isn't empty: protected memories are skipped on exact hits and passed by on soft ones."""
+    state, out = {}, []
+    for r in sorted(memories, key=lambda r: (r["created_at"], r["id"])):
+        safe = r["source"] != "auto" or r["pinned"] or r["archived"]
+        mem = {"id": r["id"], "norm": r["normalized_content"], "content": r["content"], "e": list(r["metadata"]["entities"]), "k": list(r["metadata"]["keywords"]), "safe": safe, "when": (0, r["updated_at"], r["id"])}
+        state.setdefault(r["chat_id"], []).append(mem)
+    for r in sorted(rows, key=lambda r: r["seq"]):
+        mems, norm, ents, kws = state.setdefault(r["chat_id"], []), r["normalized_content"], list(r["metadata"]["entities"]), list(r["metadata"]["keywords"])
+        hit, branch = next((m for m in mems if m["norm"] == norm), None), "exact"
+        if hit is None:
+            near = [m for m in sorted(mems, key=lambda m: m["when"], reverse=True)[: p.newest] if not m["safe"]]
+            hit = next((m for m in near if {e.lower() for e in ents} & {e.lower() for e in m["e"]} and len(set(kws) & set(m["k"])) >= 2), None)
+            branch = "soft" if hit else "new"
+        if hit is None:
+            hit = {"id": r["id"], "norm": norm, "content": r["content"], "e": ents, "k": kws, "safe": False}
+            mems.append(hit)
+        elif not hit["safe"]:
+            hit["e"] += [x for x in ents if x not in hit["e"]]
+            hit["k"] += [x for x in kws if x not in hit["k"]]
+            if len(r["content"]) > len(hit["content"]) + p.longer_by:
+                hit["content"], hit["norm"] = r["content"], norm
+        if not hit["safe"] or branch != "exact":
+            hit["when"] = (1, r["seq"])
+        decision = "stored" if branch == "new" else "skipped_exact_protected" if hit["safe"] and branch == "exact" else "updated"
+        out.append((r["id"], decision, branch, hit["id"], hit["content"]))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("newest", [200, 2])
+def test_store_stream_begins_with_memories_and_protects_them(spark, tmp_path, newest):
+    df, memories, p = candidates(spark), held(spark), MergePolicy(newest=newest)
+    expected = with_protection(df.collect(), memories.collect(), p)
+    assert {d for _, d, *_ in expected} == {"stored", "updated", "skipped_exact_protected"}
+    pick = lambda rows: sorted((r["id"], r["decision"], r["branch"], r["matched_id"] or r["id"], r["content"]) for r in rows)
+    assert pick(streams.store_stream(df, merge=p, memories=memories).collect()) == expected
+    feed = str(tmp_path / "feed")
+    for at in (0, 20, 40):
+        df.filter((F.col("seq") >= at) & (F.col("seq") < at + 20)).coalesce(1).write.mode("append").parquet(feed)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(feed)
+    name = f"protected{newest}"
+    q = streams.store_stream(stream, merge=p, memories=memories).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert pick(spark.table(name).collect()) == expected
+
+
+def test_a_batch_that_comes_again_replaces_itself(spark, tmp_path):
+    base = candidates(spark, 9).withColumns({"layer": F.lit("episodic"), "pinned": F.lit(False), "archived": F.lit(False), "created_at": F.timestamp_seconds("seq"), "updated_at": F.timestamp_seconds("seq"), "last_accessed_at": F.lit(None).cast("timestamp"), "access_count": F.lit(0).cast("long")}).select(*src.COLUMNS)
+    run = streams.summary_batches(lambda: base, streams.replace_batch(str(tmp_path / "out")), lambda: F.lit("2026-01-01").cast("timestamp"), by_batch=True)
+    for scope, number in (("c1", 0), ("c2", 1), ("c2", 1)):
+        run(base.filter(F.col("chat_id") == scope), number)
+    assert sorted(r["chat_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["c1", "c2"]
+
+
+def test_counts_of_uses_and_decisions(spark):
+    log = spark.createDataFrame([("a", 0), ("a", 700), ("b", 650)], "id string, s long").select("id", F.timestamp_seconds("s").alias("ts"))
+    assert {(r["id"], r["uses"], r["last_use"].minute) for r in streams.usage_stream(log).collect()} == {("a", 2, 11), ("b", 1, 10)}
+    made = log.select(F.col("id").alias("decision"), "ts")
+    assert {(r["window"]["start"].minute, r["decision"], r["n"]) for r in streams.decision_counts(made).collect()} == {(0, "a", 1), (10, "a", 1), (10, "b", 1)}
+
+
 def test_turns_and_context(spark, tmp_path):
     rows = [("c", i, f"t{i}", f"k{i % 3}", i) for i in range(6)]
     df = spark.createDataFrame(rows, "chat_id string, msg_idx int, text string, turn_key string, s int").withColumn("ts", F.timestamp_seconds(F.col("s")))
