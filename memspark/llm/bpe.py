@@ -214,29 +214,35 @@ def _shared(raw: bytes, keep: KeyFilter) -> list[tuple[int, int, tuple[int, int]
     return [x for x, hit in zip(got, hits, strict=True) if hit]
 
 
+#: A blank between visible ASCII characters: a pre-token starts there, whatever else stands around.
+_SURE = re.compile(rb"(?<=[!-~]) (?=[!-~])")
+#: Starts of a chunk that are kept for joins, besides its last one, and bytes before a join that are looked through for a sure one.
+KEPT, LOOK_BACK = 64, 512
+
+
 class Chunk:
-    """A chunk's own ids, and where its pre-tokens start as far as that holds whatever follows it."""
+    """A chunk's own ids, and where its pre-tokens start as far as that holds whatever follows it: the first ones and the last.
+
+    sure: the starts hold whatever stands before the chunk, too.
+    """
 
-    def __init__(self, codec_: Codec, ids: np.ndarray, starts: np.ndarray):
-        self.ids, self.starts = ids, starts
+    def __init__(self, codec_: Codec, ids: np.ndarray, starts: np.ndarray, sure: bool):
+        self.ids, self.starts, self.sure = ids, starts.tolist(), sure
         self.raw = codec_.raw(ids)
-        self.ends = np.concatenate(([0], np.cumsum(codec_.lengths[ids])))
+        self.ends = codec_.lengths[ids].cumsum()
 
     def between(self, a: int, b: int) -> np.ndarray:
         """The ids of the bytes from a to b, both of them starts of tokens."""
-        return self.ids[np.searchsorted(self.ends, a) : np.searchsorted(self.ends, b)]
-
+        i, j = self.ends.searchsorted((a, b))
+        return self.ids[i + (a > 0) : j + (b > 0)]
 
-def chunk_starts(codec_: Codec, raw: bytes) -> np.ndarray:
-    """Of a chunk's certain starts the first ones, which joins need, and the last one."""
-    got = codec_.starts(raw)
-    return np.concatenate((got[:-1][:512], got[-1:])).astype(np.int64)
 
-
-#: A blank between visible ASCII characters: a pre-token starts there, whatever else stands around.
-_SURE = re.compile(rb"[!-~] [!-~]")
-#: Bytes before a join that are looked through for such a blank.
-LOOK_BACK = 512
+def chunk_starts(codec_: Codec, raw: bytes) -> tuple[np.ndarray, bool]:
+    """Starts that joins need, and whether they are sure ones. A chunk with several sure starts needs no others."""
+    found = [m.start() for m in _SURE.finditer(raw)] if codec_.blanks_are_sure else []
+    sure = len(found) > 2
+    found = found if sure else codec_.starts(raw).tolist()
+    return np.array([*found[:-1][:KEPT], *found[-1:]], dtype=np.int64), sure
 
 
 def join(codec_: Codec, runs: list[bytes | Chunk]) -> np.ndarray:
@@ -248,37 +254,45 @@ def join(codec_: Codec, runs: list[bytes | Chunk]) -> np.ndarray:
             continue
         # What lies before a sure start near the join needs no repair.
         if len(before) > LOOK_BACK and codec_.blanks_are_sure and (sure := [m.start() for m in _SURE.finditer(before, len(before) - LOOK_BACK)]):
-            out.append(codec_.encode(before[: sure[-1] + 1]))
-            before = before[sure[-1] + 1 :]
+            out.append(codec_.encode(before[: sure[-1]]))
+            before = before[sure[-1] :]
         # A chunk without a second start is one pre-token as far as it tells, so it is text.
         agreed = _agree(codec_, before, run) if len(run.starts) > 1 else None
         if agreed is None:
             before += run.raw
             continue
         ids, at = agreed
-        last = int(run.starts[-1])
+        last = run.starts[-1]
         out += [ids, run.between(at, last)]
         before = run.raw[last:]
     return np.concatenate([*out, codec_.encode(before)]) if out else codec_.encode(before)
 
 
 def _agree(codec_: Codec, before: bytes, chunk: Chunk) -> tuple[np.ndarray, int] | None:
-    """Ids of `before` and the chunk's bytes up to a start that both have, and that start; None if there is none."""
+    """Ids of `before` and the chunk's bytes up to a start that both have and from which on both have the same ids, and that start; None if there is none."""
     if not before:
         return np.zeros(0, dtype=np.uint32), 0
     n, size, stretch = len(before), len(chunk.raw), STRETCH
     while True:
         to = min(stretch, size)
-        while to < size and chunk.raw[to] & 0xC0 == 0x80:
-            to += 1
+        if chunk.sure:  # to a sure start behind another one
+            to = next((s for s in chunk.starts[1:] if s >= to), chunk.starts[-1])
+        else:
+            while to < size and chunk.raw[to] & 0xC0 == 0x80:
+                to += 1
         text = before + chunk.raw[:to]
-        both = np.intersect1d(codec_.starts(text), chunk.starts + n, assume_unique=True)
-        both = both[both >= n]
-        if len(both):
-            ids = codec_.encode(text)
-            upto = np.searchsorted(np.concatenate(([0], np.cumsum(codec_.lengths[ids]))), both[0])
-            return ids[:upto], int(both[0]) - n
-        if to == size:
+        certain = chunk.starts[:-1] if chunk.sure else (codec_.starts(text) - n).tolist()
+        ids = codec_.encode(text)
+        ends = codec_.lengths[ids].cumsum() - n
+        for at in sorted(set(certain) & set(chunk.starts)):
+            if 0 <= at < to:
+                i = int(ends.searchsorted(at)) + (at > -n)
+                # What both say from there on, but for the end of the stretch, where a start isn't certain.
+                upto = to if chunk.sure else max([s for s in certain if s < to], default=at)
+                j = int(ends.searchsorted(upto)) + (upto > -n)
+                if np.array_equal(ids[i:j], chunk.between(at, upto)):
+                    return ids[:i], at
+        if to >= (chunk.starts[-1] if chunk.sure else size):
             return None
         stretch *= GROWTH
 
@@ -328,8 +342,9 @@ def encode(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
         for batch in batches:
             raws = [b.as_buffer().to_pybytes() for b in batch.column("body")]
             ids = [codec_.encode(x).astype(narrow).tobytes() for x in raws]
-            starts = [chunk_starts(codec_, x).astype("<u2").tobytes() for x in raws]
-            yield pa.record_batch([batch.column("k1"), batch.column("k2"), pa.array(ids, pa.binary()), pa.array(starts, pa.binary())], ["k1", "k2", "ids", "starts"])
+            starts = [chunk_starts(codec_, x) for x in raws]
+            columns = [pa.array(ids, pa.binary()), pa.array([x.astype("<u2").tobytes() for x, _ in starts], pa.binary()), pa.array([sure for _, sure in starts], pa.bool_())]
+            yield pa.record_batch([batch.column("k1"), batch.column("k2"), *columns], ["k1", "k2", "ids", "starts", "sure"])
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Documents with shared chunks: a row for each run of own text, as it is, and for each shared chunk its key, with its text once a batch."""
@@ -360,11 +375,11 @@ def encode(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
             out = []
             for doc_id, cell in zip(batch.column("doc_id").to_pylist(), batch.column("runs"), strict=True):
                 runs = []
-                for own, ids, starts in zip(*(cell.values.field(c) for c in ("own", "ids", "starts")), strict=True):
+                for own, ids, starts, sure in zip(*(cell.values.field(c) for c in ("own", "ids", "starts", "sure")), strict=True):
                     if own.is_valid:
                         runs.append(own.as_buffer().to_pybytes())
                     else:
-                        runs.append(Chunk(codec_, np.frombuffer(ids.as_buffer(), dtype=narrow).astype(np.uint32), np.frombuffer(starts.as_buffer(), dtype="<u2").astype(np.int64)))
+                        runs.append(Chunk(codec_, np.frombuffer(ids.as_buffer(), dtype=narrow).astype(np.uint32), np.frombuffer(starts.as_buffer(), dtype="<u2"), sure.as_py()))
                 out.append((doc_id, *finished(join(codec_, runs))))
                 if len(out) >= ROWS_OUT:
                     yield record(out)
@@ -375,11 +390,11 @@ def encode(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
     whole = rows.select("doc_id", "text").mapInArrow(alone, schema)
     cut = durable(rows.mapInArrow(pieces, "row long, doc_id long, seq int, k1 long, k2 long, own binary"))
     bodies = cut.filter("k1 is not null and own is not null").groupBy("k1", "k2").agg(F.first("own").alias("body"))
-    dictionary = bodies.mapInArrow(coded, "k1 long, k2 long, ids binary, starts binary")
-    none = F.lit(None).cast("binary")
-    placed = cut.filter("k1 is not null").join(dictionary, ["k1", "k2"]).select("row", "doc_id", "seq", none.alias("own"), "ids", "starts")
-    own = cut.filter("k1 is null").select("row", "doc_id", "seq", "own", none.alias("ids"), none.alias("starts"))
-    runs = placed.unionByName(own).groupBy("row", "doc_id").agg(F.sort_array(F.collect_list(F.struct("seq", "own", "ids", "starts"))).alias("runs"))
+    dictionary = bodies.mapInArrow(coded, "k1 long, k2 long, ids binary, starts binary, sure boolean")
+    none, flag = F.lit(None).cast("binary"), F.lit(None).cast("boolean").alias("sure")
+    placed = cut.filter("k1 is not null").join(dictionary, ["k1", "k2"]).select("row", "doc_id", "seq", none.alias("own"), "ids", "starts", "sure")
+    own = cut.filter("k1 is null").select("row", "doc_id", "seq", "own", none.alias("ids"), none.alias("starts"), flag)
+    runs = placed.unionByName(own).groupBy("row", "doc_id").agg(F.sort_array(F.collect_list(F.struct("seq", "own", "ids", "starts", "sure"))).alias("runs"))
     return whole.unionByName(runs.select("doc_id", "runs").mapInArrow(joined, schema))
 
 

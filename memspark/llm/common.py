@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,13 +67,13 @@ class KeyFilter:
                 for cell in batch.column("words"):
                     page = np.zeros(cls.PAGE, dtype="<i8")
                     page[cell.values.field("at").to_numpy(zero_copy_only=False)] = cell.values.field("mask").to_numpy(zero_copy_only=False)
-                    out.append(page.tobytes())
+                    out.append(zlib.compress(page.tobytes(), 1))
                 yield pa.record_batch([batch.column("page"), pa.array(out, pa.binary())], ["page", "bits"])
 
         got = pages.mapInArrow(run, "page int, bits binary").toArrow()
         out = np.zeros((max(1, (1 << log2_bits - 6) // cls.PAGE), cls.PAGE), dtype="<i8")
         for page, bits in zip(got.column("page").to_pylist(), got.column("bits"), strict=True):
-            out[page] = np.frombuffer(bits.as_buffer(), dtype="<i8")
+            out[page] = np.frombuffer(zlib.decompress(bits.as_buffer()), dtype="<i8")
         return cls(out.ravel()[: 1 << log2_bits - 6].view(np.uint64), log2_bits)
 
     def has(self, keys: np.ndarray) -> np.ndarray:

@@ -15,7 +15,7 @@ from functools import lru_cache
 from hashlib import blake2b
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -331,6 +331,16 @@ def replace(text: str, found: list[tuple[int, int, str, str]]) -> str:
     return "".join([*out, text[at:]])
 
 
+#: Session setting that holds the secret, as text.
+KEY_SETTING = "spark.memspark.pii.key"
+
+
+def session_key(spark: SparkSession) -> bytes:
+    """The secret that the session's settings give; without one the demonstration key, under which pseudonyms are no protection."""
+    given = spark.conf.get(KEY_SETTING, None)
+    return given.encode() if given else KEY
+
+
 def pseudonymise(docs: DataFrame, key: bytes = KEY, text_col: str = "text") -> DataFrame:
     """docs with text_col replaced and a column pii array<struct<start, length, kind>> of places in the old text.
 
@@ -356,7 +366,7 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY, text_col: str = "text") -> D
     return docs.mapInArrow(run, schema)
 
 
-def pii_digest(docs: DataFrame) -> DataFrame:
+def pii_digest(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     """doc_id, text (pseudonymised), n_found, kinds for every row."""
-    got = pseudonymise(docs.select("doc_id", "text"))
+    got = pseudonymise(docs.select("doc_id", "text"), key)
     return got.select("doc_id", "text", F.size("pii").cast("long").alias("n_found"), F.array_join(F.array_sort(F.array_distinct(F.transform("pii", lambda x: x["kind"]))), ",").alias("kinds"))

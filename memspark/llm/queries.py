@@ -32,7 +32,7 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pii_digest(table(spark, sf_dir, "documents"))
+    return pii.pii_digest(table(spark, sf_dir, "documents"), pii.session_key(spark))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,12 +134,22 @@ def license_sql() -> str:
     shares = [" + ".join(f"CASE WHEN {has(p)} THEN {weight[p]} ELSE 0 END" for p in ps) for ps in licenses.TEMPLATES.values()]
     shares = [f"({s}) / ({' + '.join(weight[p] for p in ps)})" for s, ps in zip(shares, licenses.TEMPLATES.values(), strict=True)]
     shares += [f"CASE WHEN {has(p)} THEN 1.0 ELSE 0.0 END" for p in licenses.BASE]
+    # Notices: starts at which every key phrase stands at its place.
+    notices, keyed = {}, {k: f"k{i}" for i, k in enumerate(dict.fromkeys(k for _, ks in licenses.TEXTS.values() for k in ks))}
+    for name, (text, keys) in licenses.TEXTS.items():
+        moved = [f"[x - {licenses.place_of(k, text)[0]} for x in {keyed[k]}]" for k in keys]
+        common = moved[0]
+        for m in moved[1:]:
+            common = f"list_intersect({common}, {m})"
+        notices[name] = f"len({common}) > 0"
+    own_labels += [f"CASE WHEN {c} THEN '{name}' END" for name, c in notices.items()]
+    shares += [f"CASE WHEN {c} THEN 1.0 ELSE 0.0 END" for c in notices.values()]
     return rf"""
 WITH d AS (SELECT doc_id, [x for x in regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') if x <> ''] AS w FROM documents),
 v AS (SELECT unnest([{', '.join(repr(w) for w in words)}]) AS x),
 f AS (SELECT x, ln((1 + (SELECT count(*) FROM d)) / (1 + count(y))::DOUBLE) AS i FROM v LEFT JOIN (SELECT unnest(list_distinct(w)) AS y FROM d) ON x = y GROUP BY x),
 m AS (SELECT map_from_entries(list((x, i))) AS m FROM f),
-s AS (SELECT doc_id, w, {', '.join(f'{_starts(p)} AS {a}' for p, a in at.items())} FROM d)
+s AS (SELECT doc_id, w, {', '.join(f'{_starts(p)} AS {a}' for p, a in (at | keyed).items())} FROM d)
 SELECT doc_id, len(w)::BIGINT AS n_words, len({base})::BIGINT AS n_base, list_min({base})::BIGINT AS first_word, list_max({base})::BIGINT AS last_word,
   {joined(base_labels)} AS base_labels, {joined(base_labels + own_labels)} AS labels, round(least(greatest({', '.join(shares)}), 1.0), 6)::DOUBLE AS score FROM s, m
 """

@@ -84,28 +84,31 @@ class Chain:
 LEAST_ROWS = 5
 
 
-def _fit(docs: np.ndarray, words: np.ndarray, n_words: int, before: np.ndarray, y: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+#: Entries that are counted or filtered at a time.
+SLICE = 1 << 18
+
+
+def _choose(held: np.ndarray, hit: np.ndarray, n: int, positive: int) -> np.ndarray:
+    """The words most associated with a label: held, hit: training rows with each word, and those of them with the label, of n and `positive`."""
+    if positive in (0, n):
+        return np.zeros(0, dtype=np.int64)
+    due = held * positive / n
+    score = np.where(held >= LEAST_ROWS, (hit - due) ** 2 / np.maximum(due * (1 - positive / n), 1e-9), 0.0)
+    chosen = np.sort(np.argsort(-score, kind="stable")[:WORDS])
+    return chosen[score[chosen] > 6.6]
+
+
+def _fit(docs: np.ndarray, words: np.ndarray, n_words: int, chosen: np.ndarray, before: np.ndarray, y: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Logistic regression on the given rows. docs, words: a row and a word's number per entry. Returns chosen words, weights, weights of before, constant."""
-    inside = np.zeros(len(y), dtype=bool)
-    inside[rows] = True
-    use = inside[docs]
     n, positive = len(rows), int(y[rows].sum())
     if positive == 0 or positive == n:
         rate = (positive + 0.5) / (n + 1)
         return np.zeros(0, np.int64), np.zeros(0), np.zeros(before.shape[1]), float(np.log(rate / (1 - rate)))
-    d, w = docs[use], words[use]
-    all_n = np.bincount(w, minlength=n_words)
-    pos_n = np.bincount(w, weights=y[d], minlength=n_words)
-    due = all_n * positive / n
-    score = np.where(all_n >= LEAST_ROWS, (pos_n - due) ** 2 / np.maximum(due * (1 - positive / n), 1e-9), 0.0)
-    chosen = np.sort(np.argsort(-score, kind="stable")[:WORDS])
-    chosen = chosen[score[chosen] > 6.6]
-    column = np.full(n_words, -1, dtype=np.int32)
-    column[chosen] = np.arange(len(chosen))
-    hit = column[w] >= 0
-    place = np.full(len(y), -1)
-    place[rows] = np.arange(n)
-    i, j = place[d[hit]], column[w[hit]]
+    column, place = np.full(n_words, -1), np.full(len(y), -1)
+    column[chosen], place[rows] = np.arange(len(chosen)), np.arange(n)
+    i, j = place[docs], column[words]
+    use = (i >= 0) & (j >= 0)
+    i, j = i[use], j[use]
     x, t = before[rows], y[rows]
     k, m = len(chosen), before.shape[1]
     beta, velocity = np.zeros(k + m + 1), np.zeros(k + m + 1)
@@ -133,22 +136,51 @@ def _score(docs: np.ndarray, words: np.ndarray, n_words: int, before: np.ndarray
 
 def fit_arrays(docs: np.ndarray, words: np.ndarray, labels: dict[str, np.ndarray]) -> tuple[Chain, np.ndarray]:
     """The chain for labels in their order, and the last label's out-of-fold probabilities. docs, words: a row and a word hash per entry."""
-    n = len(next(iter(labels.values())))
-    # Words of too few rows can't be chosen in any fold, so they go first and the others are numbered: arrays are as long as the words that may count.
-    often = np.flatnonzero(np.bincount(words, minlength=1) >= LEAST_ROWS)
-    number = np.full(int(words.max(initial=0)) + 1, -1, dtype=np.int32)
+    n, slices = len(next(iter(labels.values()))), range(0, len(docs), SLICE)
+    fold, folds = np.arange(n) % FOLDS, min(FOLDS, n)
+    # Words of too few rows can't be chosen in any fold; the others are numbered.
+    counts = np.zeros(int(words.max(initial=0)) + 1, dtype=np.int64)
+    for at in slices:
+        counts += np.bincount(words[at : at + SLICE], minlength=len(counts))
+    often = np.flatnonzero(counts >= LEAST_ROWS)
+    number = np.full(len(counts), -1, dtype=np.int32)
     number[often] = np.arange(len(often), dtype=np.int32)
-    words = number[words]
-    docs, words, n_words = docs[words >= 0].astype(np.int32), words[words >= 0], len(often)
-    fold = np.arange(n) % FOLDS
+    # Rows with each word by fold, of all rows and of each label's: every fit's choice of words follows from these.
+    flags = {"": np.ones(n), **{name: y.astype(np.float64) for name, y in labels.items()}}
+    held = {name: np.zeros((FOLDS, len(often))) for name in flags}
+    for at in slices:
+        d, w = docs[at : at + SLICE], number[words[at : at + SLICE]]
+        d, w = d[w >= 0], w[w >= 0]
+        cell = fold[d] * len(often) + w
+        for name, flag in flags.items():
+            held[name] += np.bincount(cell, weights=flag[d], minlength=held[name].size).reshape(held[name].shape)
+    chosen = {}
+    for name, y in labels.items():
+        for f in (*range(folds), FOLDS):  # the last one: all rows
+            inside = [g for g in range(FOLDS) if g != f]
+            rows = fold != f
+            chosen[name, f] = _choose(held[""][inside].sum(0), held[name][inside].sum(0), int(rows.sum()), int(y[rows].sum()))
+    # Only entries of chosen words stay, renumbered; all others weigh nothing.
+    some = np.unique(np.concatenate(list(chosen.values()))) if chosen else np.zeros(0, np.int64)
+    place = np.full(len(often), -1)
+    place[some] = np.arange(len(some))
+    final = np.full(len(counts), -1, dtype=np.int32)
+    final[often] = place
+    kept = [np.flatnonzero(final[words[at : at + SLICE]] >= 0) + at for at in slices]
+    kept = np.concatenate(kept) if kept else np.zeros(0, np.int64)
+    docs, words, n_words = docs[kept].astype(np.int64), final[words[kept]].astype(np.int64), len(some)
+
     before, links, own = np.zeros((n, 0)), [], np.zeros(n)
     for name, y in labels.items():
         y, own = y.astype(np.float64), np.zeros(n)
-        for f in range(min(FOLDS, n)):
-            model = _fit(docs, words, n_words, before, y, np.flatnonzero(fold != f)) if n > 1 else (np.zeros(0, np.int64), np.zeros(0), np.zeros(before.shape[1]), -30.0)
+        for f in range(folds):
+            if n > 1:
+                model = _fit(docs, words, n_words, place[chosen[name, f]], before, y, np.flatnonzero(fold != f))
+            else:
+                model = (np.zeros(0, np.int64), np.zeros(0), np.zeros(before.shape[1]), -30.0)
             own[fold == f] = _score(docs, words, n_words, before, model, n)[fold == f]
-        chosen, w, b, constant = _fit(docs, words, n_words, before, y, np.arange(n))
-        links.append(Link(name, dict(zip(often[chosen].tolist(), w.tolist(), strict=True)), tuple(b.tolist()), constant))
+        best, w, b, constant = _fit(docs, words, n_words, place[chosen[name, FOLDS]], before, y, np.arange(n))
+        links.append(Link(name, dict(zip(often[some[best]].tolist(), w.tolist(), strict=True)), tuple(b.tolist()), constant))
         before = np.column_stack((before, own))
     return Chain(tuple(links), best_threshold(own, y)), own
 
@@ -185,14 +217,14 @@ def fit(docs: DataFrame, labels: DataFrame, seeds: dict[str, tuple[str, ...]] |
     lists = got.column("words").combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
     words = lists.flatten().to_numpy(zero_copy_only=False)
-    docs_at = np.repeat(np.arange(got.num_rows, dtype=np.int32), lists.value_lengths().to_numpy(zero_copy_only=False))
     toxic = got.column("toxic").to_numpy() > 0
     rng = np.random.default_rng(7).permutation(got.num_rows).astype(np.int32)  # folds don't follow the ids
-    docs_at, toxic = rng[docs_at], toxic[np.argsort(rng)]
+    docs_at, toxic = np.repeat(rng, lists.value_lengths().to_numpy(zero_copy_only=False)), toxic[np.argsort(rng)]
     wanted = {}
     for name, seed in seeds.items():
         has = np.zeros(got.num_rows, dtype=bool)
-        has[docs_at[np.isin(words, word_hashes(" ".join(seed), {}))]] = True
+        for h in word_hashes(" ".join(seed), {}):
+            has[docs_at[words == h]] = True
         wanted[name] = has & toxic
     chain, _ = fit_arrays(docs_at, words, wanted | {"toxic": toxic})
     return chain

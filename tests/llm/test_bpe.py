@@ -50,7 +50,7 @@ def test_chunks_cover_the_text_between_characters(documents):
 
 def made(codec, raw):
     ids = codec.encode(raw)
-    return bpe.Chunk(codec, ids, bpe.chunk_starts(codec, raw))
+    return bpe.Chunk(codec, ids, *bpe.chunk_starts(codec, raw))
 
 
 @pytest.mark.parametrize("seed", range(3))

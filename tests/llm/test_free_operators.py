@@ -48,6 +48,32 @@ def test_bounds_hold_and_drop_candidates(spark):
     assert topk.exact(big, big).tolist() == [[3 * 2**60] * 2] * 2
 
 
+def test_scores_beyond_64_bits_are_the_nearest_long(spark):
+    big = 2.0**40
+    rows = [(0, [big, big, 1.0]), (1, [big, big, 1.0]), (2, [-big, -big, 0.0]), (3, [1.0, 0.0, 0.0]), (4, [1e300, 0.0, 0.0]), (20, [3e9, 1.0, 1.0])]
+    got = {(r["query_id"], r["vec_id"]): r["score"] for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect()}
+    assert got[0, 1] == topk.LONGEST and got[0, 2] == -topk.LONGEST and got[0, 4] == topk.LONGEST and got[0, 3] == 2**46 * 64
+    assert got[20, 3] == int(3e9) * 64 * 64 and len(got) == 10
+
+
+def test_block_pairs_out_of_reach_are_dropped(spark, monkeypatch):
+    """Vectors in clusters: results stay right, and far fewer rows meet than without envelopes."""
+    rng = np.random.default_rng(1)
+    centers = rng.normal(size=(12, 4)).repeat(8, axis=1) * 40
+    rows = [(i, [float(np.float32(x)) for x in centers[i % 12] * (0.2 if i % 5 else 1.0) + rng.normal(size=32)]) for i in range(1200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    monkeypatch.setattr(topk, "CANDIDATES", 64)
+    monkeypatch.setattr(topk, "QUERIES", 16)
+    got = sorted((tuple(r) for r in topk.top_k(df, F.col("vec_id") % 20 == 0).collect()), key=str)
+    assert got == brute_top(rows, 20)
+    lo = np.array([[-1.0, 2.0], [0.5, -3.0]])
+    names = [f"{n}_{w}{i}" for n in "ab" for i in range(2 * topk.LEVELS[0]) for w in ("lo", "hi")]
+    values = [float(x) for n in (0, 1) for i in range(2 * topk.LEVELS[0]) for x in (lo[n][i % 2] - 1, lo[n][i % 2] + 1)]
+    reach = spark.createDataFrame([values], names).select(topk._reach("a", "b")).first()[0]
+    inside = [sum((lo[0][i % 2] + rng.uniform(-1, 1)) * (lo[1][i % 2] + rng.uniform(-1, 1)) for i in range(2 * topk.LEVELS[0])) for _ in range(500)]
+    assert max(inside) <= reach
+
+
 # Personal data
 
 
@@ -223,6 +249,15 @@ def test_planted_values_go(documents):
         assert r["n_found"] or r["text"] == old[r["doc_id"]]
 
 
+def test_the_session_gives_the_key(spark):
+    assert pii.session_key(spark) == pii.KEY
+    spark.conf.set(pii.KEY_SETTING, "another secret")
+    try:
+        assert pii.session_key(spark) == b"another secret"
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+
+
 def test_odd_documents_keep_rows(odd_docs):
     assert sorted(map(str, pii.pseudonymise(odd_docs).drop("pii").collect())) == sorted(map(str, odd_docs.collect()))
 

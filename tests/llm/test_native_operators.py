@@ -157,6 +157,15 @@ def test_conversations_beyond_a_variant_keep_their_turns(spark):
     assert got["mapping"] == "instruction" and [tuple(t) for t in got["turns"]] == [("user", 135_000_000), ("assistant", 3)]
 
 
+def test_a_very_long_text_is_one_turn_of_the_digest(spark):
+    """Longer than the JSON reader's usual limit for a string."""
+    rows = spark.range(1).select(F.lit(5).alias("conv_id"), F.lit(0).alias("turn"), F.lit("user").alias("role"), F.repeat(F.lit("0123456"), 3_000_000).alias("text"))
+    got = {r["conv_id"]: r for r in chat.chat_digest(rows).collect()}
+    text = "0123456" * 3_000_000
+    assert (got[5]["n_turns"], got[5]["formatted_chars"], got[5]["loss_chars"]) == (1, 21_000_013, 0)
+    assert got[5]["turns_sha256"] == hashlib.sha256(f"user\n{text}\n".encode()).hexdigest()
+
+
 def test_records_without_a_mapping_fail_the_digest(spark, monkeypatch):
     monkeypatch.setattr(chat, "MAPPINGS", ())
     monkeypatch.setattr(chat.canonical_turns, "__defaults__", ("conv_id", "record", ()))
@@ -236,6 +245,28 @@ def test_shards(which, request):
     assert sharding.shard_documents(docs.limit(0)).count() == 0
 
 
+def test_records_keep_their_slots_and_the_query_rebalances_the_stored_map(spark, documents, tmp_path):
+    before = {r["doc_id"]: r for r in rows(sharding.shard_documents(documents, path=str(tmp_path / "map")))}
+    edited = documents.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" edited"))).otherwise(F.col("text"))).repartition(5)
+    after = {r["doc_id"]: r for r in rows(sharding.shard_documents(edited))}
+    assert all(before[i]["virtual_slot"] == after[i]["virtual_slot"] for i in before)
+    stored = {v: {r["virtual_slot"]: r["shard"] for r in sharding.load_map(spark, str(tmp_path / "map"), v).collect()} for v in (1, 2)}
+    assert all(stored[2][s] in (k, 24) for s, k in stored[1].items()) and 24 in stored[2].values()
+    assert all((r["shard"], r["next_shard"]) == (stored[1][r["virtual_slot"]], stored[2][r["virtual_slot"]]) for r in before.values())
+    moved = sum(r["size"] for r in before.values() if r["next_shard"] == 24)
+    assert 0.5 < moved * 25 / sum(r["size"] for r in before.values()) < 1.5
+
+
+def test_an_id_that_repeats_spreads_over_slots(spark):
+    docs = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 3 == 1, None).otherwise(F.col("id")).alias("doc_id"), F.lit("same text").alias("text"))
+    got = rows(sharding.shard_documents(docs))
+    assert len(got) == 3000 and max(Counter(r["virtual_slot"] for r in got).values()) < 12
+    load = Counter()
+    for r in got:
+        load[r["shard"]] += r["size"]
+    assert max(load.values()) - min(load.values()) <= 4 * 17
+
+
 def test_rebalance_moves_slots_into_the_new_shard_only(spark, tmp_path):
     usage = spark.createDataFrame([(s, 100 + s * 7 % 50, 1) for s in range(256)], "virtual_slot int, bytes long, n_rows long")
     one = sharding.build_map(usage, 6, 256)
@@ -272,6 +303,11 @@ def brute_licenses(text):
     base = [k for p in licenses.BASE for k in at[p]]
     labels = {v for p, v in licenses.BASE.items() if at[p]}
     own = {v for v, ps in licenses.TEMPLATES.items() if all(at[p] for p in ps)}
+    for name, (text, keys) in licenses.TEXTS.items():
+        whole = text.split()
+        must = {i: w for k in keys for i, w in enumerate(whole) if any(whole[j : j + len(k.split())] == k.split() and j <= i < j + len(k.split()) for j in range(len(whole)))}
+        if any(all(0 <= s + i < len(words) and words[s + i] == w for i, w in must.items()) for s in range(-len(whole), len(words))):
+            own.add(name)
     return len(words), len(base), min(base, default=None), max(base, default=None), ",".join(sorted(labels)), ",".join(sorted(labels | own))
 
 
@@ -279,6 +315,16 @@ def brute_licenses(text):
 def test_licenses(which, request, spark):
     if which == "license_docs":
         lines = ["cc by cc by cc by-nc", "general public license general public license", "by cc", "x ALL RIGHTS RESERVED all rights", "Permission is hereby granted, free of charge ... THE SOFTWARE IS PROVIDED AS IS", "permission is hereby granted free of charge", "The Apache License, Version 2.0", "the GNU Lesser General Public License version 2"]
+        for text, keys in licenses.TEXTS.values():
+            words = text.split()
+            plain = {i for a, n in (licenses.place_of(k, text) for k in keys) for i in range(a, a + n)}
+            free = [i for i in range(len(words)) if i not in plain]
+            key = sorted(plain)[len(plain) // 2]
+            cut = text[text.index(keys[0]) :]
+            lines += [
+                text.upper() + ".", "start of file, " + text.replace(" ", ", ") + " and more", " ".join("x" if i in free[:2] else w for i, w in enumerate(words)), " ".join("x" if i == key else w for i, w in enumerate(words)),
+                " ".join(keys[::-1]), " ".join(keys), cut, text + " " + text, " ".join(w for i, w in enumerate(words) if i not in free[-1:]), " ".join(licenses.TEXTS["zlib-notice"][0].split() + words),
+            ]
         docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
     else:
         docs = request.getfixturevalue(which)
