@@ -117,7 +117,7 @@ def _words(xs) -> Column:
 
 
 def template_starts(template: Template, idf: dict[str, float], hits: Column, words: Column) -> Column:
-    """Where the template's key phrases all stand, in order. hits: (at, word) of the words that were looked up."""
+    """Where the template's key phrases all stand, in order; below 0 where the file begins within the template. hits: (at, word) of the words that were looked up."""
     starts = None
 
     def proposed(word: str) -> Column:
@@ -128,9 +128,9 @@ def template_starts(template: Template, idf: dict[str, float], hits: Column, wor
         starts = proposed(w) if starts is None else F.array_intersect(starts, proposed(w))
 
     def whole(s: Column) -> Column:
-        out = s >= 0
+        out = F.lit(True)
         for a, n in template.keys:
-            out = out & (F.slice(words, F.greatest(s, F.lit(0)) + a + 1, F.lit(n)) == _words(template.words[a : a + n]))
+            out = out & (s + a >= 0) & (F.slice(words, F.greatest(s + a, F.lit(0)) + 1, F.lit(n)) == _words(template.words[a : a + n]))
         return out
 
     return F.array_sort(F.array_distinct(F.filter(starts, whole)))

@@ -149,7 +149,7 @@ WITH d AS (SELECT doc_id, [x for x in regexp_split_to_array(translate(coalesce(t
 v AS (SELECT unnest([{', '.join(repr(w) for w in words)}]) AS x),
 f AS (SELECT x, ln((1 + (SELECT count(*) FROM d)) / (1 + count(y))::DOUBLE) AS i FROM v LEFT JOIN (SELECT unnest(list_distinct(w)) AS y FROM d) ON x = y GROUP BY x),
 m AS (SELECT map_from_entries(list((x, i))) AS m FROM f),
-s AS (SELECT doc_id, w, {', '.join(f'{_starts(p)} AS {a}' for p, a in (at | keyed).items())} FROM d)
+s AS (SELECT doc_id, w, {', '.join(f'{_starts(p)} AS {a}' for p, a in [*at.items(), *keyed.items()])} FROM d)
 SELECT doc_id, len(w)::BIGINT AS n_words, len({base})::BIGINT AS n_base, list_min({base})::BIGINT AS first_word, list_max({base})::BIGINT AS last_word,
   {joined(base_labels)} AS base_labels, {joined(base_labels + own_labels)} AS labels, round(least(greatest({', '.join(shares)}), 1.0), 6)::DOUBLE AS score FROM s, m
 """

@@ -151,7 +151,7 @@ def top_k(rows: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector
     seeds = [(r["row"], r["dim"], r["vec"]) for r in vectors.orderBy(norm.desc(), "row").limit(SEEDS).select("row", "dim", "vec").collect()]
     by_dim = {d: (np.array([r for r, x, _ in seeds if x == d]), np.array([v for _, x, v in seeds if x == d], dtype=np.int64)) for d in {x for _, x, _ in seeds}}
     known = spark.sparkContext.broadcast(by_dim)
-    lowest = -(2.0**63)
+    lowest = float("-inf")
 
     def floors(q_row: np.ndarray, q: np.ndarray) -> np.ndarray:
         row, vec = known.value.get(q.shape[1], (np.zeros(0, np.int64), np.zeros((0, q.shape[1]), np.int64)))
@@ -159,7 +159,8 @@ def top_k(rows: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector
             return np.full(len(q), lowest)
         score = exact(q, vec).astype(np.float64)
         score[q_row[:, None] == row[None, :]] = lowest
-        return -np.partition(-score, k - 1, axis=1)[:, k - 1]
+        floor = -np.partition(-score, k - 1, axis=1)[:, k - 1]
+        return np.where(floor <= -float(LONGEST), lowest, floor)  # scores below 64 bits all tie there
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Adds the coarse statistics, the cell, and for queries the score to beat."""
