@@ -477,7 +477,7 @@ def streamed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query(f"WITH {o.LOG} SELECT id, count(*) AS uses, max(ts) AS last_use FROM log GROUP BY id")
 def usage_from_stream(spark, sf_dir):
     log = src.access_log_from_events(spark, sf_dir, streamed(spark, sf_dir, "events"))
-    return caught_up(streams.usage_stream(log), spark, "complete")
+    return caught_up(streams.usage_stream(log), spark, "complete").withColumn("last_use", F.col("last_use").cast("timestamp_ntz"))
 
 
 @query(f"""WITH {o.TURNS} SELECT chat_id, msg_idx, string_agg(text, '|') OVER (PARTITION BY chat_id ORDER BY msg_idx ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS recent FROM turns""")
@@ -496,7 +496,7 @@ def once_per_key_from_stream(spark, sf_dir):
 @query("SELECT date_trunc('day', ts) AS day, event_type AS decision, count(*) AS n FROM events GROUP BY ALL")
 def decisions_per_day_from_stream(spark, sf_dir):
     rows = streamed(spark, sf_dir, "events").select("ts", F.col("event_type").alias("decision"))
-    return caught_up(streams.decision_counts(rows, width="1 day"), spark, "complete").select(F.col("window.start").alias("day"), "decision", "n")
+    return caught_up(streams.decision_counts(rows, width="1 day"), spark, "complete").select(F.col("window.start").cast("timestamp_ntz").alias("day"), "decision", "n")
 
 
 @query(f"""WITH {SAID}, {o.MEM}, c AS (SELECT m.*, {o.similarity("regexp_replace(content, '^\\s+|\\s+$', '', 'g')")} AS sim FROM memories m),

@@ -149,7 +149,7 @@ SELECT chat_id, id, nth FROM r WHERE nth <= 3 AND NOT is_summary""",
     "recent_context_frame": f"""WITH {TURNS} SELECT chat_id, msg_idx, string_agg(text, '|') OVER (PARTITION BY chat_id ORDER BY msg_idx ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS recent,
   last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY chat_id ORDER BY msg_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_user FROM turns""",
     "exact_duplicates": f"WITH {DOCS}, n AS (SELECT doc_id, {content_key('text')} AS c FROM docs) SELECT doc_id, min(doc_id) OVER (PARTITION BY c) AS first_id, count(*) OVER (PARTITION BY c) AS n_copies FROM n",
-    "soft_matches": f"""WITH {MEM}, old AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY character_id ORDER BY updated_at DESC, id DESC) AS nth FROM memories WHERE turn < 2) WHERE nth <= 200),
+    "soft_matches": f"""WITH {MEM}, old AS (SELECT * FROM memories WHERE turn < 2),
 p AS (SELECT c.id AS candidate_id, o.id AS existing_id, o.updated_at, len(list_intersect(list_distinct([lower(x) for x in c.entities]), list_distinct([lower(x) for x in o.entities]))) AS n_entities,
   len(list_intersect(c.keywords, o.keywords)) AS n_keywords FROM memories c JOIN old o ON c.character_id = o.character_id AND c.type = o.type AND c.turn >= 2 AND o.source = 'auto' AND NOT o.pinned AND NOT o.archived),
 r AS (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY updated_at DESC, existing_id DESC) AS nth FROM p WHERE n_entities >= 1 AND n_keywords >= 2)
