@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import compact
+from .common import compact, durable
 
 
 #: Nodes that a task holds at once when it contracts edges, and edges of a partition.
@@ -58,10 +58,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     smaller neighbours on the smallest node it knows, until nothing changes. Steps are grouped minima and joins,
     so a node with very many neighbours is combined before the shuffle and split by adaptive joins after it.
     """
-    edges = compact(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), ROWS)
-    edges = compact(edges.mapInArrow(_contract, "u long, v long"), ROWS)
-    for _ in range(max_rounds):
-        if _are_stars(edges):
+    edges = durable(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    n = edges.count()
+    edges = compact(edges.coalesce(max(1, -(-n // ROWS))).mapInArrow(_contract, "u long, v long"), ROWS)
+    for step in range(max_rounds):
+        # Edges that one run of a task holds are stars after it.
+        if (step == 0 and 2 * n <= ROWS) or _are_stars(edges):
             break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
