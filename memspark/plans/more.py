@@ -286,12 +286,12 @@ _LABEL = r"""CASE WHEN {c} = '' THEN 'Unnamed chat' ELSE (SELECT CASE WHEN lengt
 LABELS = _LABEL.replace("{c}", "chat_id"), _LABEL.replace("{c}", "character_id")
 
 
-@query(f"""WITH {o.MEM}, n AS (SELECT *, CASE conv_id % 4 WHEN 0 THEN chat_id WHEN 1 THEN 'My_' || chat_id WHEN 2 THEN '' ELSE chat_id || '/' || repeat('long-name_', 4) END AS named FROM memories),
+@query(f"""WITH {o.MEM}, n AS (SELECT *, CASE conv_id % 4 WHEN 0 THEN 'Room ' || conv_id WHEN 1 THEN 'My_' || chat_id WHEN 2 THEN '' ELSE chat_id || '/' || repeat('long-name_', 4) END AS named FROM memories),
 g AS (SELECT DISTINCT named AS chat_id, character_id FROM n) SELECT chat_id, character_id, {LABELS[0]} AS display_label, {LABELS[1]} AS display_character_label, {LABELS[0]} <> chat_id AS has_friendly_label FROM g""")
 def chat_labels(spark, sf_dir):
     rows = src.memories_from_conversations(spark, sf_dir).withColumn("c", F.split("id", "-")[0].cast("long"))
     c = F.col("chat_id")
-    named = F.when(F.col("c") % 4 == 0, c).when(F.col("c") % 4 == 1, F.concat(F.lit("My_"), c)).when(F.col("c") % 4 == 2, F.lit("")).otherwise(F.concat(c, F.lit("/" + "long-name_" * 4)))
+    named = F.when(F.col("c") % 4 == 0, F.concat(F.lit("Room "), F.col("c"))).when(F.col("c") % 4 == 1, F.concat(F.lit("My_"), c)).when(F.col("c") % 4 == 2, F.lit("")).otherwise(F.concat(c, F.lit("/" + "long-name_" * 4)))
     got = insight.chat_groups(rows.withColumn("chat_id", named), as_of())
     return got.select("chat_id", "character_id", "display_label", "display_character_label", "has_friendly_label")
 
@@ -379,12 +379,12 @@ def lore(spark, sf_dir) -> DataFrame:
     return src.lore_entries(raw)
 
 
-@query(f"WITH {f.anchors(KNOWN_ENTRIES, 4, 400, KNOWN_BLOCKS)}")
+@query(f"WITH {f.anchors(KNOWN_ENTRIES, 4, 2000, KNOWN_BLOCKS)}")
 def anchors_beside_blocks(spark, sf_dir):
     even = plain_pages(spark, sf_dir).filter("page_id % 2 = 0")
     lines = F.transform(F.array_sort(F.collect_list(F.struct("page_id", "plain"))), lambda x: F.concat(F.lit("- "), x["plain"]))
     known = even.groupBy("request_id").agg(F.concat(F.array_join(lines, "\n"), F.lit("\n- Place  1")).alias("block"))
-    return blocks.anchor_blocks(lore(spark, sf_dir), known, max_items=4, max_chars=400)
+    return blocks.anchor_blocks(lore(spark, sf_dir), known, max_items=4, max_chars=2000)
 
 
 @query(f"""WITH e AS ({KNOWN_ENTRIES}) SELECT pos::VARCHAR AS lore_id, coalesce(comment, '') AS lore_comment, sha256(content) AS lore_content, CASE WHEN tagged THEN 'page,memory-anchor,x' ELSE 'page' END AS lore_tags,
