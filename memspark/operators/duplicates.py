@@ -56,32 +56,37 @@ def overlap_pairs(rows: DataFrame, scope: list[str], tokens: Column, percent: in
     """a, b, n_shared, n_a, n_b of rows (id) in one scope whose token sets' overlap coefficient reaches percent / 100; a is the smaller set, ties by id.
 
     Equal sets are folded into one class before the join and only classes are paired, so copies don't multiply. With tokens in
-    order of rarity, the first |A| - ceil(t|A|) + 1 tokens of the smaller set must hold one token of the larger (prefix filter). Proposed
-    pairs are counted out token by token: rows are two ids and a token's number, and no set travels with a pair.
+    order of rarity, the first |A| - ceil(t|A|) + k tokens of the smaller set must hold k tokens of the larger (prefix filter). Pairs of
+    small sets are settled by that count; of the others both sets are met, as numbers.
     Returned are pairs of class representatives (smallest ids); overlap_classes() gives the members.
     """
     return _paired(_classes(rows, scope, tokens), scope, percent)
 
 
+#: Tokens of sets whose pairs are counted out, without meeting the sets.
+COUNTED = 8
+
+
 def _paired(classes: DataFrame, scope: list[str], percent: int) -> DataFrame:
     sets = classes.filter("n > 0").select(*scope, F.col("rep").alias("id"), "tokens", "n").distinct()
     long = sets.select(*scope, "id", "n", F.explode("tokens").alias("token"))
     # A number for each token of each scope, so that later joins need neither the token nor the scope. Written, as numbers must stay.
     numbered = durable(long.groupBy(*scope, "token").agg(F.count("*").alias("df")).withColumn("t", F.monotonically_increasing_id()))
-    held = durable(long.join(numbered, [*scope, "token"]).select(*scope, "id", "n", "t", "df"))
-    by_rarity = held.groupBy(*scope, "id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("ts"))
-    placed = by_rarity.select(*scope, F.col("id").alias("a"), F.col("n").alias("n_a"), F.posexplode("ts").alias("at", "x")).select(*scope, "a", "n_a", "at", F.col("x.t").alias("t"))
-    n_prefix = F.col("n_a") - F.ceil(F.col("n_a") * percent / 100).cast("int") + 1
-    placed = placed.withColumn("first", F.col("at") < n_prefix).drop("at")
-    other = held.select(F.col("id").alias("b"), F.col("n").alias("n_b"), "t")
+    held = long.join(numbered, [*scope, "token"]).select(*scope, "id", "n", "t", "df")
+    ranked = held.groupBy(*scope, "id", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "t"))), lambda x: x["t"]).alias("ts"))
+    ranked = durable(ranked)
+    # At most n - needed tokens of the smaller set miss in the larger, so of its first n - needed + k ones at least k are there. Sets of few tokens are counted out this way.
+    needed = F.ceil(F.col("n") * percent / 100).cast("int")
+    k = F.when(F.col("n") <= COUNTED, needed).otherwise(F.least(needed, F.floor(F.col("n") / 10).cast("int") + 1))
+    small = ranked.select(*scope, F.col("id").alias("a"), F.col("n").alias("n_a"), needed.alias("needed"), k.alias("k"), F.explode(F.slice("ts", F.lit(1), F.col("n") - needed + k)).alias("t"))
+    large = ranked.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.explode("ts").alias("t"))
     smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
     pair = [*scope, "a", "b", "n_a", "n_b"]
-    proposed = durable(placed.filter("first").join(other, "t").filter(smaller).groupBy(*pair).agg(F.count("*").alias("c")))
-    # One token settles sets of one; of the others the remaining tokens are looked up in the larger set.
-    rest = placed.filter("not first").select("a", "t")
-    more = proposed.filter("n_a > 1").join(rest, "a").join(other.select("b", "t"), ["b", "t"]).select(*pair, F.lit(1).cast("long").alias("c"))
-    counted = proposed.unionByName(more).groupBy(*pair).agg(F.sum("c").alias("n_shared"))
-    return counted.filter(100 * F.col("n_shared") >= percent * F.col("n_a")).select(*scope, "a", "b", "n_shared", "n_a", "n_b")
+    proposed = durable(small.join(large, "t").filter(smaller).groupBy(*pair, "needed", "k").agg(F.count("*").alias("n_shared")).filter("n_shared >= k"))
+    whole = lambda x: ranked.select(F.col("id").alias(x), F.col("ts").alias(f"t_{x}"))
+    verified = proposed.filter(F.col("k") < F.col("needed")).join(whole("a"), "a").join(whole("b"), "b").withColumn("n_shared", F.size(F.array_intersect("t_a", "t_b")).cast("long"))
+    every = proposed.filter("k = needed").select(*pair, "n_shared").unionByName(verified.filter("n_shared >= needed").select(*pair, "n_shared"))
+    return every.select(*scope, "a", "b", "n_shared", "n_a", "n_b")
 
 
 def _classes(rows: DataFrame, scope: list[str], tokens: Column) -> DataFrame:
