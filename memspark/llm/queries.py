@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, licenses, minhash, mixing, pii, sharding, topk, toxicity
+from . import bpe, chat, covertree, fingerprints, licenses, minhash, mixing, pii, sharding, topk, toxicity
 from .common import table
 
 
@@ -52,6 +52,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_sharding,
         op9_bpe,
         op10_license_scan,
+        op11_embedding_dedup,
     )
 }
 
@@ -112,6 +117,16 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
+OP11_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0 AND len([x for x in embedding if x <> 0]) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.93
+), reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+  n AS (SELECT a, count(*) AS n FROM links GROUP BY a), c AS (SELECT a, min(b) AS c FROM reach GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, c AS component_id, vec_id = c AS kept FROM embeddings JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id
+"""
 
 
 def _starts(phrase: str) -> str:
@@ -155,4 +170,4 @@ SELECT doc_id, len(w)::BIGINT AS n_words, len({base})::BIGINT AS n_base, list_mi
 """
 
 
-ORACLES: dict[str, str] = {"op3_chat_formatting": OP3_SQL, "op4_minhash_dedup": OP4_SQL, "op5_topk": OP5_SQL, "op10_license_scan": license_sql()}
+ORACLES: dict[str, str] = {"op3_chat_formatting": OP3_SQL, "op4_minhash_dedup": OP4_SQL, "op5_topk": OP5_SQL, "op10_license_scan": license_sql(), "op11_embedding_dedup": OP11_SQL}
