@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, covertree, fingerprints, licenses, minhash, mixing, pii, sharding, topk, toxicity
+from . import bpe, chat, covertree, fingerprints, licenses, minhash, mixing, pii, ranking, sharding, topk, toxicity, trie
 from .common import table
 
 
@@ -56,6 +56,14 @@ def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covertree.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.93)
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -70,6 +78,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_bpe,
         op10_license_scan,
         op11_embedding_dedup,
+        op12_ranked_search,
+        op13_prefix_trie,
     )
 }
 
@@ -128,6 +138,42 @@ WITH RECURSIVE v AS (
 SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, c AS component_id, vec_id = c AS kept FROM embeddings JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id
 """
 
+OP12_SQL = r"""
+WITH lowered AS (SELECT 0 AS kind, doc_id AS id, row_number() OVER () AS r, text FROM documents UNION ALL SELECT 1, item_id, row_number() OVER (), text FROM benchmark),
+t AS (SELECT kind, id, r, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM lowered),
+f AS (SELECT kind, id, r, term, count(*) AS tf FROM t GROUP BY ALL),
+n AS (SELECT r, sum(tf)::BIGINT AS n FROM f WHERE kind = 0 GROUP BY r),
+s AS (SELECT count(*) AS n, sum(n)::BIGINT AS l FROM n),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(s.n) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM f, s WHERE kind = 0 GROUP BY term),
+m AS (SELECT r, 100 - 75 + (75 * n.n * s.n) // s.l AS m FROM n, s),
+scored AS (
+  SELECT q.id AS item_id, q.r AS item, d.id AS doc_id, d.r AS doc, sum(q.tf * w * ((1000000000 * d.tf) // (1000 * d.tf + 8 * m)))::BIGINT AS score
+  FROM f q JOIN f d ON q.kind = 1 AND d.kind = 0 AND q.term = d.term JOIN w ON w.term = q.term JOIN m ON m.r = d.r GROUP BY ALL
+), ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id, doc)::INTEGER AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+OP13_SQL = r"""
+WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p, coalesce(role, '') AS r, coalesce(text, '') AS x
+  FROM conversations WHERE conv_id IS NOT NULL
+), own AS (SELECT conv_id, list(length(r) || ':' || r || x ORDER BY p) AS s, list(octet_length(encode(x)) ORDER BY p) AS b FROM t GROUP BY conv_id),
+steps AS (SELECT conv_id, [4294967295] || flatten([[ascii(c), -1, -1, -1, -1, -1, -1, -1] for c in string_split(conv_id::VARCHAR, '')]) AS steps FROM own),
+h AS (SELECT conv_id, xor(list_reduce(steps, lambda a, x: xor(xor(a, greatest(x, 0)) >> 1, 3988292384 * (xor(a, greatest(x, 0)) & 1))), 4294967295) % 9 AS h FROM steps),
+c AS (
+  SELECT own.conv_id, coalesce(d.s[1:h], []) || own.s[h + 1:] AS s, coalesce(d.b[1:h], []) || own.b[h + 1:] AS b
+  FROM own JOIN h USING (conv_id) LEFT JOIN own d ON d.conv_id = own.conv_id - own.conv_id % 5
+), p AS (SELECT conv_id, d, s[1:d] AS k, coalesce(b[d], 0) AS b, len(s) AS n FROM (SELECT *, unnest(range(0, len(s) + 1)) AS d FROM c)),
+nodes AS (
+  SELECT k, d, min(conv_id) AS conv_id, count(*) AS n_convs, max(b) AS b, max(n) = d AS leaf,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256
+  FROM p GROUP BY k, d
+), kids AS (SELECT k[1:d - 1] AS k, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1),
+sub AS (SELECT v.k, sum((u.n_convs - 1) * u.b)::BIGINT AS saved_tokens, count(*) FILTER (u.leaf) AS n_leaves FROM nodes v JOIN nodes u ON u.d >= v.d AND u.k[1:v.d] = v.k GROUP BY v.k)
+SELECT v.conv_id, v.d::BIGINT AS depth, up.conv_id AS parent_conv_id, v.n_convs, coalesce(n_children, 0)::BIGINT AS n_children, n_leaves, saved_tokens, v.ends_sha256
+FROM nodes v JOIN sub USING (k) LEFT JOIN kids USING (k) LEFT JOIN nodes up ON v.d > 0 AND up.d = v.d - 1 AND up.k = v.k[1:v.d - 1]
+"""
+
 
 def _starts(phrase: str) -> str:
     words = phrase.split()
@@ -170,4 +216,4 @@ SELECT doc_id, len(w)::BIGINT AS n_words, len({base})::BIGINT AS n_base, list_mi
 """
 
 
-ORACLES: dict[str, str] = {"op3_chat_formatting": OP3_SQL, "op4_minhash_dedup": OP4_SQL, "op5_topk": OP5_SQL, "op10_license_scan": license_sql(), "op11_embedding_dedup": OP11_SQL}
+ORACLES: dict[str, str] = {"op3_chat_formatting": OP3_SQL, "op4_minhash_dedup": OP4_SQL, "op5_topk": OP5_SQL, "op10_license_scan": license_sql(), "op11_embedding_dedup": OP11_SQL, "op12_ranked_search": OP12_SQL, "op13_prefix_trie": OP13_SQL}
