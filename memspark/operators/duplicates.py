@@ -10,6 +10,7 @@ from ..functions import text as t
 from ..functions.memory import can_auto_update
 from ..functions.policy import MergePolicy
 from ..sources.durable import durable
+from .overlap import NEVER, by_key, linked_pairs, linked_sets, ranked_sets
 
 
 def first_by_content(memories: DataFrame, keys: list[str]) -> DataFrame:
@@ -55,44 +56,36 @@ def soft_matches(candidates: DataFrame, memories: DataFrame, p: MergePolicy | No
 def overlap_pairs(rows: DataFrame, scope: list[str], tokens: Column, percent: int = 85) -> DataFrame:
     """a, b, n_shared, n_a, n_b of rows (id) in one scope whose token sets' overlap coefficient reaches percent / 100; a is the smaller set, ties by id.
 
-    Equal sets are folded into one class before the join and only classes are paired, so copies don't multiply. With tokens in
-    order of rarity, the first |A| - ceil(t|A|) + k tokens of the smaller set must hold k tokens of the larger (prefix filter). Pairs of
-    small sets are settled by that count; of the others both sets are met, as numbers.
-    Returned are pairs of class representatives (smallest ids); overlap_classes() gives the members.
+    Equal sets are folded into one class before the join and only classes are paired, so copies don't multiply. Pairs are found in a grid of
+    token blocks (see overlap.py). Returned are pairs of class representatives (smallest ids); overlap_classes() gives the members.
     """
     return _paired(_classes(rows, scope, tokens), scope, percent)
 
 
-#: Tokens of sets whose pairs are counted out, without meeting the sets.
-COUNTED = 8
+def _sets(classes: DataFrame, scope: list[str], percent: int, gathered: DataFrame | None = None) -> DataFrame:
+    """The classes' sets, ranked. gathered: scope, rep and what linked sets gather (m, last, first)."""
+    sets = classes.filter("n > 0 and id = rep").select(*scope, "id", "tokens", "n").distinct()
+    if gathered is not None:
+        return ranked_sets(sets.join(gathered.withColumnRenamed("rep", "id"), [*scope, "id"]), scope, percent)
+    zero = F.lit(0).cast("long")
+    return ranked_sets(sets.withColumns({"m": zero, "last": zero, "first": zero}), scope, percent)
 
 
 def _paired(classes: DataFrame, scope: list[str], percent: int) -> DataFrame:
-    sets = classes.filter("n > 0").select(*scope, F.col("rep").alias("id"), "tokens", "n").distinct()
-    long = sets.select(*scope, "id", "n", F.explode("tokens").alias("token"))
-    # A number for each token of each scope, so that later joins need neither the token nor the scope. Written, as numbers must stay.
-    numbered = durable(long.groupBy(*scope, "token").agg(F.count("*").alias("df")).withColumn("t", F.monotonically_increasing_id()))
-    held = long.join(numbered, [*scope, "token"]).select(*scope, "id", "n", "t", "df")
-    ranked = held.groupBy(*scope, "id", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "t"))), lambda x: x["t"]).alias("ts"))
-    ranked = durable(ranked)
-    # At most n - needed tokens of the smaller set miss in the larger, so of its first n - needed + k ones at least k are there. Sets of few tokens are counted out this way.
-    needed = F.ceil(F.col("n") * percent / 100).cast("int")
-    k = F.when(F.col("n") <= COUNTED, needed).otherwise(F.least(needed, F.floor(F.col("n") / 10).cast("int") + 1))
-    small = ranked.select(*scope, F.col("id").alias("a"), F.col("n").alias("n_a"), needed.alias("needed"), k.alias("k"), F.explode(F.slice("ts", F.lit(1), F.col("n") - needed + k)).alias("t"))
-    large = ranked.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.explode("ts").alias("t"))
-    smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
-    pair = [*scope, "a", "b", "n_a", "n_b"]
-    proposed = durable(small.join(large, "t").filter(smaller).groupBy(*pair, "needed", "k").agg(F.count("*").alias("n_shared")).filter("n_shared >= k"))
-    whole = lambda x: ranked.select(F.col("id").alias(x), F.col("ts").alias(f"t_{x}"))
-    verified = proposed.filter(F.col("k") < F.col("needed")).join(whole("a"), "a").join(whole("b"), "b").withColumn("n_shared", F.size(F.array_intersect("t_a", "t_b")).cast("long"))
-    every = proposed.filter("k = needed").select(*pair, "n_shared").unionByName(verified.filter("n_shared >= needed").select(*pair, "n_shared"))
-    return every.select(*scope, "a", "b", "n_shared", "n_a", "n_b")
+    ranked = _sets(classes, scope, percent)
+    of = lambda k, x: ranked.select(*(scope if x == "a" else ()), F.col("k").alias(k), F.col("id").alias(x), F.col("n").alias(f"n_{x}"))
+    pairs = linked_pairs(ranked).join(of("k", "a"), "k").join(of("other", "b"), "other")
+    swap = (F.col("n_a") == F.col("n_b")) & (F.col("a") > F.col("b"))
+    first, second = F.when(swap, F.col("b")).otherwise(F.col("a")), F.when(swap, F.col("a")).otherwise(F.col("b"))
+    return pairs.select(*scope, first.alias("a"), second.alias("b"), "n_shared", "n_a", "n_b")
 
 
 def _classes(rows: DataFrame, scope: list[str], tokens: Column) -> DataFrame:
-    sets = rows.select(*scope, "id", F.array_sort(tokens).alias("tokens")).withColumn("n", F.size("tokens"))
-    reps = sets.groupBy(*scope, "tokens").agg(F.min("id").alias("rep"))
-    return sets.join(reps, [*scope, "tokens"])
+    """rows' sets (scope, id, tokens, n) with rep, the smallest id of those with the same set. Sets are written once and told apart by 128 bits, so that they needn't move to find their class."""
+    sets = rows.select(*scope, "id", F.array_sort(tokens).alias("tokens"))
+    sets = durable(sets.withColumns({"n": F.size("tokens"), "h1": F.xxhash64(F.lit(1), "tokens"), "h2": F.xxhash64(F.lit(2), "tokens")}))
+    reps = sets.groupBy(*scope, "n", "h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("members"))
+    return by_key(sets, durable(reps), [*scope, "n", "h1", "h2"], "members").select(*scope, "id", "tokens", "n", "rep")
 
 
 def overlap_classes(rows: DataFrame, scope: list[str], tokens: Column) -> DataFrame:
@@ -101,14 +94,15 @@ def overlap_classes(rows: DataFrame, scope: list[str], tokens: Column) -> DataFr
 
 
 def overlap_report(rows: DataFrame, scope: list[str], tokens: Column, percent: int = 85) -> DataFrame:
-    """id, class_id, n_links: each row's class of equal token sets and the number of other rows it is linked to by equality or overlap."""
-    classes = durable(_classes(rows, scope, tokens))  # tokens are read for classes and for pairs
+    """id, class_id, n_links: each row's class of equal token sets and the number of other rows it is linked to by equality or overlap. No pair becomes a row."""
+    classes = _classes(rows, scope, tokens)
     members = classes.select(*scope, "id", "rep", F.col("n").alias("n_tokens"))
-    sizes = members.groupBy(*scope, "rep").agg(F.count("*").alias("members"))
-    pairs = _paired(classes, scope, percent)
-    both = pairs.select(*scope, F.col("a").alias("rep"), F.col("b").alias("other")).unionByName(pairs.select(*scope, F.col("b").alias("rep"), F.col("a").alias("other")))
-    linked = both.join(sizes.select(*scope, F.col("rep").alias("other"), F.col("members").alias("m")), [*scope, "other"]).groupBy(*scope, "rep").agg(F.sum("m").alias("outside"))
-    full = members.join(sizes, [*scope, "rep"]).join(linked, [*scope, "rep"], "left")
+    sizes = durable(members.groupBy(*scope, "rep").agg(F.count("*").alias("members")))
+    zero = F.lit(0).cast("long").alias
+    ranked = _sets(classes, scope, percent, sizes.select(*scope, "rep", F.col("members").alias("m"), zero("last"), zero("first")))
+    linked = linked_sets(ranked).join(ranked.select(*scope, "k", F.col("id").alias("rep")), "k").select(*scope, "rep", F.col("m").alias("outside"))
+    told = sizes.join(linked, [*scope, "rep"], "left")
+    full = by_key(members, told, [*scope, "rep"], "members")
     own = F.when(F.col("n_tokens") > 0, F.col("members") - 1).otherwise(F.lit(0))
     return full.select(*scope, "id", F.col("rep").alias("class_id"), (own + F.coalesce("outside", F.lit(0))).alias("n_links"))
 
@@ -120,7 +114,7 @@ def near_duplicate_pairs(memories: DataFrame, percent: int = 85, scope: list[str
     """
     scope = ["chat_id", "character_id"] if scope is None else scope
     usable = memories.filter(~F.col("pinned")).withColumn("norm", t.normalize_report(F.col("content")))
-    sets = durable(_classes(usable, scope, t.token_set(F.col("norm"))))
+    sets = _classes(usable, scope, t.token_set(F.col("norm")))
     classes = sets.select(*scope, "id", "rep", F.col("n").alias("n_tokens"))
     pairs = _paired(sets, scope, percent)
     same = classes.filter("n_tokens > 0").select(*scope, F.col("rep").alias("ra"), F.col("rep").alias("rb")).distinct()
@@ -147,22 +141,22 @@ def near_duplicate_candidates(memories: DataFrame, percent: int = 85, scope: lis
     """
     scope = ["chat_id", "character_id"] if scope is None else scope
     usable = memories.filter(~F.col("pinned")).withColumn("norm", t.normalize_report(F.col("content")))
-    sets = durable(_classes(usable, scope, t.token_set(F.col("norm"))))
+    sets = _classes(usable, scope, t.token_set(F.col("norm")))
     classes = sets.select(*scope, "id", "rep", F.col("n").alias("n_tokens"))
     place = usable.select("id", "pos", "norm", (F.coalesce("metadata.review_status", F.lit("")) != "reviewed_keep").alias("open"))
     # Texts without letters or digits have no tokens: their class is the text itself.
     kind = F.when(F.col("n_tokens") > 0, F.concat(F.lit("t"), F.col("rep").cast("string"))).otherwise(F.concat(F.lit("n"), "norm"))
-    rows = classes.join(place, "id").select(*scope, "id", kind.alias("class"), "pos", "open")
-    one = F.struct("pos", "id")
-    ends = rows.groupBy(*scope, "class").agg(F.max(one).alias("last"), F.min(F.when(F.col("open"), one)).alias("first_open"))
-    pairs = _paired(sets, scope, percent)
-    name = lambda c, n: F.concat(F.lit("t"), F.col(c).cast("string")).alias(n)
-    both = pairs.select(*scope, name("a", "class"), name("b", "other")).unionByName(pairs.select(*scope, name("b", "class"), name("a", "other")))
-    linked = both.join(ends.withColumnRenamed("class", "other"), [*scope, "other"]).groupBy(*scope, "class").agg(F.max("last").alias("other_last"), F.min("first_open").alias("other_first"))
-    full = rows.join(ends, [*scope, "class"]).join(linked, [*scope, "class"], "left")
-    last, first = F.greatest("last", "other_last"), F.least("first_open", "other_first")
-    related = F.when(first["pos"] < F.col("pos"), first["id"]).when(F.col("open") & (last["pos"] > F.col("pos")), last["id"])
-    return full.select("id", related.alias("related_id")).filter(F.col("related_id").isNotNull())
+    rows = durable(classes.join(place, "id").select(*scope, "id", "rep", "n_tokens", kind.alias("class"), F.col("pos").cast("long").alias("pos"), "open"))
+    ends = rows.groupBy(*scope, "class").agg(F.max("pos").alias("last"), F.min(F.when(F.col("open"), F.col("pos"))).alias("first"), F.count("*").alias("members"), F.max("n_tokens").alias("n_tokens"), F.min("rep").alias("rep"))
+    ends = durable(ends)
+    ranked = _sets(sets, scope, percent, ends.filter("n_tokens > 0").select(*scope, "rep", F.lit(0).cast("long").alias("m"), "last", F.coalesce("first", F.lit(NEVER)).alias("first")))
+    linked = linked_sets(ranked).join(ranked.select(*scope, "k", F.concat(F.lit("t"), F.col("id").cast("string")).alias("class")), "k").select(*scope, "class", F.col("last").alias("other_last"), F.col("first").alias("other_first"))
+    told = ends.select(*scope, "class", "last", "first", "members").join(linked, [*scope, "class"], "left")
+    full = by_key(rows, told, [*scope, "class"], "members")
+    last, first = F.greatest("last", "other_last"), F.least("first", "other_first")
+    related = F.when(first < F.col("pos"), first).when(F.col("open") & (last > F.col("pos")), last)
+    named = rows.select(*scope, F.col("pos").alias("related_pos"), F.col("id").alias("related_id"))
+    return full.select(*scope, "id", related.alias("related_pos")).filter("related_pos is not null").join(named, [*scope, "related_pos"]).select("id", "related_id")
 
 
 def shadowed_by_stable(cards: DataFrame, min_shared: int = 2, scope: list[str] | None = None) -> DataFrame:

@@ -1,0 +1,89 @@
+"""Overlap joins on token sets: the grid of token blocks against all pairs, and how a token that every text holds is dealt."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from memspark.operators import duplicates, overlap
+
+
+def brute(rows, percent=85):
+    """{id: number of other rows with an equal or overlapping set in the scope}; sets without tokens have none."""
+    out = {}
+    for i, scope, a in rows:
+        n = 0
+        for j, other, b in rows:
+            if i != j and scope == other and a and b:
+                n += 100 * len(a & b) >= percent * min(len(a), len(b))
+        out[i] = n
+    return out
+
+
+def texts(seed, n, frequent):
+    """Random sets, near copies of them, tiny sets of frequent tokens; every set holds the frequent token if asked."""
+    rng = random.Random(seed)
+    sets = []
+    for i in range(n):
+        if sets and i % 3 == 0:
+            base = set(rng.choice(sets))
+            for x in rng.sample(sorted(base), max(1, len(base) // 12)):
+                base.discard(x)
+            sets.append(base or {"the"})
+        elif i % 7 == 1:
+            sets.append(set(rng.sample(["the", "of", "and"], rng.randint(1, 3))))
+        else:
+            sets.append({f"w{int(rng.paretovariate(0.7)) % 400}" for _ in range(rng.choice([3, 9, 30, 90]))})
+    return [(i, f"s{i % 2}", (s | {"the"} if frequent else s) if i % 41 else set()) for i, s in enumerate(sets)]
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, s, sorted(x)) for i, s, x in rows], "id long, scope string, words array<string>")
+
+
+@pytest.mark.parametrize("frequent", [False, True])
+def test_links_equal_all_pairs(spark, monkeypatch, frequent):
+    for name, n in (("CELL", 16), ("SETS", 32), ("AGAINST", 20), ("LIGHT", 50)):
+        monkeypatch.setattr(overlap, name, n)
+    rows = texts(5, 330, frequent)
+    got = duplicates.overlap_report(frame(spark, rows), ["scope"], F.col("words"))
+    assert {r["id"]: r["n_links"] for r in got.collect()} == brute(rows)
+
+
+def test_a_token_of_all_sets_is_met_in_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "CELL", 64)
+    rows = [(i, "s", {"the", *(f"x{i}-{j}" for j in range(6))}) for i in range(900)] + [(1000 + i, "s", {"the"} if i == 0 else {"the", "of", f"y{i}"}) for i in range(64)]
+    sets = frame(spark, rows).select("scope", "id", F.col("words").alias("tokens"), F.size("words").alias("n"), *[F.lit(0).cast("long").alias(c) for c in ("m", "last", "first")])
+    seen = []
+    plain = overlap.by_key
+
+    def spied(left, table, keys, weight):
+        out = plain(left, table, keys, weight)
+        if keys == ["t"]:
+            seen.append(out.selectExpr("t", "rows", "columns"))
+        return out
+
+    monkeypatch.setattr(overlap, "by_key", spied)
+    ranked = overlap.ranked_sets(sets, ["scope"], 85)
+    proposed, _ = overlap._proposed(ranked)
+    cells = seen[0].orderBy(F.desc("columns")).first()
+    assert cells["columns"] == 16  # 964 sets in blocks of 64
+    assert proposed.count() > 0
+    links = {r["id"]: r["n_links"] for r in duplicates.overlap_report(frame(spark, rows), ["scope"], F.col("words")).collect()}
+    assert links[1000] == len(rows) - 1
+    assert links == brute(rows)
+
+
+def test_pairs_name_the_smaller_set_first(spark):
+    rows = [(1, "s", {"a", "b", "c"}), (2, "s", {"a", "b", "c", "d"}), (3, "s", {"b", "c", "a"}), (4, "s", {"x", "y", "z", "w", "v", "u", "t"}), (5, "s", {"x", "y", "z", "w", "v", "u", "q"}), (6, "r", {"a", "b", "c"})]
+    got = {(r["a"], r["b"], r["n_shared"], r["n_a"], r["n_b"]) for r in duplicates.overlap_pairs(frame(spark, rows), ["scope"], F.col("words")).collect()}
+    assert got == {(1, 2, 3, 3, 4), (4, 5, 6, 7, 7)}
+
+
+def test_heavy_keys_are_met_by_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "LIGHT", 10)
+    rows = spark.createDataFrame([("a" if i % 2 else f"k{i}", i) for i in range(60)], "k string, v int")
+    table = rows.groupBy("k").agg(F.count("*").alias("n"))
+    got = overlap.by_key(rows, table, ["k"], "n")
+    assert sorted((r["v"], r["n"]) for r in got.collect()) == sorted((i, 30 if i % 2 else 1) for i in range(60))
+    assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()
