@@ -176,6 +176,8 @@ class MergePolicy:
     min_entities: int = 1
     min_keywords: int = 2
     newest: int | None = 200
+    #: Slices of time in which soft matches are looked for, the newest first.
+    slices: int = 3
     preserve_metadata: bool = False
 
 

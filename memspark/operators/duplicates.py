@@ -10,7 +10,7 @@ from ..functions import text as t
 from ..functions.memory import can_auto_update
 from ..functions.policy import MergePolicy
 from ..sources.durable import durable
-from .overlap import NEVER, by_key, linked_pairs, linked_sets, ranked_sets
+from .overlap import NEVER, by_key, in_cells, linked_pairs, linked_sets, ranked_sets
 
 
 def first_by_content(memories: DataFrame, keys: list[str]) -> DataFrame:
@@ -37,20 +37,41 @@ def soft_matches(candidates: DataFrame, memories: DataFrame, p: MergePolicy | No
     if p.newest is not None:
         newest = W.partitionBy("chat_id", "character_id").orderBy(F.desc("updated_at"), F.desc("id"))
         memories = memories.withColumn("nth", F.row_number().over(newest)).filter(F.col("nth") <= p.newest)
-    open_ = memories.filter(can_auto_update())
-    lower = F.transform("metadata.entities", F.lower)
-
-    def terms(rows: DataFrame, name: str, *more: str) -> DataFrame:
-        tagged = F.array_union(F.transform(lower, lambda x: F.concat(F.lit("e:"), x)), F.transform("metadata.keywords", lambda x: F.concat(F.lit("k:"), x)))
-        return rows.select(F.col("id").alias(name), *keys, *more, F.explode(F.array_distinct(tagged)).alias("term"))
-
-    both = terms(candidates, "candidate_id").join(terms(open_, "existing_id", "updated_at"), [*keys, "term"])
-    shared = both.groupBy("candidate_id", "existing_id", "updated_at").agg(
-        F.count_if(F.col("term").startswith("e:")).alias("n_entities"), F.count_if(F.col("term").startswith("k:")).alias("n_keywords")
-    )
-    enough = shared.filter((F.col("n_entities") >= p.min_entities) & (F.col("n_keywords") >= p.min_keywords))
-    first = W.partitionBy("candidate_id").orderBy(F.desc("updated_at"), F.desc("existing_id"))
-    return enough.withColumn("nth", F.row_number().over(first)).filter("nth = 1").drop("nth")
+    lower = F.array_distinct(F.transform("metadata.entities", F.lower))
+    sides = [lower.alias("entities"), F.array_distinct("metadata.keywords").alias("keywords")]
+    asks = candidates.select(F.col("id").alias("candidate_id"), *keys, *sides).filter((F.size("entities") >= p.min_entities) & (F.size("keywords") >= p.min_keywords))
+    known = memories.filter(can_auto_update()).select(F.col("id").alias("existing_id"), "updated_at", *keys, *sides)
+    posted, least = ("keywords", p.min_keywords) if p.min_keywords else ("entities", max(1, p.min_entities))
+    term = [*keys, "term"]
+    known = durable(known.select("existing_id", "updated_at", *keys, F.col("entities").alias("known_entities"), F.col("keywords").alias("known_keywords"), F.explode(posted).alias("term")))
+    # Who shares n terms still shares one when a candidate's n - 1 most frequent ones are left out.
+    common = durable(known.groupBy(*term).agg(F.count("*").alias("df")))
+    asks = by_key(durable(asks.withColumn("term", F.explode(posted))), common, term, "df")
+    most = F.row_number().over(W.partitionBy("candidate_id").orderBy(F.desc("df"), "term"))
+    asks = durable(asks.withColumn("nth", most).filter(F.col("nth") >= least).drop("df", "nth"))
+    n_entities, n_keywords = (F.size(F.array_intersect(c, f"known_{c}")) for c in ("entities", "keywords"))
+    found = None
+    for slice_ in _slices(known, p.slices):
+        part = known.filter(slice_)
+        met = in_cells(asks, part, term, "candidate_id", "existing_id").withColumn("n_entities", n_entities).withColumn("n_keywords", n_keywords)
+        enough = met.filter((F.col("n_entities") >= p.min_entities) & (F.col("n_keywords") >= p.min_keywords))
+        # The newest hit of the slice is kept before rows move; who has one leaves before the next older slice.
+        hit = durable(enough.groupBy("candidate_id").agg(F.max(F.struct("updated_at", "existing_id", "n_entities", "n_keywords")).alias("hit")))
+        found = hit if found is None else found.unionByName(hit)
+        asks = asks.join(hit.select("candidate_id"), "candidate_id", "left_anti")
+    hit = lambda c, kind: F.col(f"hit.{c}").cast(kind).alias(c)
+    return found.select("candidate_id", hit("existing_id", dict(memories.dtypes)["id"]), hit("updated_at", "timestamp"), hit("n_entities", "long"), hit("n_keywords", "long"))
+
+
+def _slices(known: DataFrame, n: int) -> list[Column]:
+    """Conditions on updated_at that cut known into n slices, the newest first: it is the smallest, each older one about four times as large. Null times are oldest."""
+    shares = [1 - 4.0**-k for k in range(1, n)]
+    if not shares:
+        return [F.lit(True)]
+    micros = F.unix_micros("updated_at")
+    cuts = sorted(set(known.agg(F.percentile_approx(micros, F.array(*map(F.lit, shares)), 1000).alias("c")).first()["c"] or []), reverse=True)
+    within = [micros > c for c in cuts]
+    return [new if older is None else new & ~older for new, older in zip(within, [None, *within[:-1]], strict=True)] + [micros.isNull() | ~within[-1] if cuts else F.lit(True)]
 
 
 def overlap_pairs(rows: DataFrame, scope: list[str], tokens: Column, percent: int = 85) -> DataFrame:
@@ -159,12 +180,35 @@ def near_duplicate_candidates(memories: DataFrame, percent: int = 85, scope: lis
     return full.select(*scope, "id", related.alias("related_pos")).filter("related_pos is not null").join(named, [*scope, "related_pos"]).select("id", "related_id")
 
 
-def shadowed_by_stable(cards: DataFrame, min_shared: int = 2, scope: list[str] | None = None) -> DataFrame:
-    """id, related_id: episodic memories that aren't active and share signals with a stable one; the first by list order (pos)."""
+def shadowed_by_stable(cards: DataFrame, min_shared: int = 2, scope: list[str] | None = None, hot: float = 0.01) -> DataFrame:
+    """id, related_id: episodic memories that aren't active and share min_shared signals with a stable one; the first by list order (pos).
+
+    Terms that more than the share `hot` of a side's rows hold are in no join of single terms. Rows whose shared signals are all hot share min_shared hot terms:
+    these meet as combinations, of which the stable side keeps only the first memory each. Other rows share a term that isn't hot.
+    """
     scope = ["chat_id", "character_id"] if scope is None else scope
     signals = F.array_distinct(F.transform(F.concat("metadata.entities", "metadata.keywords"), F.lower))
-    quiet = cards.filter((F.col("layer") == "episodic") & (F.col("activity") != "active") & ~F.col("pinned") & (F.coalesce("metadata.review_status", F.lit("")) != "reviewed_keep"))
-    mine = quiet.select(*scope, "id", F.explode(signals).alias("term"))
-    stable = cards.filter("layer = 'stable'").select(*scope, F.col("id").alias("related_id"), F.col("pos").alias("related_pos"), F.explode(signals).alias("term"))
-    shared = mine.join(stable, [*scope, "term"]).groupBy("id", "related_id", "related_pos").agg(F.count("*").alias("n")).filter(F.col("n") >= min_shared)
-    return shared.groupBy("id").agg(F.min_by("related_id", "related_pos").alias("related_id"))
+    quiet = (F.col("layer") == "episodic") & (F.col("activity") != "active") & ~F.col("pinned") & (F.coalesce("metadata.review_status", F.lit("")) != "reviewed_keep")
+    role = F.when(quiet, F.lit("quiet")).when(F.col("layer") == "stable", F.lit("stable"))
+    rows = durable(cards.select(*scope, "id", F.col("pos").cast("long").alias("pos"), role.alias("role"), signals.alias("signals")).filter((F.size("signals") >= min_shared) & F.col("role").isNotNull()))
+    total, key = rows.groupBy("role").agg(F.count("*").alias("rows")), [*scope, "term"]
+    terms = rows.select(*scope, "role", F.explode("signals").alias("term")).groupBy(*key, "role").agg(F.count("*").alias("df"))
+    often = terms.join(F.broadcast(total), "role").filter(F.col("df") > F.greatest(F.col("rows") * hot, F.lit(1.0))).select(*key).distinct()
+    # Terms that this few rows are needed to hold number less than 1 / hot for each signal of a row and side.
+    often = durable(often.withColumn("often", F.lit(True)))
+    tagged = rows.select("*", F.explode("signals").alias("term")).join(F.broadcast(often), key, "left")
+    mine, stable = (tagged.filter(F.col("role") == x) for x in ("quiet", "stable"))
+    single = mine.filter("often is null").select(*key, "id", "signals").join(stable.filter("often is null").select(*key, "pos", F.col("id").alias("related_id"), F.col("signals").alias("theirs")), key)
+    by_term = single.filter(F.size(F.array_intersect("signals", "theirs")) >= min_shared).groupBy("id").agg(F.min(F.struct("pos", "related_id")).alias("first"))
+
+    def combined(side: DataFrame, *kept: str) -> DataFrame:
+        held = side.filter("often").groupBy(*scope, *kept).agg(F.sort_array(F.collect_set("term")).alias("hot")).filter(F.size("hot") >= min_shared)
+        sets = F.transform("hot", lambda x: F.array(x))
+        for _ in range(min_shared - 1):
+            sets = F.flatten(F.transform(sets, lambda c: F.transform(F.filter("hot", lambda x: x > F.element_at(c, -1)), lambda x: F.concat(c, F.array(x)))))
+        return held.select(*scope, *kept, F.explode(sets).alias("set"))
+
+    firsts = combined(stable.withColumnRenamed("id", "related_id"), "related_id", "pos").groupBy(*scope, "set").agg(F.min(F.struct("pos", "related_id")).alias("first"), F.count("*").alias("n"))
+    asked = combined(mine, "id")
+    by_set = asked.join(firsts.drop("n"), [*scope, "set"]).groupBy("id").agg(F.min("first").alias("first"))
+    return by_term.unionByName(by_set).groupBy("id").agg(F.min("first").alias("first")).select("id", F.col("first.related_id").alias("related_id"))

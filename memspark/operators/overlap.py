@@ -39,6 +39,17 @@ def by_key(rows: DataFrame, table: DataFrame, keys: list[str], weight: str) -> D
     return rows.join(F.broadcast(heavy), keys).unionByName(rest)
 
 
+def in_cells(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
+    """left joined with right on keys, which many rows of both sides may share: each side's rows of a key are dealt into blocks by a or b, and each pair of blocks is a key of its own."""
+    counts = durable(left.groupBy(*keys).agg(F.count("*").alias("asks")).join(right.groupBy(*keys).agg(F.count("*").alias("has")), keys))
+    cut = lambda c: F.ceil(F.col(c) / CELL).cast("int")
+    grid = counts.withColumns({"rows": cut("asks"), "columns": cut("has")})
+    place = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    side = lambda rows, weight, c, own, mine, other, theirs: by_key(rows, grid.select(*keys, weight, "rows", "columns"), keys, weight).withColumn(own, place(c, mine)).withColumn(other, each(theirs)).drop(weight, "rows", "columns")
+    return side(left, "asks", a, "i", "rows", "j", "columns").join(side(right, "has", b, "j", "columns", "i", "rows"), [*keys, "i", "j"]).drop("i", "j")
+
+
 def _names(x: str) -> list[str]:
     return [f"{x}{w}" for w in range(WORDS)]
 
@@ -95,25 +106,28 @@ class _Block:
 
     def __init__(self, rows: pa.Table):
         self.k = rows["k"].to_numpy()
-        self.tokens, self.first = _flat(rows["ts"])
         self.order = np.argsort(self.k)
-
-    def linked(self, tokens: np.ndarray, needed: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of those of others that share at least needed tokens, and how many they share."""
-        at = self.order[np.searchsorted(self.k, others, sorter=self.order)]
-        lo, n = self.first[at], self.first[at + 1] - self.first[at]
-        starts = np.concatenate(([0], np.cumsum(n)[:-1]))
-        theirs = self.tokens[np.repeat(lo - starts, n) + np.arange(n.sum())]
-        mine = np.sort(tokens)
-        hit = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
-        shared = np.add.reduceat(hit.astype(np.int64), starts)
-        return at[shared >= needed], shared[shared >= needed]
-
-
-def _asking(left: pa.Table):
-    (tokens, at), (others, to), needed = _flat(left["ts"]), _flat(left["others"]), left["needed"].to_numpy()
-    for row in range(left.num_rows):
-        yield row, tokens[at[row] : at[row + 1]], needed[row], others[to[row] : to[row + 1]]
+        tokens, self.first = _flat(rows["ts"])
+        self.known, self.tokens = np.unique(tokens, return_inverse=True)
+        self.held = np.zeros(len(self.known) + 1, bool)  # the last place is for tokens that the block doesn't have
+
+    def asking(self, left: pa.Table):
+        """For each row of left: its number, the places of those of its others that share the tokens it needs, and how many they share."""
+        (tokens, at), (others, to), needed = _flat(left["ts"]), _flat(left["others"]), left["needed"].to_numpy()
+        where = np.searchsorted(self.known, tokens)
+        where = np.where(self.known[np.minimum(where, len(self.known) - 1)] == tokens, where, len(self.known))
+        places = self.order[np.searchsorted(self.k, others, sorter=self.order)]
+        for row in range(left.num_rows):
+            mine, theirs = where[at[row] : at[row + 1]], places[to[row] : to[row + 1]]
+            lo, n = self.first[theirs], self.first[theirs + 1] - self.first[theirs]
+            starts = np.cumsum(n) - n
+            self.held[mine] = True
+            self.held[-1] = False
+            hit = self.held[self.tokens[np.repeat(lo - starts, n) + np.arange(n.sum())]]
+            self.held[mine] = False
+            shared = np.add.reduceat(hit, starts, dtype=np.int64)
+            enough = shared >= needed[row]
+            yield row, theirs[enough], shared[enough]
 
 
 def _gathered(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -123,8 +137,7 @@ def _gathered(left: pa.Table, right: pa.Table) -> pa.Table:
     mine, theirs = ([x[c].to_numpy() for c in names] for x in (left, right))
     own, out = ([np.full(x.num_rows, s, np.int64) for s in start] for x in (left, right))
     some, hit = np.zeros(left.num_rows, bool), np.zeros(right.num_rows, bool)
-    for row, tokens, needed, others in _asking(left):
-        at, _ = block.linked(tokens, needed, others)
+    for row, at, _ in block.asking(left):
         if len(at):
             some[row], hit[at] = True, True
             own[0][row], own[1][row], own[2][row] = theirs[0][at].sum(), theirs[1][at].max(), theirs[2][at].min()
@@ -137,8 +150,7 @@ def _gathered(left: pa.Table, right: pa.Table) -> pa.Table:
 def _listed(left: pa.Table, right: pa.Table) -> pa.Table:
     """For a cogroup of asking sets and a block: the linked pairs."""
     block, keys, found = _Block(right), left["k"].to_numpy(), []
-    for row, tokens, needed, others in _asking(left):
-        at, shared = block.linked(tokens, needed, others)
+    for row, at, shared in block.asking(left):
         found.append((np.full(len(at), keys[row]), block.k[at], shared))
     none = np.zeros(0, np.int64)
     return pa.table([pa.array(np.concatenate([none, *x])) for x in (zip(*found, strict=True) if found else ((), (), ()))], ["k", "other", "n_shared"])

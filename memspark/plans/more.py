@@ -18,6 +18,7 @@ from ..sources.durable import checkpoint_dir, durable
 from ..streaming import store as streams
 from . import folds as f
 from . import oracles as o
+from .catalog import ORACLES as CATALOG_SQL
 from .catalog import as_of, joined, requests_from_conversations
 from .dialogue import SQL as SAID
 from .dialogue import dialogue
@@ -212,6 +213,14 @@ def said_decisions(spark, sf_dir):
     return said_store(spark, sf_dir)[1].select("id", "decision", "reason", "branch", "matched_id")
 
 
+@query("WITH " + SAID + ", " + CATALOG_SQL["soft_matches"].removeprefix("WITH "))
+def said_soft_matches(spark, sf_dir):
+    """Soft matches over the dialogue; all chats are one scope, so the limit on a chat's newest memories doesn't apply."""
+    rows = durable(said_memories(spark, sf_dir).withColumn("chat_id", F.lit("all")))
+    late = F.split("id", "-")[1].cast("int") >= 2
+    return duplicates.soft_matches(rows.filter(late), rows.filter(~late), MergePolicy(newest=None)).select("candidate_id", "existing_id", "n_entities", "n_keywords")
+
+
 # Reports
 
 SAID_USED = f"{SAID}, {o.USED}"

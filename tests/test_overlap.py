@@ -87,3 +87,51 @@ def test_heavy_keys_are_met_by_broadcast(spark, monkeypatch):
     got = overlap.by_key(rows, table, ["k"], "n")
     assert sorted((r["v"], r["n"]) for r in got.collect()) == sorted((i, 30 if i % 2 else 1) for i in range(60))
     assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def memory_rows(seed, n, words=30):
+    rng = random.Random(seed)
+    some = lambda k: rng.sample([f"t{int(rng.paretovariate(0.8)) % words}" for _ in range(40)], k)
+    return [(f"m{i:04}", "c", f"x{i % 2}", rng.choice(["event", "profile"]), f"2026-01-{1 + i % 28:02} 00:00:00" if i % 17 else None, sorted({x.title() for x in some(rng.randint(0, 4))}), sorted(set(some(rng.randint(0, 6))))) for i in range(n)]
+
+
+def memory_frame(spark, rows):
+    flat = spark.createDataFrame(rows, "id string, chat_id string, character_id string, type string, at string, entities array<string>, keywords array<string>")
+    meta = F.struct("entities", "keywords", F.lit(None).cast("string").alias("review_status"))
+    fixed = {"updated_at": F.col("at").cast("timestamp"), "metadata": meta, "source": F.lit("auto"), "pinned": F.lit(False), "archived": F.lit(False)}
+    return flat.withColumns(fixed)
+
+
+@pytest.mark.parametrize(("slices", "min_entities", "min_keywords"), [(1, 1, 2), (3, 1, 2), (4, 2, 1), (3, 0, 3), (2, 2, 0)])
+def test_soft_matches_take_the_newest_of_all(spark, monkeypatch, slices, min_entities, min_keywords):
+    for name, n in (("CELL", 8), ("LIGHT", 30)):
+        monkeypatch.setattr(overlap, name, n)
+    old, new = memory_rows(1, 240), [(f"n{r[0]}", *r[1:]) for r in memory_rows(2, 120)]
+    policy = duplicates.MergePolicy(newest=None, slices=slices, min_entities=min_entities, min_keywords=min_keywords)
+    got = {r["candidate_id"]: (r["existing_id"], r["n_entities"], r["n_keywords"]) for r in duplicates.soft_matches(memory_frame(spark, new), memory_frame(spark, old), policy).collect()}
+    expected = {}
+    for c in new:
+        hits = []
+        for o in old:
+            shared = len(set(c[5]) & set(o[5])), len(set(c[6]) & set(o[6]))
+            if c[2:4] == o[2:4] and shared[0] >= min_entities and shared[1] >= min_keywords:
+                hits.append((o[4] or "", o[0], *shared))
+        if hits:
+            expected[c[0]] = max(hits)[1:]
+    assert got == expected
+    assert len(got) > 20
+
+
+@pytest.mark.parametrize(("hot", "min_shared"), [(0.01, 2), (0.2, 2), (2.0, 2), (0.1, 1), (0.1, 3)])
+def test_shadowed_episodes_with_hot_terms(spark, hot, min_shared):
+    rows = memory_rows(3, 200)
+    cards = memory_frame(spark, rows).withColumns({"pos": F.substring("id", 2, 4).cast("int"), "layer": F.when(F.substring("id", 2, 4).cast("int") % 3 == 0, F.lit("stable")).otherwise(F.lit("episodic")), "activity": F.lit("low_use")})
+    got = {r["id"]: r["related_id"] for r in duplicates.shadowed_by_stable(cards, min_shared, hot=hot).collect()}
+    signals = {r[0]: {x.lower() for x in (*r[5], *r[6])} for r in rows}
+    expected = {}
+    for i, r in enumerate(rows):
+        if i % 3:
+            first = next((s[0] for j, s in enumerate(rows) if j % 3 == 0 and s[2] == r[2] and len(signals[r[0]] & signals[s[0]]) >= min_shared), None)
+            if first:
+                expected[r[0]] = first
+    assert got == expected
