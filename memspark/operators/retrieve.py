@@ -13,6 +13,7 @@ from ..functions import memory as m
 from ..functions import text as t
 from ..functions.policy import ScorePolicy
 from ..sources.durable import durable
+from .overlap import in_cells
 
 SCOPE = ["chat_id", "character_id"]
 
@@ -60,11 +61,44 @@ def _share(shared: Column, total: Column) -> Column:
     return F.when(total > 0, shared / total).otherwise(F.lit(0.0))
 
 
-def score(requests: DataFrame, memories: DataFrame, as_of: Column, p: ScorePolicy | None = None, prune: bool = True) -> DataFrame:
+def _met(asked: DataFrame, kept: DataFrame, as_of: Column, p: ScorePolicy, at_least: float | None) -> DataFrame:
+    """request_id, id of pairs that share a term, and with at_least only of those whose score may reach it.
+
+    A memory's postings carry its impact, the parts of the score that it brings whatever is asked. Counts of shared terms give the overlaps themselves, so
+    the bound is the score without the penalty for echoes, and pairs below it go before a memory's row is met. Frequent terms are met in cells.
+    """
+    tag = lambda kind, c: F.transform(c, lambda x: F.concat(F.lit(kind), x))
+    related = F.when(F.col("relationship_query"), tag("c:", "in_cues")).otherwise(F.array().cast("array<string>"))
+    q_terms = asked.select("request_id", *SCOPE, F.explode(F.array_distinct(F.concat(tag("k:", "in_keywords"), tag("e:", "in_entities"), related))).alias("term"))
+    impact = F.col("importance") * p.importance + m.recency(F.col("updated_at"), as_of) * p.recency + F.when(F.col("pinned"), F.lit(p.pinned)).otherwise(F.lit(0.0))
+    detailed = (F.col("layer") == "episodic") & (F.col("detail") >= p.detail)
+    parts = [impact.alias("impact"), m.by_layer(F.col("ret_layer"), p.support).alias("support"), detailed.alias("detailed")] if at_least is not None else []
+    m_terms = kept.select("id", *SCOPE, *parts, F.explode(F.array_distinct(F.concat(tag("k:", "keywords"), tag("e:", "entities"), tag("c:", "cues")))).alias("term"))
+    met = in_cells(q_terms, m_terms, [*SCOPE, "term"], "request_id", "id")
+    if at_least is None:
+        return met.select("request_id", "id").distinct()
+    n = lambda kind, name: F.count_if(F.col("term").startswith(kind)).alias(name)
+    pairs = met.groupBy("request_id", "id").agg(n("k:", "nk"), n("e:", "ne"), n("c:", "nc"), *[F.max(c).alias(c) for c in ("impact", "support", "detailed")])
+    sizes = asked.select("request_id", "scene_query", *[F.size(f"in_{c}").alias(c) for c in ("keywords", "entities", "cues")])
+    pairs = pairs.join(sizes, "request_id")
+    kw, ent, cue = _share(F.col("nk"), F.col("keywords")), _share(F.col("ne"), F.col("entities")), _share(F.col("nc"), F.col("cues"))
+    bonus = F.when(cue > 0, F.col("support")).otherwise(F.lit(0.0)) + F.when(F.col("scene_query") & F.col("detailed"), F.lit(p.specificity)).otherwise(F.lit(0.0))
+    most = p.keyword * kw + p.entity * ent + p.cue * cue + F.when((kw > 0) & (ent > 0), F.lit(p.both)).otherwise(F.lit(0.0)) + bonus + _weight(kw, ent) * F.col("impact")
+    return pairs.filter(F.coalesce(most >= at_least - 1e-9, F.lit(True))).select("request_id", "id")
+
+
+def _weight(kw: Column, ent: Column) -> Column:
+    """How much importance, age and pins count, by how much of the query's content is met."""
+    content = 0.65 * kw + 0.35 * ent
+    return F.when(content >= 0.60, F.lit(1.0)).when(content >= 0.30, F.lit(0.6)).otherwise(F.lit(0.25))
+
+
+def score(requests: DataFrame, memories: DataFrame, as_of: Column, p: ScorePolicy | None = None, prune: bool = True, at_least: float | None = None) -> DataFrame:
     """One row per request and memory of its scope with the parts of its score.
 
     requests: from query_features(); memories: from memory_features(). prune drops pairs that share no term, whose score is 0: these
     are found by a join on terms, so a request meets only memories it has something in common with. prune=False scores all of the scope.
+    at_least: with prune, only pairs with this score are wanted, so others are dropped by bounds before memories are met; all rows that stay have their full score.
     """
     p = p or ScorePolicy()
     asked = requests.select(
@@ -76,11 +110,8 @@ def score(requests: DataFrame, memories: DataFrame, as_of: Column, p: ScorePolic
         F.array_distinct(F.col("metadata.keywords")).alias("keywords"), F.array_distinct(F.transform("metadata.entities", F.lower)).alias("entities"),
     )
     if prune:
-        tag = lambda kind, c: F.transform(c, lambda x: F.concat(F.lit(kind), x))
-        q_terms = asked.select("request_id", *SCOPE, F.explode(F.concat(tag("k:", "in_keywords"), tag("e:", "in_entities"), F.when(F.col("relationship_query"), tag("c:", "in_cues")).otherwise(F.array().cast("array<string>")))).alias("term"))
-        m_terms = kept.select("id", *SCOPE, F.explode(F.concat(tag("k:", "keywords"), tag("e:", "entities"), tag("c:", "cues"))).alias("term"))
-        met = q_terms.join(m_terms, [*SCOPE, "term"]).select("request_id", "id").distinct()
-        pairs = met.join(asked, "request_id").join(kept.drop(*SCOPE), "id")
+        asked, kept = durable(asked), durable(kept)  # features are read for terms and for pairs
+        pairs = _met(asked, kept, as_of, p, at_least).join(asked, "request_id").join(kept.drop(*SCOPE), "id")
     else:
         pairs = asked.join(kept, SCOPE)
     pairs = pairs.filter(F.col("include_archived") | ~F.col("archived"))
@@ -105,13 +136,13 @@ def score(requests: DataFrame, memories: DataFrame, as_of: Column, p: ScorePolic
             "recency": F.when((kw > 0) | (ent > 0) | (cue > 0), m.recency(F.col("updated_at"), as_of)).otherwise(F.lit(0.0)),
         }
     )
-    content = 0.65 * kw + 0.35 * ent
-    weight = F.when(content >= 0.60, F.lit(1.0)).when(content >= 0.30, F.lit(0.6)).otherwise(F.lit(0.25))
+    weight = _weight(kw, ent)
     side = F.col("importance") * p.importance + F.col("recency") * p.recency + F.when(F.col("pinned"), F.lit(p.pinned)).otherwise(F.lit(0.0))
     both = F.when((kw > 0) & (ent > 0), F.lit(p.both)).otherwise(F.lit(0.0))
     raw = p.keyword * kw + p.entity * ent + p.cue * cue + both + F.col("support_bonus") + F.col("specificity_bonus") + weight * side - F.col("low_value_penalty")
     total = F.when(F.col("matched"), F.least(F.greatest(raw, F.lit(0.0)), F.lit(1.0))).otherwise(F.lit(0.0))
-    return pairs.withColumn("score", total).withColumn("passed", F.col("score") >= p.threshold)
+    scored = pairs.withColumn("score", total).withColumn("passed", F.col("score") >= p.threshold)
+    return scored if at_least is None else scored.filter(F.col("score") >= at_least)
 
 
 def plain_top(scored: DataFrame, k: int) -> DataFrame:
@@ -125,25 +156,41 @@ CHOSEN = "array<struct<score:double,id:string,layer:string>>"
 PRIORITY = ("summary", "stable", "episodic")
 
 
-def banded(entries: list[dict], band: float) -> Iterator[dict]:
+#: Entries of a layer that a request's selection begins with, and how much more it gets when it needs deeper ones.
+FRONTIER, DEEPER = 63, 16
+
+
+class NeedsDeeper(Exception):
+    """A selection asks for entries below those it was given."""
+
+
+def banded(entries: list[dict], band: float, cut: float | None = None) -> Iterator[dict]:
     """Entries by score; those within `band` of a band's best go by layer priority, time and id, all descending.
 
     A band opens at its best score, so unlike comparing neighbours this is a total order and doesn't depend on the input's order.
-    Bands are made as they are asked for, so a pass that stops early sorts no more.
+    Bands are made as they are asked for, so a pass that stops early sorts no more. cut: entries up to this score may be missing; asking for a
+    band that reaches it raises NeedsDeeper.
     """
     by_score, at = sorted(entries, key=lambda e: -e["score"]), 0
     while at < len(by_score):
-        end = at
-        while end < len(by_score) and by_score[at]["score"] - by_score[end]["score"] <= band:
+        best, end = by_score[at]["score"], at
+        if cut is not None and best - cut <= band:
+            raise NeedsDeeper
+        while end < len(by_score) and best - by_score[end]["score"] <= band:
             end += 1
         own = sorted(by_score[at:end], key=lambda e: (e["updated_at"], e["id"]), reverse=True)
         yield from sorted(own, key=lambda e: PRIORITY.index(e["layer"]))
         at = end
+    if cut is not None:
+        raise NeedsDeeper
+
 
+def select_entries(entries: list[dict], top: int, p: ScorePolicy, cuts: dict[str, float] | None = None) -> tuple[list[dict], list[str]]:
+    """What is chosen of one request's passing entries, best first, and the ids that were tried and too similar. See select_layered().
 
-def select_entries(entries: list[dict], top: int, p: ScorePolicy) -> tuple[list[dict], list[str]]:
-    """What is chosen of one request's passing entries, best first, and the ids that were tried and too similar. See select_layered()."""
-    chosen, taken, dropped = [], set(), {}
+    cuts: for each layer of which entries are missing, the score from which on downwards they may be. NeedsDeeper is raised where they could matter.
+    """
+    chosen, taken, dropped, cuts = [], set(), {}, cuts or {}
 
     def similar(e: dict) -> bool:
         for s in chosen:
@@ -163,40 +210,62 @@ def select_entries(entries: list[dict], top: int, p: ScorePolicy) -> tuple[list[
 
     if top >= 3:
         for layer in PRIORITY:
-            next((e for e in banded([e for e in entries if e["layer"] == layer], p.band) if len(chosen) < top and e["id"] not in taken and fits(e)), None)
+            if len(chosen) < top:
+                next((e for e in banded([e for e in entries if e["layer"] == layer], p.band, cuts.get(layer)) if e["id"] not in taken and fits(e)), None)
     for capped in (True, False):
-        for e in banded(entries, p.band):
-            if len(chosen) >= top:
-                break
+        if len(chosen) >= top:
+            break
+        for e in banded(entries, p.band, max(cuts.values(), default=None)):
             if e["id"] not in taken and not (capped and sum(s["layer"] == e["layer"] for s in chosen) >= p.caps[e["layer"]]):
                 fits(e)
+            if len(chosen) >= top:
+                break
     best = sorted(chosen, key=lambda e: (e["score"], e["updated_at"], e["id"]), reverse=True)
     return best, list(dropped)
 
 
-def select_layered(scored: DataFrame, p: ScorePolicy | None = None) -> DataFrame:
+def select_layered(scored: DataFrame, p: ScorePolicy | None = None, frontier: int = FRONTIER) -> DataFrame:
     """request_id, selected array (ranked), filtered_ids: three greedy passes over each request's passing entries.
 
     From a limit of 3 on the best of each layer comes first; then the best under the layers' caps; then the best without caps.
-    An entry too similar to one already chosen is skipped. Only entries over the threshold are gathered per request, with hashes for
-    their tokens; each choice depends on those before it, so a request's passes run in one small function.
+    An entry too similar to one already chosen is skipped. The passes of a request run in one small function over a frontier: the best entries of each
+    layer, kept by a limit that tasks apply before rows move. Where a pass could take a deeper entry, that request alone runs again with a
+    frontier DEEPER times as long. So a request gathers all its entries only if nearly all of them are too similar to what is chosen.
     """
     p = p or ScorePolicy()
     entry = F.struct("score", F.unix_micros("updated_at").alias("updated_at"), "id", F.col("ret_layer").alias("layer"), F.when(F.col("norm") == "", F.lit("")).otherwise(F.sha2("norm", 256)).alias("norm"), F.transform("tokens", lambda x: F.xxhash64(x)).alias("tokens"))
-    gathered = scored.filter("passed").groupBy("request_id").agg(F.max(F.coalesce("top", F.lit(5))).alias("top"), F.collect_list(entry).alias("entries"))
+    passing = scored.filter("passed").select("request_id", F.coalesce("top", F.lit(5)).alias("top"), "ret_layer", "score", entry.alias("entry"))
     kind = pa.list_(pa.struct([("score", pa.float64()), ("id", pa.string()), ("layer", pa.string())]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            selected, filtered = [], []
+            selected, filtered, more = [], [], []
             for top, entries in zip(batch.column("top").to_pylist(), batch.column("entries"), strict=True):
                 listed = [e | {"tokens": set(e["tokens"]), "updated_at": -(2**62) if e["updated_at"] is None else e["updated_at"]} for e in entries.as_py()]
-                best, dropped = select_entries(listed, top, p)
+                scores = {x: [e["score"] for e in listed if e["layer"] == x] for x in PRIORITY}
+                try:
+                    best, dropped = select_entries(listed, top, p, {x: min(s) for x, s in scores.items() if len(s) > size})
+                    more.append(False)
+                except NeedsDeeper:
+                    best, dropped = [], []
+                    more.append(True)
                 selected.append([{k: e[k] for k in ("score", "id", "layer")} for e in best])
                 filtered.append(dropped)
-            yield pa.record_batch([batch.column("request_id"), pa.array(selected, kind), pa.array(filtered, pa.list_(pa.string()))], ["request_id", "selected", "filtered_ids"])
-
-    return gathered.mapInArrow(run, f"request_id string, selected {CHOSEN}, filtered_ids array<string>")
+            yield pa.record_batch([batch.column("request_id"), pa.array(selected, kind), pa.array(filtered, pa.list_(pa.string())), pa.array(more, pa.bool_())], ["request_id", "selected", "filtered_ids", "more"])
+
+    done, size = None, frontier
+    while True:
+        # One entry more than the frontier tells whether a layer has deeper ones.
+        nth = F.row_number().over(W.partitionBy("request_id", "ret_layer").orderBy(F.desc("score"), F.col("entry.id")))
+        kept = passing.withColumn("nth", nth).filter(F.col("nth") <= size + 1)
+        gathered = kept.groupBy("request_id").agg(F.max("top").alias("top"), F.collect_list("entry").alias("entries"))
+        got = durable(gathered.mapInArrow(lambda b, n=size: run(b, n), f"request_id string, selected {CHOSEN}, filtered_ids array<string>, more boolean"))
+        ready = got.filter("not more").drop("more")
+        done = ready if done is None else done.unionByName(ready)
+        again = got.filter("more").select("request_id")
+        if again.isEmpty():
+            return done
+        passing, size = passing.join(again, "request_id", "left_semi"), size * DEEPER
 
 
 def retrieve(requests: DataFrame, memories: DataFrame, as_of: Column, p: ScorePolicy | None = None, lemmas: dict[str, str] | None = None, prune: bool = True) -> DataFrame:

@@ -132,6 +132,14 @@ def said_scores(spark, sf_dir):
     return got.select("request_id", "id", r6("keyword_overlap"), r6("entity_overlap"), r6("cue_overlap"), F.col("scene_query").alias("scene"), echo.alias("echo"), r6("detail"), "passed", r6("score"))
 
 
+@query(f"WITH {SAID}, {f.scored(3, False)}, passing AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, updated_at DESC, id DESC)::INTEGER AS rank FROM scored WHERE score >= 0.3) SELECT request_id, id, rank, round(score, 6) AS score FROM passing WHERE rank <= 5")
+def said_passing(spark, sf_dir):
+    """The five best memories with a score of at least 0.3; pairs that can't reach it are dropped by bounds before memories are met."""
+    asked, known = said_requests(spark, sf_dir, 3)
+    got = retrieve.score(retrieve.query_features(asked, SCORING), retrieve.memory_features(known), as_of(), SCORING, at_least=0.3)
+    return retrieve.plain_top(got, 5).select("request_id", "id", "rank", F.round("score", 6).alias("score"))
+
+
 @query(f"WITH RECURSIVE {SAID}, {f.layered(3, False)} {f.LAYERED}")
 def said_layered(spark, sf_dir):
     asked, known = said_requests(spark, sf_dir, 3)
