@@ -20,10 +20,8 @@ from pyspark.sql.window import Window as W
 from .common import durable
 
 LEVELS = (4, 16)
-#: The share of a block that may survive a level for its rows still to be picked one by one.
-FEW = 0.02
-#: Whole products of which the sum of all components' bounds stays below this are exact in 64-bit floating point; beyond it bounds are not used.
-SURE = 2.0**53
+#: Queries whose survivors are scored together: exact scores are computed for candidates that one of them still needs.
+SLICE = 64
 LONGEST = 2**63 - 1
 #: Rows of a block of candidates and of queries, and of the candidates that give each query its first score to beat.
 CANDIDATES, QUERIES, SEEDS = 4096, 1024, 1024
@@ -68,33 +66,29 @@ def bound(a: np.ndarray, b: np.ndarray) -> float:
 
 def block_top(q_row, q, floor, c_row, c_id, c, k):
     """(query index, candidate index, score) of each query's best k in a block that reach its floor; ties to smaller ids."""
-    qf, cf = q.astype(np.float32), c.astype(np.float32)
-    # Single precision is enough for bounds: the slack covers its rounding.
-    slack = 0.5 + 1e-5 * float(np.linalg.norm(qf, axis=1).max(initial=0.0)) * float(np.linalg.norm(cf, axis=1).max(initial=0.0))
-    least = (floor - slack).astype(np.float32)
-    alive = q_row[:, None] != c_row[None, :]
-    picked = None
-    for segments in LEVELS if bound(q, c) < SURE else ():
-        if segments > max(1, q.shape[1] // 2):
-            break
-        sq, sc = statistics(qf, segments), statistics(cf, segments)
-        if picked is None:
-            alive &= sq @ sc.T >= least[:, None]
-            if np.count_nonzero(alive) <= FEW * alive.size:
-                picked = np.nonzero(alive)
-        else:
-            kept = np.einsum("ij,ij->i", sq[picked[0]], sc[picked[1]]) >= least[picked[0]]
-            picked = picked[0][kept], picked[1][kept]
-    if picked is None:  # so many survivors that one product is cheaper than picking rows
-        every = exact(q, c)
-        alive &= every >= floor[:, None]
-        alive_q, alive_c = np.nonzero(alive)
-        score = every[alive_q, alive_c]
-    else:
-        alive_q, alive_c = picked
-        score = np.einsum("ij,ij->i", q[alive_q], c[alive_c])
-        keep = score >= floor[alive_q]
-        alive_q, alive_c, score = alive_q[keep], alive_c[keep], score[keep]
+    # Bounds are of vectors scaled to 1 at most, so single precision holds them; the slack covers its rounding.
+    largest = lambda x: max(float(np.abs(x.astype(np.float64)).max(initial=0.0)), 1.0)
+    unit = largest(q) * largest(c)
+    qf, cf = (q / largest(q)).astype(np.float32), (c / largest(c)).astype(np.float32)
+    slack = 0.5 / unit + 1e-5 * float(np.linalg.norm(qf, axis=1).max(initial=0.0)) * float(np.linalg.norm(cf, axis=1).max(initial=0.0))
+    least = (np.maximum(floor / unit, -1e30) - slack).astype(np.float32)
+    levels = [n for n in LEVELS if n <= max(1, q.shape[1] // 2)]
+    stats = [(statistics(qf, n), statistics(cf, n)) for n in levels]
+    out_q, out_c, out_score = [], [], []
+    for at in range(0, len(q), SLICE):
+        some = slice(at, at + SLICE)
+        alive, columns = q_row[some, None] != c_row[None, :], np.arange(len(c))
+        for sq, sc in stats:
+            alive &= sq[some] @ sc[columns].T >= least[some, None]
+            needed = alive.any(axis=0)
+            alive, columns = alive[:, needed], columns[needed]
+        score = exact(q[some], c[columns])
+        alive &= score >= floor[some, None]
+        i, j = np.nonzero(alive)
+        out_q.append(i + at)
+        out_c.append(columns[j])
+        out_score.append(score[i, j])
+    alive_q, alive_c, score = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (out_q, out_c, out_score))
     order = np.lexsort((c_row[alive_c], c_id[alive_c], -score, alive_q))
     alive_q, alive_c, score = alive_q[order], alive_c[order], score[order]
     nth = np.arange(len(alive_q)) - np.searchsorted(alive_q, alive_q, "left")
@@ -115,10 +109,31 @@ def _packed(dealt: DataFrame, name: str) -> DataFrame:
     return dealt.groupBy(name, "dim").agg(F.collect_list(F.struct("row", "vec_id", "vec")).alias(name + "_rows"))
 
 
+#: Blocks of a group. Blocks are numbered along their cells, so those of a group are alike. And shares that groups are dealt into where they meet.
+GROUP, MEETINGS = 32, 16
+
+
 def _envelopes(dealt: DataFrame, name: str, *more) -> DataFrame:
-    """Per block the least and the largest of each coarse statistic."""
+    """Per block the least and the largest of each coarse statistic, and the block's group."""
     ends = [f(F.col("stat")[i]).alias(f"{name}_{which}{i}") for i in range(2 * LEVELS[0]) for which, f in (("lo", F.min), ("hi", F.max))]
-    return dealt.groupBy(name, "dim").agg(*ends, *more)
+    return durable(dealt.groupBy(name, "dim").agg(*ends, *more).withColumn(f"{name}_group", F.floor(F.col(name) / GROUP)))
+
+
+def _grouped(envelopes: DataFrame, name: str, *more) -> DataFrame:
+    """The envelopes of groups of blocks."""
+    ends = [(F.min if which == "lo" else F.max)(f"{name}_{which}{i}").alias(f"{name}_{which}{i}") for i in range(2 * LEVELS[0]) for which in ("lo", "hi")]
+    return envelopes.groupBy("dim", f"{name}_group").agg(*ends, *more)
+
+
+def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """dim, qb, cb of blocks that may hold a score that some query has to beat: first groups of blocks meet, in shares, then the blocks of those that are left. The slack covers rounding."""
+    reach = _reach("qb", "cb")
+    may = F.isnan(reach) | (reach + F.abs(reach) * 1e-9 + 0.5 >= F.col("floor"))
+    share = F.explode(F.sequence(F.lit(0), F.lit(MEETINGS - 1))).alias("share")
+    asked = _grouped(left, "qb", F.min("floor").alias("floor")).select("*", share)
+    given = _grouped(right, "cb").withColumn("share", F.pmod(F.xxhash64("cb_group"), F.lit(MEETINGS)).cast("int"))
+    groups = asked.join(given, ["dim", "share"]).filter(may).select("dim", "qb_group", "cb_group")
+    return groups.join(left, ["dim", "qb_group"]).join(right, ["dim", "cb_group"]).filter(may).select("dim", "qb", "cb")
 
 
 def _reach(a: str, b: str):
@@ -198,10 +213,7 @@ def top_k(rows: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector
                 yield pa.record_batch([pa.array(x) for x in (q_row[a], q_id[a], c_row[b], c_id[b], score)], names)
 
     asked, given = _dealt(featured.filter("asks"), QUERIES, "qb"), _dealt(featured, CANDIDATES, "cb")
-    # Pairs of blocks, as rows of envelopes: those that may hold a score that some query of the block has to beat. The slack covers rounding.
-    left, right = _envelopes(asked, "qb", F.min("floor").alias("floor")), _envelopes(given, "cb")
-    reach = _reach("qb", "cb")
-    met = left.join(right, "dim").filter(F.isnan(reach) | (reach + F.abs(reach) * 1e-9 + 0.5 >= F.col("floor"))).select("dim", "qb", "cb")
+    met = _pairs(_envelopes(asked, "qb", F.min("floor").alias("floor")), _envelopes(given, "cb"))
     blocks = met.join(_packed(asked, "qb"), ["dim", "qb"]).join(_packed(given, "cb"), ["dim", "cb"]).select("qb_rows", "cb_rows")
     found = blocks.mapInArrow(pairs, "q_row long, query_id long, row long, vec_id long, score long")
     best = W.partitionBy("q_row").orderBy(F.desc("score"), "vec_id", "row")
