@@ -70,6 +70,15 @@ def summary_text(items: Column, p: SummaryPolicy) -> Column:
     return F.when(F.size(items) > 0, text).otherwise(F.lit(""))
 
 
+def summary_metadata(text: Column, items: Column, source_ids: Column, count: Column, as_of: Column, p: SummaryPolicy, lemmas: dict[str, str] | None = None) -> Column:
+    """A summary's metadata: features of its text united with those of its inputs (newest first), and what it covers."""
+    union = lambda first, field, most: F.slice(F.array_distinct(F.concat(first, F.flatten(F.transform(F.reverse(items), lambda x: F.coalesce(x[field], F.array().cast("array<string>")))))), 1, most)
+    return metadata(
+        entities=union(t.entities(text, lemmas=lemmas), "entities", 10), keywords=union(t.keywords(text, lemmas=lemmas), "keywords", 12), is_summary=F.lit(True),
+        summary_kind=F.lit(p.kind), summary_generated_at=as_of, summary_source_memory_ids=source_ids, summarized_memory_count=count,
+    )
+
+
 def rolling_summary(memories: DataFrame, as_of: Column, p: SummaryPolicy | None = None, lemmas: dict[str, str] | None = None) -> DataFrame:
     """One result per scope: action (created, updated or a reason for neither), the summary's id, text and metadata, source_ids, counts."""
     p = p or SummaryPolicy()
@@ -82,12 +91,7 @@ def rolling_summary(memories: DataFrame, as_of: Column, p: SummaryPolicy | None
     )
     rows = rows.withColumn("action", action).withColumn("writes", F.col("action").isin("created", "updated"))
     rows = rows.withColumn("text", F.when(F.col("writes"), summary_text(F.col("newest_first"), p)).otherwise(F.coalesce("summary_text", F.lit(""))))
-    old_first = F.reverse("newest_first")
-    union = lambda first, field, most: F.slice(F.array_distinct(F.concat(first, F.flatten(F.transform(old_first, lambda x: F.coalesce(x[field], F.array().cast("array<string>")))))), 1, most)
-    meta = metadata(
-        entities=union(t.entities(F.col("text"), lemmas=lemmas), "entities", 10), keywords=union(t.keywords(F.col("text"), lemmas=lemmas), "keywords", 12), is_summary=F.lit(True),
-        summary_kind=F.lit(p.kind), summary_generated_at=as_of, summary_source_memory_ids=F.col("source_ids"), summarized_memory_count=F.col("summarized_count"),
-    )
+    meta = summary_metadata(F.col("text"), F.col("newest_first"), F.col("source_ids"), F.col("summarized_count"), as_of, p, lemmas)
     made_id = F.sha2(F.concat_ws("#", *SCOPE, F.lit(p.kind)), 256)
     return rows.select(
         *SCOPE, "action", F.when(F.col("action") == "created", made_id).otherwise(F.col("summary_id")).alias("summary_memory_id"), F.col("text").alias("summary_text"),

@@ -539,5 +539,141 @@ def summaries_from_stream(spark, sf_dir):
     return got.select("chat_id", "character_id", "action", "summary_memory_id", "summary_text", joined("source_ids").alias("source_ids"), "summarized_count", "new_input_count", joined("metadata.keywords").alias("keywords"))
 
 
+# Streams of several batches: a table comes in parts, one after another; part of it comes again; the query is stopped and goes on from its checkpoint.
+
+
+def fed(spark: SparkSession, parts: list[DataFrame], make: Callable[[DataFrame], DataFrame], keys: list[str], stops: set[int], mode: str = "append") -> DataFrame:
+    """What make() writes of a stream that gets the parts in order, a part's rows of a key in one file, a file a batch. stops: after which parts the query runs until it has caught up and ends."""
+    base = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    schema, out = None, None
+    for i, part in enumerate(parts):
+        part.repartition(*keys).write.mode("append").parquet(f"{base}/feed")
+        schema = schema or part.schema
+        if i in stops or i + 1 == len(parts):
+            out = make(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/feed"))
+            writer = out.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{base}/state").outputMode(mode)
+            if mode == "append":
+                writer.format("parquet").option("path", f"{base}/out").start().awaitTermination()
+            else:
+                writer.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{base}/out")).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{base}/out")
+
+
+def in_turns(rows: DataFrame, *cuts: int, turn: str = "turn") -> list[DataFrame]:
+    """rows cut by turn."""
+    ends = [None, *cuts, None]
+    within = lambda lo, hi: (F.lit(True) if lo is None else F.col(turn) >= lo) & (F.lit(True) if hi is None else F.col(turn) < hi)
+    return [rows.filter(within(lo, hi)) for lo, hi in zip(ends, ends[1:], strict=False)]
+
+
+_SHARED = "len(list_intersect(list_distinct([lower(x) for x in {a}.entities]), list_distinct([lower(x) for x in {b}.ents]))) >= 1 AND len(list_intersect(list_distinct({a}.keywords), list_distinct({b}.kws))) >= 2"
+_STATE = "STRUCT(touched BIGINT, id VARCHAR, type VARCHAR, norm VARCHAR, content VARCHAR, imp DOUBLE, ents VARCHAR[], kws VARCHAR[], safe BOOLEAN)[]"
+_UNION = "list_concat({old}, list_filter({new}, lambda x: NOT list_contains({old}, x)))"
+_LONGER = "length(content) > length(hit.content) + 10"
+
+
+@query(rf"""WITH RECURSIVE {SAID}, {o.MEM}, c AS (SELECT m.*, {o.similarity("regexp_replace(content, '^\s+|\s+$', '', 'g')")} AS sim FROM memories m),
+gated AS (SELECT *, source <> 'auto' OR pinned OR archived AS safe, row_number() OVER (PARTITION BY chat_id, character_id ORDER BY turn) AS step FROM c WHERE source <> 'auto' OR (sim <> '' AND NOT list_contains({o.listed(policy.LOW_VALUE)}, sim) AND length(regexp_replace(content, '^\s+|\s+$', '', 'g')) >= 12
+  AND len({o.words('sim')}) >= 3 AND (len(keywords) >= 2 OR len(entities) >= 1 OR len({o.words('sim')}) >= 5))),
+walk AS (SELECT DISTINCT chat_id, character_id, 0::BIGINT AS step, NULL::VARCHAR AS id, NULL::VARCHAR AS decision, NULL::VARCHAR AS branch, NULL::VARCHAR AS matched_id, NULL::DOUBLE AS importance, NULL::VARCHAR AS content, []::{_STATE} AS mems FROM gated
+  UNION ALL SELECT chat_id, character_id, step, id, CASE WHEN hit IS NULL THEN 'stored' WHEN exact AND hit.safe THEN 'skipped_exact_protected' ELSE 'updated' END, CASE WHEN hit IS NULL THEN 'new' WHEN exact THEN 'exact' ELSE 'soft' END, hit.id,
+    CASE WHEN hit IS NULL THEN importance WHEN exact AND hit.safe THEN hit.imp ELSE least(hit.imp + CASE WHEN exact THEN 0.05 ELSE 0.03 END, 1)::DOUBLE END, CASE WHEN hit IS NULL OR (NOT (exact AND hit.safe) AND {_LONGER}) THEN content ELSE hit.content END,
+    CASE WHEN hit IS NOT NULL AND exact AND hit.safe THEN mems WHEN hit IS NULL THEN list_append(mems, {{'touched': turn, 'id': id, 'type': type, 'norm': normalized_content, 'content': content, 'imp': importance, 'ents': entities, 'kws': keywords, 'safe': safe}})
+      ELSE list_append(list_filter(mems, lambda m: m.id <> hit.id), {{'touched': turn, 'id': hit.id, 'type': hit.type, 'norm': CASE WHEN {_LONGER} THEN normalized_content ELSE hit.norm END, 'content': CASE WHEN {_LONGER} THEN content ELSE hit.content END,
+        'imp': least(hit.imp + CASE WHEN exact THEN 0.05 ELSE 0.03 END, 1)::DOUBLE, 'ents': {_UNION.format(old="hit.ents", new="entities")}, 'kws': {_UNION.format(old="hit.kws", new="keywords")}, 'safe': hit.safe}}) END
+  FROM (SELECT *, coalesce(same, near) AS hit, same IS NOT NULL AS exact FROM (SELECT g.* EXCLUDE (step), g.step, w.mems, list_filter(w.mems, lambda m: m.norm = g.normalized_content)[1] AS same,
+    list_reverse_sort(list_filter(w.mems, lambda m: NOT m.safe AND m.type = g.type AND {_SHARED.format(a="g", b="m")}))[1] AS near FROM walk w JOIN gated g ON g.chat_id = w.chat_id AND g.character_id = w.character_id AND g.step = w.step + 1)))
+SELECT id, decision, branch, matched_id, round(importance, 6) AS importance, sha256(content) AS content FROM walk WHERE step > 0""")
+def decisions_from_stream(spark, sf_dir):
+    """Decisions of the sequential store over three parts of the turns, the query being stopped after the second."""
+    with streams.state_in_rocksdb(spark):
+        rows = durable(said_memories(spark, sf_dir).withColumn("seq", F.split("id", "-")[1].cast("long")))
+        got = fed(spark, in_turns(rows, 3, 5, turn="seq"), lambda x: streams.store_stream(x, merge=MergePolicy()), ["chat_id", "character_id"], {1})
+        return got.select("id", "decision", "branch", "matched_id", F.round("importance", 6).alias("importance"), F.sha2("content", 256).alias("content"))
+
+
+_NEW = "len(list_filter(ids, lambda x: NOT list_contains(known, x)))"
+_AGAIN = f.SUMMARIES.replace("WHEN summary_id IS NULL THEN 'created'", f"WHEN summary_id IS NOT NULL AND {_NEW} < 3 THEN 'skipped_not_enough_new_inputs' WHEN summary_id IS NULL THEN 'created'").replace("len(ids)::INTEGER AS new_input_count", f"{_NEW}::INTEGER AS new_input_count")
+_WINDOW = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chat_id, character_id ORDER BY updated_at DESC, id DESC) AS nth FROM {rows} WHERE layer = 'episodic' AND NOT archived) WHERE nth <= 8 AND NOT is_summary"
+_OLD = "SELECT chat_id, character_id, arg_min(id, nth) AS summary_id FROM (SELECT *, row_number() OVER (PARTITION BY chat_id, character_id ORDER BY updated_at DESC, id DESC) AS nth FROM {rows} WHERE NOT archived) WHERE nth <= 50 AND (type = 'summary' OR is_summary) GROUP BY ALL"
+_MADE = "sha256(chat_id || '#' || character_id || '#rolling_v1')"
+
+
+@query(f"""WITH {SAID}, {o.MEM}, a AS (SELECT * FROM memories WHERE turn < 5), w1 AS ({_WINDOW.format(rows="a")}), o1 AS ({_OLD.format(rows="a")}),
+i1 AS (SELECT chat_id, character_id, list(id ORDER BY nth DESC) AS known FROM w1 GROUP BY ALL HAVING count(*) >= 3), wrote AS (SELECT chat_id, character_id, known, coalesce(summary_id, {_MADE}) AS wrote_id FROM i1 LEFT JOIN o1 USING (chat_id, character_id)),
+b AS (SELECT m.* REPLACE (CASE WHEN wrote_id = m.id THEN TIMESTAMP '{src.AS_OF}' ELSE m.updated_at END AS updated_at) FROM memories m LEFT JOIN wrote USING (chat_id, character_id)), win AS ({_WINDOW.format(rows="b")}), o2 AS ({_OLD.format(rows="b")}),
+inputs AS (SELECT chat_id, character_id, list(id ORDER BY nth DESC) AS ids, list(content ORDER BY nth) AS contents, list(keywords ORDER BY nth DESC) AS kws FROM win GROUP BY ALL),
+rolled AS (SELECT chat_id, character_id, coalesce(ids, []::VARCHAR[]) AS ids, contents, kws, coalesce(wrote_id, summary_id) AS summary_id, NULL::VARCHAR AS summary_text, coalesce(known, []::VARCHAR[]) AS known FROM inputs FULL JOIN o2 USING (chat_id, character_id) LEFT JOIN wrote USING (chat_id, character_id)), {_AGAIN}""")
+def resumed_summaries(spark, sf_dir):
+    """Summaries after the fifth turn are written to the store; later turns then meet summaries that know their sources. The text is shown where it is written."""
+    rows = durable(said_memories(spark, sf_dir))
+    parts = in_turns(rows.withColumn("turn", F.split("id", "-")[1].cast("int")), 5)
+    first, later = (x.select(*src.COLUMNS) for x in parts)
+    snapshot = summary.apply_summaries(first, durable(summary.rolling_summary(first, as_of())), as_of())
+    return shown_summaries(summary.rolling_summary(snapshot.unionByName(later), as_of()))
+
+
+def shown_summaries(got: DataFrame) -> DataFrame:
+    text = F.when(F.col("action").isin("created", "updated"), F.col("summary_text")).otherwise(F.lit(""))
+    return got.select("chat_id", "character_id", "action", "summary_memory_id", text.alias("summary_text"), joined("source_ids").alias("source_ids"), "summarized_count", "new_input_count", joined("metadata.keywords").alias("keywords"))
+
+
+@query(f"""WITH RECURSIVE {SAID}, {o.MEM}, usable AS (SELECT *, CASE WHEN turn < 3 THEN 0 WHEN turn < 5 THEN 1 ELSE 2 END AS part, type = 'summary' OR is_summary AS rolling FROM memories WHERE NOT archived AND (layer = 'episodic' OR type = 'summary' OR is_summary)),
+touched AS (SELECT DISTINCT chat_id, character_id, part FROM usable), seen AS (SELECT t.part AS upto, u.*, row_number() OVER (PARTITION BY t.part, u.chat_id, u.character_id, u.layer = 'episodic' ORDER BY updated_at DESC, id DESC) AS nth FROM touched t JOIN usable u ON t.chat_id = u.chat_id AND t.character_id = u.character_id AND u.part <= t.part),
+lists AS (SELECT upto, chat_id, character_id, coalesce(list(id ORDER BY nth DESC) FILTER (layer = 'episodic' AND nth <= 8 AND NOT is_summary), []::VARCHAR[]) AS ids, list(content ORDER BY nth) FILTER (layer = 'episodic' AND nth <= 8 AND NOT is_summary) AS contents,
+  list(keywords ORDER BY nth DESC) FILTER (layer = 'episodic' AND nth <= 8 AND NOT is_summary) AS kws, arg_max(id, (updated_at, id)) FILTER (rolling) AS own_id FROM seen GROUP BY ALL),
+steps AS (SELECT *, row_number() OVER (PARTITION BY chat_id, character_id ORDER BY upto) AS step FROM lists),
+walk AS (SELECT DISTINCT chat_id, character_id, 0::BIGINT AS step, []::VARCHAR[] AS known, NULL::VARCHAR AS wrote_id, []::VARCHAR[] AS before, NULL::VARCHAR AS summary_id FROM steps
+  UNION ALL SELECT chat_id, character_id, step, CASE WHEN writes THEN ids ELSE known END, CASE WHEN writes THEN coalesce(summary_id, {_MADE}) ELSE wrote_id END, known, summary_id
+  FROM (SELECT s.*, w.known, w.wrote_id, coalesce(w.wrote_id, s.own_id) AS summary_id, len(s.ids) >= 3 AND (coalesce(w.wrote_id, s.own_id) IS NULL OR len(list_filter(s.ids, lambda x: NOT list_contains(w.known, x))) >= 3) AS writes
+    FROM walk w JOIN steps s ON s.chat_id = w.chat_id AND s.character_id = w.character_id AND s.step = w.step + 1)),
+win AS (SELECT upto || '@' || chat_id AS chat_id, character_id, nth, content FROM seen WHERE layer = 'episodic' AND nth <= 8 AND NOT is_summary),
+rolled AS (SELECT s.upto || '@' || chat_id AS chat_id, character_id, ids, contents, kws, w.summary_id, NULL::VARCHAR AS summary_text, w.before AS known FROM walk w JOIN steps s USING (chat_id, character_id, step)), {_AGAIN.replace("SELECT chat_id, character_id, action", "SELECT string_split(chat_id, '@')[2] AS chat_id, character_id, action").replace(_MADE, _MADE.replace("chat_id", "string_split(chat_id, '@')[2]", 1))}""")
+def summaries_from_state(spark, sf_dir):
+    """Incremental summaries over three parts of the turns, from state alone, the query being stopped after each: what each batch decides for each scope it touches."""
+    micros = spark.sql(f"SELECT unix_micros(TIMESTAMP '{src.AS_OF}') AS t").first()["t"]
+    with streams.state_in_rocksdb(spark):
+        rows = durable(said_memories(spark, sf_dir).withColumn("turn", F.split("id", "-")[1].cast("int")))
+        return shown_summaries(fed(spark, in_turns(rows, 3, 5), lambda x: streams.summary_stream(x, as_of=micros, skips=True), ["chat_id", "character_id"], {0, 1}))
+
+
+@query(f"""WITH {o.TURNS} SELECT chat_id, msg_idx, string_agg(text, '|') OVER (PARTITION BY chat_id ORDER BY msg_idx ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS recent FROM turns""")
+def context_from_batches(spark, sf_dir):
+    """Recent context over three parts of the turns, the query being stopped after the first."""
+    with streams.state_in_rocksdb(spark):
+        parts = in_turns(src.messages_from_conversations(spark, sf_dir), 2, 4, turn="msg_idx")
+        return fed(spark, parts, lambda x: streams.recent_context_stream(x, 3), ["chat_id"], {0}).select("chat_id", "msg_idx", F.array_join("recent", "|").alias("recent"))
+
+
+@query(f"WITH {o.LOG}, again AS (SELECT * FROM log UNION ALL SELECT * FROM log WHERE ts < (SELECT min(ts) + INTERVAL 3 DAY FROM log)) SELECT id, count(*) AS uses, max(ts) AS last_use FROM again GROUP BY id")
+def usage_from_batches(spark, sf_dir):
+    """Uses over three parts of the log, of which the third brings the first days' rows once more, late; the query is stopped after the second part."""
+    log = src.access_log_from_events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    start = log.agg(F.min("ts").alias("t")).first()["t"]
+    after = lambda days: F.lit(start) + F.make_dt_interval(F.lit(days))
+    late = log.filter(F.col("ts") < after(3))
+    parts = [log.filter(F.col("ts") < after(8)), log.filter((F.col("ts") >= after(8)) & (F.col("ts") < after(16))), log.filter(F.col("ts") >= after(16)).unionByName(late)]
+    return fed(spark, parts, streams.usage_stream, ["id"], {1}, "complete").withColumn("last_use", F.col("last_use").cast("timestamp_ntz"))
+
+
+#: Turns of a part have one time, ten days after the part before. A key's state goes when the watermark is past its time and the delay.
+_PARTED = "e AS (SELECT user_id || '-' || event_type AS turn_key, least((day(ts) - 1) // 8, 3) AS part FROM events WHERE event_id % 3 = 0 OR event_type IN ('error', 'purchase'))"
+
+
+@query(f"""WITH RECURSIVE {_PARTED}, k AS (SELECT DISTINCT turn_key, part FROM e), n AS (SELECT *, row_number() OVER (PARTITION BY turn_key ORDER BY part) AS nth FROM k),
+w AS (SELECT turn_key, part, nth, true AS emitted, part AS held FROM n WHERE nth = 1 UNION ALL SELECT n.turn_key, n.part, n.nth, n.part - w.held >= 2, CASE WHEN n.part - w.held >= 2 THEN n.part ELSE w.held END FROM w JOIN n ON n.turn_key = w.turn_key AND n.nth = w.nth + 1)
+SELECT turn_key, (part)::INTEGER AS part FROM w WHERE emitted""")
+def evicted_keys_from_batches(spark, sf_dir):
+    """Each key once within a watermark that evicts: four parts, each ten days later than the one before, repeated rows within each and late rows of the first part in the last."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").filter((F.col("event_id") % 3 == 0) | F.col("event_type").isin("error", "purchase"))
+    part = F.least(F.floor((F.dayofmonth("ts") - 1) / 8), F.lit(3)).cast("int")
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    keyed = durable(rows.select(F.concat_ws("-", "user_id", "event_type").alias("turn_key"), part.alias("part")).withColumn("ts", start + F.make_dt_interval(F.col("part") * 10)))
+    parts = [keyed.filter(F.col("part") == i) for i in range(4)]
+    parts[3] = parts[3].unionByName(parts[0])
+    got = fed(spark, parts, lambda x: streams.once_per_turn(x, delay="1 day"), ["turn_key"], {0, 1, 2})
+    return got.select("turn_key", "part")
+
+
 def dialogue_stream(spark, sf_dir) -> DataFrame:
     return dialogue(spark, sf_dir, streamed(spark, sf_dir, "conversations"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import json
+import hashlib
+import time
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -10,86 +11,95 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StringType, StructField, StructType
 
-from ..functions.policy import GatePolicy, MergePolicy
+from ..functions.policy import GatePolicy, MergePolicy, SummaryPolicy
 from ..operators.extract import quality_gate
-from ..operators.summary import rolling_summary
+from ..operators.summary import rolling_summary, summary_metadata, summary_text
 
 SCOPE = ["chat_id", "character_id"]
 DECISIONS = "chat_id string, character_id string, id string, decision string, branch string, matched_id string, content string, importance double, entities array<string>, keywords array<string>"
 
 
+#: State: a memory by its id, ids by normalised content in the order they came, and ids by their last change, newest first.
+MEMORY_STATE = "id string, type string, content string, norm string, importance double, entities array<string>, keywords array<string>, protected boolean"
+FIELDS = [x.split(" ")[0] for x in MEMORY_STATE.split(", ")]
+
+
 class SequentialStore(StatefulProcessor):
     """Stores a scope's candidates one after another: each sees what earlier ones changed.
 
-    State: each memory by id, ids by normalised content, and the policy's newest ids, newest first. A call reads the newest memories, as soft
-    matches look at these only, and what its candidates hit exactly; so its work grows with its candidates, not with the scope.
+    A call reads the newest memories, as soft matches look at these only, and what its candidates hit exactly; so its work grows with its candidates, not
+    with the scope. Rows are handled in the chunks in which they come, by seq within a chunk, and each chunk's changes are written before the next.
     Memories that are pinned, archived or not automatic are protected: an exact hit skips the candidate, soft matches pass them by.
+    ttl_ms: memories that nothing has changed for so long are forgotten; who hits a forgotten one finds nothing.
     """
 
-    def __init__(self, policy: MergePolicy):
-        self.policy = policy
+    def __init__(self, policy: MergePolicy, ttl_ms: int | None = None):
+        self.policy, self.ttl_ms = policy, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        key, text = StructType([StructField("k", StringType())]), StructType([StructField("v", StringType())])
-        self.memories = handle.getMapState("memories", key, text)
-        self.by_norm = handle.getMapState("by_norm", key, text)
-        self.newest = handle.getValueState("newest", text)
+        self.memories = handle.getMapState("memories", "key string", MEMORY_STATE, self.ttl_ms)
+        self.by_norm = handle.getMapState("by_norm", "norm string", "ids array<string>", self.ttl_ms)
+        self.newest = handle.getListState("newest", "seq long, id string")
 
-    def _order(self) -> list[list]:
-        return json.loads(self.newest.get()[0]) if self.newest.exists() else []
-
-    def _cut(self, order: list[list]) -> list[list]:
+    def _cut(self, order: list[tuple]) -> list[tuple]:
         return order if self.policy.newest is None else order[: self.policy.newest]
 
+    def _ids(self, norm: str) -> list[str]:
+        return list(self.by_norm.getValue((norm,))[0]) if self.by_norm.containsKey((norm,)) else []
+
+    def _put(self, m: dict) -> None:
+        self.memories.updateValue((m["id"],), tuple(m[f] for f in FIELDS))
+
     def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timer_values) -> None:
         """The memories that a scope has when the stream begins. Times before it count as older than every candidate."""
         rows, ids = initialState.sort_values(["updated_at", "id"], ascending=False), {}
         for r in rows.sort_values(["created_at", "id"]).itertuples():
             ids.setdefault(r.normalized_content, []).append(r.id)
         for r in rows.itertuples():
-            self.memories.updateValue((r.id,), (json.dumps(_memory(r, bool(r.protected))),))
+            self._put(_memory(r))
         for norm, some in ids.items():
-            self.by_norm.updateValue((norm,), (json.dumps(some),))
-        self.newest.update((json.dumps(self._cut([[-1, x] for x in rows["id"]])),))
+            self.by_norm.updateValue((norm,), (some,))
+        self.newest.put(self._cut([(-1, x) for x in rows["id"]]))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        p, out, changed, cache = self.policy, [], {}, {}
-        order = self._order()
+        order, cache = [(s, i) for s, i in self.newest.get()], {}
 
-        def memory(i: str) -> dict:
+        def memory(i: str) -> dict | None:
             if i not in cache:
-                cache[i] = json.loads(self.memories.getValue((i,))[0])
+                cache[i] = _listed_state(self.memories.getValue((i,))) if self.memories.containsKey((i,)) else None
             return cache[i]
 
-        for c in pd.concat(list(rows)).sort_values(["seq", "id"]).itertuples():
-            new, norm = _memory(c, bool(c.protected)), c.normalized_content
-            same = json.loads(self.by_norm.getValue((norm,))[0]) if self.by_norm.containsKey((norm,)) else []
-            branch, hit = ("exact", same[0]) if same else ("new", None)
-            if hit is None:
-                hit = next((i for _, i in order if self._soft(new, memory(i))), None)
-                branch = "soft" if hit is not None else "new"
-            if branch == "exact" and memory(hit)["protected"]:
-                out.append(self._row(key, c.id, "skipped_exact_protected", branch, memory(hit)))
-                continue
-            if hit is None:
-                cache[c.id] = new
-                self.by_norm.updateValue((norm,), (json.dumps([c.id]),))
-            else:
-                self._merge(memory(hit), new, p.exact_boost if branch == "exact" else p.soft_boost)
-            at = hit or c.id
-            changed[at] = True
-            order = self._cut([[int(c.seq), at], *[x for x in order if x[1] != at]])
-            out.append(self._row(key, c.id, "stored" if hit is None else "updated", branch, cache[at], hit is None))
-        for i in changed:
-            self.memories.updateValue((i,), (json.dumps(cache[i]),))
-        self.newest.update((json.dumps(order),))
-        yield pd.DataFrame(out, columns=[x.split(" ")[0] for x in DECISIONS.split(", ")])
+        for chunk in rows:
+            out, changed = [], set()
+            for c in chunk.sort_values(["seq", "id"]).itertuples():
+                new = _memory(c)
+                branch, hit = "exact", next((m for m in map(memory, self._ids(new["norm"])) if m), None)
+                if hit is None:
+                    hit = next((m for m in (memory(i) for _, i in order) if m and self._soft(new, m)), None)
+                    branch = "soft" if hit else "new"
+                if branch == "exact" and hit["protected"]:
+                    out.append(self._row(key, c.id, "skipped_exact_protected", branch, hit))
+                    continue
+                if hit is None:
+                    cache[c.id] = new
+                    self.by_norm.updateValue((new["norm"],), ([c.id],))
+                else:
+                    self._merge(hit, new, self.policy.exact_boost if branch == "exact" else self.policy.soft_boost)
+                m = hit or new
+                changed.add(m["id"])
+                order = self._cut([(int(c.seq), m["id"]), *[x for x in order if x[1] != m["id"]]])
+                out.append(self._row(key, c.id, "updated" if hit else "stored", branch, m, hit is None))
+            for i in changed:
+                self._put(cache[i])
+            kept = {i for _, i in order}
+            cache = {i: m for i, m in cache.items() if i in kept}
+            yield pd.DataFrame(out, columns=[x.split(" ")[0] for x in DECISIONS.split(", ")])
+        self.newest.put(order)
 
     @staticmethod
     def _row(key: tuple, candidate: str, decision: str, branch: str, m: dict, is_new: bool = False) -> tuple:
-        return (*key, candidate, decision, branch, None if is_new else m["id"], m["content"], m["importance"], m["entities"], m["keywords"])
+        return (*key, candidate, decision, branch, None if is_new else m["id"], m["content"], m["importance"], list(m["entities"]), list(m["keywords"]))
 
     def _soft(self, new: dict, old: dict) -> bool:
         lower = lambda xs: {x.lower() for x in xs}
@@ -105,21 +115,26 @@ class SequentialStore(StatefulProcessor):
         if len(new["content"]) > len(old["content"]) + self.policy.longer_by:
             old["content"] = new["content"]
             if new["norm"] != old["norm"]:
-                left = [i for i in json.loads(self.by_norm.getValue((old["norm"],))[0]) if i != old["id"]]
-                self.by_norm.updateValue((old["norm"],), (json.dumps(left),)) if left else self.by_norm.removeKey((old["norm"],))
-                self.by_norm.updateValue((new["norm"],), (json.dumps([old["id"]]),))
+                left = [i for i in self._ids(old["norm"]) if i != old["id"]]
+                self.by_norm.updateValue((old["norm"],), (left,)) if left else self.by_norm.removeKey((old["norm"],))
+                self.by_norm.updateValue((new["norm"],), ([old["id"]],))
                 old["norm"] = new["norm"]
 
     def close(self) -> None:
         pass
 
 
-def _memory(r, protected: bool) -> dict:
+def _memory(r) -> dict:
     return {
-        "id": r.id, "type": r.type, "content": r.content, "norm": r.normalized_content, "importance": float(r.importance), "entities": list(r.entities), "keywords": list(r.keywords), "protected": protected,
+        "id": r.id, "type": r.type, "content": r.content, "norm": r.normalized_content, "importance": float(r.importance), "entities": list(r.entities), "keywords": list(r.keywords), "protected": bool(r.protected),
     }
 
 
+def _listed_state(value: tuple) -> dict:
+    m = dict(zip(FIELDS, value, strict=True))
+    return m | {f: list(m[f]) for f in ("entities", "keywords")}
+
+
 #: The state store that keyed state needs.
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -153,15 +168,15 @@ def _listed(rows: DataFrame) -> DataFrame:
 STORED = ["id", "type", "content", "normalized_content", "importance", "entities", "keywords", "protected"]
 
 
-def store_stream(candidates: DataFrame, gate: GatePolicy | None = None, merge: MergePolicy | None = None, memories: DataFrame | None = None) -> DataFrame:
+def store_stream(candidates: DataFrame, gate: GatePolicy | None = None, merge: MergePolicy | None = None, memories: DataFrame | None = None, ttl_ms: int | None = None) -> DataFrame:
     """Decisions on a stream (or table) of candidates (id, scope, type, content, normalized_content, source, importance, metadata, seq) that pass the gate, in the order of seq within a batch.
 
-    memories: a table of memories that the store holds when the stream begins; without it scopes begin empty.
+    memories: a table of memories that the store holds when the stream begins; without it scopes begin empty. ttl_ms: see SequentialStore.
     """
     rows = _listed(quality_gate(candidates, gate).filter("gate_ok")).select(*SCOPE, *STORED, "seq")
     held = None if memories is None else _listed(memories).select(*SCOPE, *STORED, "created_at", "updated_at").groupBy(*SCOPE)
     return _stateful(rows).groupBy(*SCOPE).transformWithStateInPandas(
-        statefulProcessor=SequentialStore(merge or MergePolicy()), outputStructType=DECISIONS, outputMode="append", timeMode="none", initialState=held
+        statefulProcessor=SequentialStore(merge or MergePolicy(), ttl_ms), outputStructType=DECISIONS, outputMode="append", timeMode="processingTime" if ttl_ms else "none", initialState=held
     )
 
 
@@ -181,21 +196,23 @@ def decision_counts(decisions: DataFrame, ts: str = "ts", width: str = "10 minut
 
 
 class RecentContext(StatefulProcessor):
-    """Emits each message with the last n texts of its chat, itself included."""
+    """Emits each message with the last n texts of its chat, itself included; messages are handled in the chunks in which they come."""
 
     def __init__(self, n: int):
         self.n = n
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.texts = handle.getListState("texts", StructType([StructField("text", StringType())]))
+        self.texts = handle.getListState("texts", "text string")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        recent, out = [x[0] for x in self.texts.get()], []
-        for r in pd.concat(list(rows)).sort_values("msg_idx").itertuples():
-            recent = [*recent, r.text][-self.n :]
-            out.append((key[0], r.msg_idx, list(recent)))
+        recent = [x[0] for x in self.texts.get()]
+        for chunk in rows:
+            out = []
+            for r in chunk.sort_values("msg_idx").itertuples():
+                recent = [*recent, r.text][-self.n :]
+                out.append((key[0], r.msg_idx, list(recent)))
+            yield pd.DataFrame(out, columns=["chat_id", "msg_idx", "recent"])
         self.texts.put([(x,) for x in recent])
-        yield pd.DataFrame(out, columns=["chat_id", "msg_idx", "recent"])
 
     def close(self) -> None:
         pass
@@ -207,6 +224,79 @@ def recent_context_stream(messages: DataFrame, n: int = 8) -> DataFrame:
     return _stateful(rows).groupBy("chat_id").transformWithStateInPandas(statefulProcessor=RecentContext(n), outputStructType="chat_id string, msg_idx int, recent array<string>", outputMode="append", timeMode="none")
 
 
+class IncrementalSummary(StatefulProcessor):
+    """Decides, for each batch that touches a scope, whether its rolling summary is made anew.
+
+    State: the newest episodic memories, as many as a summary covers, and the summary with the ids that it covers. So a batch costs what it brings, and no
+    memory table is read again. A summary that the stream has seen or written counts however many memories follow it.
+    """
+
+    def __init__(self, p: SummaryPolicy, as_of: int | None):
+        self.p, self.as_of = p, as_of
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.window = handle.getListState("window", "updated_at long, id string, content string, entities array<string>, keywords array<string>, is_summary boolean")
+        self.summary = handle.getValueState("summary", "updated_at long, id string, known array<string>")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        p, window, held = self.p, [tuple(x) for x in self.window.get()], self.summary.get() if self.summary.exists() else None
+        for chunk in rows:
+            for r in chunk.itertuples():
+                if r.rolling and (held is None or (r.updated_at, r.id) > tuple(held[:2])):
+                    held = (r.updated_at, r.id, list(r.known))
+                if r.episodic:
+                    window.append((r.updated_at, r.id, r.content, list(r.entities), list(r.keywords), bool(r.is_summary)))
+            window = sorted(window, key=lambda x: x[:2], reverse=True)[: max(p.window, 1)]
+        items = [x for x in window if not x[5]]
+        ids = [x[1] for x in reversed(items)]
+        new = len([i for i in ids if held is None or i not in held[2]])
+        if len(ids) < p.min_inputs:
+            action = "skipped_not_enough_inputs"
+        elif held is not None and new < p.min_new:
+            action = "skipped_not_enough_new_inputs"
+        else:
+            action = "created" if held is None else "updated"
+            made = held[1] if held else hashlib.sha256("#".join((*key, p.kind)).encode()).hexdigest()
+            now = self.as_of if self.as_of is not None else time.time_ns() // 1000
+            held, window = (now, made, ids), [(now, *x[1:]) if x[1] == made else x for x in window]
+        self.window.put(window)
+        if held is not None:
+            self.summary.update((held[0], held[1], list(held[2])))
+        shown = items if action in ("created", "updated") else []
+        row = (*key, action, held[1] if held else None, ids, len(ids), new, [x[2] for x in shown], [list(x[3]) for x in shown], [list(x[4]) for x in shown])
+        yield pd.DataFrame([row], columns=[x.split(" ")[0] for x in SUMMARISED.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+SUMMARISED = "chat_id string, character_id string, action string, summary_memory_id string, source_ids array<string>, summarized_count int, new_input_count int, contents array<string>, entities array<array<string>>, keywords array<array<string>>"
+
+
+def summary_stream(memories: DataFrame, p: SummaryPolicy | None = None, as_of: int | None = None, skips: bool = False) -> DataFrame:
+    """Summaries of a stream (or table) of memories, from state per scope: a row for each batch in which a scope's summary is created or updated; with skips also for others.
+
+    Columns as of rolling_summary(), text and metadata null where nothing is written. as_of: microseconds that count as the time of writing (None: now). Archived memories are passed by.
+    """
+    p = p or SummaryPolicy()
+    meta = F.col("metadata")
+    rolling = (F.col("type") == "summary") | (F.coalesce(meta["is_summary"], F.lit(False)) & F.coalesce(meta["summary_kind"] == p.kind, F.lit(False)))
+    empty = F.array().cast("array<string>")
+    rows = memories.filter("not archived").select(
+        *SCOPE, "id", "content", F.unix_micros("updated_at").alias("updated_at"), rolling.alias("rolling"), (F.col("layer") == "episodic").alias("episodic"), F.coalesce(meta["is_summary"], F.lit(False)).alias("is_summary"),
+        F.coalesce(meta["entities"], empty).alias("entities"), F.coalesce(meta["keywords"], empty).alias("keywords"), F.coalesce(meta["summary_source_memory_ids"], empty).alias("known"),
+    ).filter("rolling or episodic")
+    got = _stateful(rows).groupBy(*SCOPE).transformWithStateInPandas(statefulProcessor=IncrementalSummary(p, as_of), outputStructType=SUMMARISED, outputMode="append", timeMode="none")
+    when = F.current_timestamp() if as_of is None else F.timestamp_micros(F.lit(as_of))
+    writes = F.col("action").isin("created", "updated")
+    items = F.transform(F.sequence(F.lit(0), F.size("contents") - 1), lambda i: F.struct(F.get("contents", i).alias("content"), F.get("entities", i).alias("entities"), F.get("keywords", i).alias("keywords")))
+    text = F.when(writes, summary_text(items, p))
+    done = got.withColumn("summary_text", text).withColumn("newest_first", F.when(writes, items))
+    done = done.withColumn("metadata", F.when(writes, summary_metadata(F.col("summary_text"), F.col("newest_first"), F.col("source_ids"), F.col("summarized_count"), when, p)))
+    done = done if skips else done.filter(writes)
+    return done.select(*SCOPE, "action", "summary_memory_id", "summary_text", "source_ids", "summarized_count", "new_input_count", F.lit(p.min_new).alias("refresh_threshold"), "metadata")
+
+
 def summary_batches(read: Callable[[], DataFrame], write: Callable[..., None], as_of: Callable[[], Column], by_batch: bool = False) -> Callable[[DataFrame, int], None]:
     """For foreachBatch on a stream of new episodic memories: summarises the scopes that the batch touched.
 

@@ -59,6 +59,11 @@ VARIED = {
     "said_consolidation": ["type", "related_id"],
     "card_ages": ["freshness", "activity", "touch_state", "recency"],
     "said_summaries": ["action", "summary_text", "keywords"],
+    "resumed_summaries": ["action", "summary_text", "new_input_count", "summarized_count"],
+    "summaries_from_state": ["action", "summary_text", "new_input_count", "summarized_count"],
+    "decisions_from_stream": ["decision", "branch", "matched_id", "importance"],
+    "said_soft_matches": ["existing_id", "n_entities", "n_keywords"],
+    "said_passing": ["rank", "score"],
     "anchors_beside_blocks": ["n_anchors", "truncated"],
     "lore_allowed": ["lore_tags", "allowed"],
     "audit_notes": ["block_length", "notes"],
@@ -82,6 +87,26 @@ def test_branches_occur(name, larger):
     assert {d[0]: n for d, n in zip(found.description, found.fetchone(), strict=True) if n < 2} == {}
 
 
+def values(con, name, column):
+    return {r[0] for r in con.execute(f"SELECT DISTINCT {column} FROM ({OWN[name]})").fetchall()}
+
+
+@pytest.mark.parametrize("name", ["resumed_summaries", "summaries_from_state"])
+def test_all_actions_of_summaries_occur(name, larger):
+    # Whoever has inputs enough later on only, has a summary of its own by then, so the resumed ones are never created.
+    created = {"created"} if name == "summaries_from_state" else set()
+    assert values(larger, name, "action") == created | {"updated", "skipped_not_enough_inputs", "skipped_not_enough_new_inputs"}
+    assert larger.execute(f"SELECT count(*) FROM ({OWN[name]}) WHERE new_input_count BETWEEN 1 AND summarized_count - 1").fetchone()[0] > 0
+
+
+def test_all_decisions_of_the_streaming_store_occur(larger):
+    assert values(larger, "decisions_from_stream", "decision || ' ' || branch") == {"stored new", "updated exact", "updated soft", "skipped_exact_protected exact"}
+
+
+def test_keys_come_again_after_eviction(larger):
+    assert larger.execute(f"SELECT max(n) FROM (SELECT count(*) AS n FROM ({OWN['evicted_keys_from_batches']}) GROUP BY turn_key)").fetchone()[0] > 1
+
+
 def test_names():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
