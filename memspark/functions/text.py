@@ -60,14 +60,19 @@ def contains_any(col: Column, markers: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [col.contains(m) for m in markers]) if markers else F.lit(False)
 
 
-def _lemma(word: Column, lemmas: dict[str, str] | None) -> Column:
+def _lemma(word: Column, lemmas: dict[str, str] | Column | None) -> Column:
+    """lemmas: a few forms, or a map column with those of the row (see operators/lemmas.py), which a table of any size gives."""
+    if lemmas is None:
+        return word
+    if isinstance(lemmas, Column):
+        return F.coalesce(lemmas[word], word)
     if not lemmas:
         return word
     table = F.create_map(*[F.lit(x) for pair in lemmas.items() for x in pair])
     return F.coalesce(table[word], word)
 
 
-def keywords(col: Column, limit: int = 8, lemmas: dict[str, str] | None = None) -> Column:
+def keywords(col: Column, limit: int = 8, lemmas: dict[str, str] | Column | None = None) -> Column:
     """First distinct words of three letters or more that are no stop words, in order of occurrence."""
     found = words(F.regexp_replace(F.lower(col), PUNCTUATION, " "))
     found = F.filter(found, lambda w: (F.char_length(w) >= 3) & ~w.isin(policy.STOPWORDS))
@@ -75,11 +80,11 @@ def keywords(col: Column, limit: int = 8, lemmas: dict[str, str] | None = None)
     return F.slice(F.array_distinct(found), 1, limit)
 
 
-def entities(col: Column, limit: int = 10, lemmas: dict[str, str] | None = None) -> Column:
+def entities(col: Column, limit: int = 10, lemmas: dict[str, str] | Column | None = None) -> Column:
     """First distinct capitalised words that don't start a sentence and are no pronouns; equal up to case counts once."""
     marked = F.regexp_replace(col, r"([.!?]\s)([A-ZА-Я])", "$1_$2")
     found = F.filter(F.split(marked, r"[^\p{L}\p{N}_]+"), lambda w: w.rlike("^[A-ZА-Я][a-zа-яё]+$") & ~F.lower(w).isin(policy.PRONOUNS))
-    if lemmas:
+    if lemmas is not None:
         found = F.transform(found, lambda w: F.when(F.lower(w).rlike("[а-яё]"), F.initcap(_lemma(F.lower(w), lemmas))).otherwise(w))
     lower = F.transform(found, F.lower)
     kept = F.filter(F.arrays_zip(found.alias("w"), lower.alias("l")), lambda x: F.char_length(x["w"]) > 1)

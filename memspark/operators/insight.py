@@ -29,13 +29,17 @@ def by_ids(memories: DataFrame, ids: DataFrame) -> DataFrame:
     return memories.join(ids.select("id").distinct(), "id", "left_semi")
 
 
+def haystack() -> Column:
+    """What a search looks through, as it is written."""
+    return F.concat_ws(" ", "id", "content", "normalized_content", "type", "source", "layer", F.array_join("metadata.entities", " "), F.array_join("metadata.keywords", " "))
+
+
 def search(memories: DataFrame, query: str) -> DataFrame:
     """Memories that hold the query, up to case and blanks, in their texts or signals."""
     needle = " ".join(query.lower().split())
     if not needle:
         return memories
-    hay = F.concat_ws(" ", "id", "content", "normalized_content", "type", "source", "layer", F.array_join("metadata.entities", " "), F.array_join("metadata.keywords", " "))
-    return memories.filter(F.lower(hay).contains(needle))
+    return memories.filter(F.lower(haystack()).contains(needle))
 
 
 def chat_groups(memories: DataFrame, as_of: Column) -> DataFrame:

@@ -12,14 +12,14 @@ from ..functions import memory as m
 from ..functions import policy
 from ..functions import text as t
 from ..functions.policy import ExtractPolicy, MergePolicy
-from ..operators import blocks, changes, duplicates, evaluate, extract, insight, retrieve, store, summary
+from ..operators import blocks, changes, duplicates, evaluate, extract, insight, lemmas, retrieve, search, store, summary
 from ..sources import memories as src
 from ..sources.durable import checkpoint_dir, durable
 from ..streaming import store as streams
 from . import folds as f
 from . import oracles as o
 from .catalog import ORACLES as CATALOG_SQL
-from .catalog import as_of, joined, requests_from_conversations
+from .catalog import as_of, change_feed, joined, requests_from_conversations
 from .dialogue import SQL as SAID
 from .dialogue import dialogue
 
@@ -114,6 +114,35 @@ def lemma_features(spark, sf_dir):
     return said_messages(spark, sf_dir).select("request_id", "msg_idx", joined(t.keywords(x, lemmas=LEMMAS)).alias("keywords"), joined(t.entities(x, lemmas=LEMMAS)).alias("entities"))
 
 
+@query(ORACLES["lemma_features"])
+def lemma_table_features(spark, sf_dir):
+    """lemma_features with the lemmas as a table, here a small one; the tests use one of 300,000 forms."""
+    table = spark.createDataFrame(list(LEMMAS.items()), "word string, lemma string")
+    rows, x = lemmas.with_forms(said_messages(spark, sf_dir), ["text"], table), F.col("text")
+    return rows.select("request_id", "msg_idx", joined(t.keywords(x, lemmas=F.col("forms"))).alias("keywords"), joined(t.entities(x, lemmas=F.col("forms"))).alias("entities"))
+
+
+_CASES = {
+    0: ("''", 0, 0), 1: ("'!?! ... ' || repeat('-', 9)", 2, 1), 2: ("'  OK '", 2, 1), 3: ("'ab cd ef'", 2, 1), 4: ("'considerable ' || id", 2, 1), 5: ("'some words that stand for ' || id", 2, 0), 6: ("'some words that stand for ' || id", 1, 1),
+    7: ("'some words that stand for ' || id", 1, 0), 8: ("'considerable words here'", 1, 0), 9: ("''", 0, 0),
+}
+_case = lambda i: "CASE (conv_id * 7 + turn) % 10 " + " ".join(f"WHEN {k} THEN {v[i]}" for k, v in _CASES.items()) + " END"
+
+
+@query(rf"""WITH m AS (SELECT conv_id, turn, conv_id || '-' || turn AS id, (conv_id * 7 + turn) % 10 = 9 AS manual FROM conversations), c AS (SELECT id, manual, {_case(0)} AS content, {_case(1)} AS n_keywords, {_case(2)} AS n_entities FROM m),
+s AS (SELECT *, regexp_replace(content, '^\s+|\s+$', '', 'g') AS z FROM c), n AS (SELECT *, {o.similarity('z')} AS sim FROM s)
+SELECT id, CASE WHEN manual THEN 'non_auto_bypass' WHEN z = '' THEN 'empty_content' WHEN sim = '' THEN 'empty_after_normalization' WHEN list_contains({o.listed(policy.LOW_VALUE)}, sim) THEN 'low_value_pattern' WHEN length(z) < 12 THEN 'content_too_short'
+  WHEN len({o.words('sim')}) < 3 THEN 'too_few_words' WHEN n_keywords >= 2 THEN 'has_keywords' WHEN n_entities >= 1 THEN 'has_entities' WHEN len({o.words('sim')}) >= 5 THEN 'rich_content' ELSE 'insufficient_retrieval_signal' END AS gate_reason FROM n""")
+def gate_reasons(spark, sf_dir):
+    """The gate over contents and signals made from each turn's ids, so that all of its reasons occur."""
+    part = F.split("id", "-")
+    ids = src.memories_from_conversations(spark, sf_dir).select("id", *[part[i].cast("long").alias(c) for i, c in ((0, "conv_id"), (1, "turn"))])
+    some = lambda i, word: F.slice(F.array(F.lit(f"{word}1"), F.lit(f"{word}2")), 1, F.expr(_case(i)))
+    source = F.when((F.col("conv_id") * 7 + F.col("turn")) % 10 == 9, F.lit("manual")).otherwise(F.lit("auto"))
+    rows = ids.select("id", source.alias("source"), F.expr(_case(0)).alias("content"), src.metadata(keywords=some(1, "word"), entities=some(2, "Name")).alias("metadata"))
+    return extract.quality_gate(rows).select("id", "gate_reason")
+
+
 # Retrieval
 
 
@@ -443,6 +472,38 @@ def memory_table(spark, sf_dir):
     return shown(src.read_memories(spark, path))
 
 
+def stored(spark, sf_dir) -> str:
+    """The path of a table of all memories, by bucket."""
+    path = f"{checkpoint_dir(spark)}/memories-{uuid.uuid4().hex}"
+    src.append_memories(src.memories_from_conversations(spark, sf_dir), path)
+    return path
+
+
+@query(CATALOG_SQL["apply_changes"])
+def changed_table(spark, sf_dir):
+    """apply_changes on a stored table, whose touched buckets are rewritten."""
+    path = stored(spark, sf_dir)
+    src.rewrite_memories(spark, path, change_feed(spark, sf_dir), changes.apply_changes)
+    return src.read_memories(spark, path).select("id", "importance", F.sha2("content", 256).alias("content"), F.sha2("normalized_content", 256).alias("normalized"), "pinned", "archived", "updated_at")
+
+
+@query(CATALOG_SQL["search_memories"])
+def search_by_trigrams(spark, sf_dir):
+    """search_memories on a stored table, through trigram postings."""
+    path = stored(spark, sf_dir)
+    table = spark.read.schema(f"{src.MEMORY}, bucket int").parquet(path)
+    search.write_postings(table, f"{path}-postings")
+    return search.search_postings(spark, table, f"{path}-postings", " THE  th ").select("id", "content")
+
+
+@query(f"WITH {o.MEM} SELECT id, updated_at, (SELECT count(*) FROM memories) AS total FROM memories ORDER BY updated_at DESC, id DESC LIMIT 40 OFFSET 60")
+def page_by_directory(spark, sf_dir):
+    """A page of all memories, newest first, read from the ranges that it lies in."""
+    path, order = f"{checkpoint_dir(spark)}/pages-{uuid.uuid4().hex}", [F.desc("updated_at"), F.desc("id")]
+    search.write_pages(src.memories_from_conversations(spark, sf_dir).select("id", "updated_at"), order, path)
+    return search.read_page(spark, path, order, 60, 40)
+
+
 @query(f"WITH {o.MEM} SELECT {_MEMORY} FROM memories")
 def flat_memories(spark, sf_dir):
     """Memories in the flat form, with JSON metadata, and back."""
@@ -572,7 +633,7 @@ _UNION = "list_concat({old}, list_filter({new}, lambda x: NOT list_contains({old
 _LONGER = "length(content) > length(hit.content) + 10"
 
 
-@query(rf"""WITH RECURSIVE {SAID}, {o.MEM}, c AS (SELECT m.*, {o.similarity("regexp_replace(content, '^\s+|\s+$', '', 'g')")} AS sim FROM memories m),
+@query(rf"""WITH RECURSIVE {SAID}, {o.MEM}, c AS (SELECT m.*, {o.similarity("regexp_replace(content, '^\\s+|\\s+$', '', 'g')")} AS sim FROM memories m),
 gated AS (SELECT *, source <> 'auto' OR pinned OR archived AS safe, row_number() OVER (PARTITION BY chat_id, character_id ORDER BY turn) AS step FROM c WHERE source <> 'auto' OR (sim <> '' AND NOT list_contains({o.listed(policy.LOW_VALUE)}, sim) AND length(regexp_replace(content, '^\s+|\s+$', '', 'g')) >= 12
   AND len({o.words('sim')}) >= 3 AND (len(keywords) >= 2 OR len(entities) >= 1 OR len({o.words('sim')}) >= 5))),
 walk AS (SELECT DISTINCT chat_id, character_id, 0::BIGINT AS step, NULL::VARCHAR AS id, NULL::VARCHAR AS decision, NULL::VARCHAR AS branch, NULL::VARCHAR AS matched_id, NULL::DOUBLE AS importance, NULL::VARCHAR AS content, []::{_STATE} AS mems FROM gated

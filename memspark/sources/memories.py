@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .durable import durable
 
 HISTORY = "array<struct<action:string,timestamp:timestamp,related_memory_id:string,note:string>>"
 METADATA_FIELDS = {
@@ -80,12 +83,41 @@ def encode_flat(memories: DataFrame) -> DataFrame:
     return memories.withColumns({**times, "pinned": F.col("pinned").cast("int"), "archived": F.col("archived").cast("int"), "metadata_json": F.to_json("metadata")}).drop("metadata")
 
 
-def append_memories(memories: DataFrame, path: str, buckets: int = 64) -> None:
-    """Appends by a bucket of the scope, so that a chat's rows stay together."""
-    keyed = memories.withColumn("bucket", F.pmod(F.xxhash64("chat_id", "character_id"), F.lit(buckets)).cast("int"))
+BUCKETS = 64
+
+
+def bucket_of(chat_id: str | Column, character_id: str | Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(chat_id, character_id), F.lit(buckets)).cast("int")
+
+
+def append_memories(memories: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Appends by a bucket of the scope, so that a chat's rows stay together. A bucket gets one file, or several if it is large."""
+    keyed = memories.withColumn("bucket", bucket_of("chat_id", "character_id", buckets)).hint("rebalance", "bucket")
     keyed.write.mode("append").partitionBy("bucket").parquet(path)
 
 
+def rewrite_memories(spark: SparkSession, path: str, changes: DataFrame, change: Callable[[DataFrame, DataFrame], DataFrame]) -> list[int]:
+    """Applies change(memories, changes) to a table of append_memories() and returns the numbers of the buckets that were rewritten.
+
+    changes: rows with the id of a memory each. They are routed to buckets by a scan of ids alone; only these buckets are read, changed and replaced, the files of others stay.
+    A bucket that loses all its rows is deleted. Ids that the table doesn't have are ignored.
+    """
+    table = spark.read.schema(f"{MEMORY}, bucket int").parquet(path)
+    held = table.select("id", "bucket").join(changes.select("id").distinct(), "id", "left_semi").select("bucket").distinct()
+    touched = sorted(r["bucket"] for r in held.collect())  # as many as the table has buckets, at most
+    if not touched:
+        return []
+    part = table.filter(F.col("bucket").isin(touched))
+    # A scope doesn't change, so neither does a row's bucket. Written elsewhere first, as the result replaces what it is made of.
+    new = durable(change(part.select(*COLUMNS), changes).join(part.select("id", "bucket"), "id"))
+    new.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    emptied = set(touched) - {r["bucket"] for r in new.select("bucket").distinct().collect()}
+    for bucket in emptied:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={bucket}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return touched
+
+
 def create(requests: DataFrame, as_of: Column) -> DataFrame:
     """New memories from requests (id, scope, type, content, source, layer, importance, pinned, archived, metadata)."""
     return requests.withColumns(
