@@ -37,8 +37,6 @@ RECORD = (
     "messages array<struct<role:string,content:string>>, conversations array<struct<from:string,value:string>>"
 )
 ROLE_NAMES = {"human": "user", "gpt": "assistant"}
-#: Bytes up to which a record is parsed as it is.
-PARSED_WHOLE = 4 << 20
 #: Fixed marks of the template.
 MARKS = {"system": ("<<SYS>>", "<</SYS>>"), "user": ("[INST]", "[/INST]"), "assistant": ("<s>", "</s>")}
 #: A control string without its first character, after "<" and after "[".
@@ -52,13 +50,12 @@ def layout(record: Column) -> Column:
     return F.regexp_replace(bare, r"(\{[^{}]*+\})\s*+,\s*+(?=\1)", "")
 
 
-def field_paths(record: Column, parsed_whole: int = PARSED_WHOLE) -> Column:
+def field_paths(record: Column) -> Column:
     """The record's nested field names in order, e.g. OBJECT<messages: ARRAY<OBJECT<content, role>>>; null if it isn't JSON.
 
-    A VARIANT holds 128 MiB at most, so of longer records than parsed_whole bytes only the layout is parsed.
+    A VARIANT holds 128 MiB at most, so the record's layout is parsed, whose texts are empty.
     """
-    whole = F.octet_length(record) <= parsed_whole
-    shape = F.schema_of_variant(F.try_parse_json(F.when(whole, record).otherwise(layout(record))))
+    shape = F.schema_of_variant(F.try_parse_json(layout(record)))
     return F.regexp_replace(shape, r": (?:[A-Z_]+)(?:\([0-9,]*\))?(?=[,>])", "")
 
 

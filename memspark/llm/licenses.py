@@ -159,7 +159,7 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, t
     may = {t.name: F.size(F.array_intersect(_words(sorted(t.mandatory)), F.col("known"))) == len(t.mandatory) for t in indexed}
     none = F.array().cast("array<string>")
     wanted = F.array_distinct(F.concat(*[F.when(may[t.name], _words(rarest(t, idf))).otherwise(none) for t in indexed]))
-    rows = rows.withColumn("wanted", F.when(F.size("known") > 1, wanted).otherwise(none))
+    rows = rows.withColumn("wanted", F.when(F.size("known") > 0, wanted).otherwise(none))
     at = F.transform("words", lambda w, i: F.when(F.array_contains("wanted", w), F.struct(i.alias("at"), w.alias("word"))))
     rows = rows.withColumn("hits", F.when(F.size("wanted") > 0, F.filter(at, lambda h: h.isNotNull())))
     empty_starts = F.array().cast("array<bigint>")

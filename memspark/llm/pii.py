@@ -9,6 +9,7 @@ from __future__ import annotations
 import datetime as dt
 import re
 import unicodedata
+import warnings
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -331,14 +332,17 @@ def replace(text: str, found: list[tuple[int, int, str, str]]) -> str:
     return "".join([*out, text[at:]])
 
 
-#: Session setting that holds the secret, as text.
-KEY_SETTING = "spark.memspark.pii.key"
+#: Session setting that holds the secret, as text. Spark redacts settings of such names in its pages and logs.
+KEY_SETTING = "spark.memspark.pii.secret"
 
 
 def session_key(spark: SparkSession) -> bytes:
-    """The secret that the session's settings give; without one the demonstration key, under which pseudonyms are no protection."""
+    """The secret that the session's settings give; without one the demonstration key, under which pseudonyms are no protection, and a warning."""
     given = spark.conf.get(KEY_SETTING, None)
-    return given.encode() if given else KEY
+    if not given:
+        warnings.warn(f"{KEY_SETTING} is not set: the demonstration key is used, under which pseudonyms are no protection", stacklevel=2)
+        return KEY
+    return given.encode()
 
 
 def pseudonymise(docs: DataFrame, key: bytes = KEY, text_col: str = "text") -> DataFrame:
