@@ -366,3 +366,14 @@ def test_few_or_no_labels(spark, odd_docs, no_docs):
         assert len(got) == odd_docs.count()
         assert labels is one or not any(r["toxicity"]["toxic"] for r in got)
     assert toxicity.classify(no_docs, clean).count() == 0
+
+
+def test_the_secret_comes_from_the_session_and_its_absence_is_told(spark):
+    assert pii.KEY_SETTING.endswith("secret")
+    with pytest.warns(UserWarning, match="demonstration key"):
+        assert pii.session_key(spark) == pii.KEY
+    spark.conf.set(pii.KEY_SETTING, "s3")
+    try:
+        assert pii.session_key(spark) == b"s3"
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)

@@ -335,3 +335,9 @@ def test_licenses(which, request, spark):
         assert tuple(r[c] for c in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels")) == brute_licenses(text[r["doc_id"]])
         assert 0 <= r["score"] <= 1 and (r["score"] >= 0.999 or not r["labels"])
     assert licenses.license_digest(docs.limit(0)).count() == 0
+
+
+def test_a_template_of_one_word_is_found_alone(spark):
+    docs = spark.createDataFrame([(1, "zzz gplv3 yyy"), (2, "nothing here"), (3, "zzz gplv3 under yyy"), (4, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r["own_labels"] for r in licenses.scan(docs, {"gplv3": ("gplv3",)}).collect()}
+    assert {i for i, labels in got.items() if "gplv3" in labels} == {1, 3}
