@@ -221,6 +221,47 @@ def test_schedule_spreads_sources_and_repeats_whole_blocks_first(spark):
     assert abs(half[0] - half[1] * 48 / 40) < 5
 
 
+def test_mix_of_one_id_on_half_of_the_rows(spark):
+    """Rows of the null id, equal ones and others, many of them blank, meet their targets and agree between runs."""
+    data = [(None, "a b c", "x")] * 3000 + [(None, "d " * (k % 7), "x") for k in range(1000)] + [(None, None, None)] * 1500 + [(k, "e f g h " * (k % 5), f"s{k % 3}") for k in range(4000)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string")
+    got = mixing.mix(docs.repartition(5), block_words=64)
+    assert Counter(map(tuple, got.select("doc_id", "source", "size").collect())) == Counter((i, s, len((t or "").split())) for i, t, s in data)
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, mixing.mix(docs.coalesce(1), block_words=64).collect()))
+    size, taken = Counter(), Counter()
+    for r in got.collect():
+        assert 0 <= r["taken"] <= 3 * r["size"]
+        size[r["source"]] += r["size"]
+        taken[r["source"]] += r["taken"]
+    target = brute_targets(size)
+    assert all(abs(taken[s] - target[s]) <= 1 for s in size)
+
+
+def test_targets_and_schedule_of_many_sources(spark):
+    """Nothing about the sources is gathered in one task: ranks in name order, targets and gapless blocks still hold."""
+    n = 20_000
+    docs = spark.range(n).select(F.concat(F.lit("host"), F.lpad(F.pmod(F.col("id") * 7919, F.lit(n)).cast("string"), 6, "0")).alias("source"), (F.pmod("id", F.lit(13)) * 10 + 1).alias("size"))
+    targets = mixing.source_targets(docs)
+    got = {r["source"]: r for r in targets.collect()}
+    assert [s for s, _ in sorted(got.items(), key=lambda x: x[1]["sid"])] == sorted(got) and {r["sid"] for r in got.values()} == set(range(n))
+    expected = brute_targets({r["source"]: r["size"] for r in docs.collect()})
+    assert all(r["target"] == pytest.approx(expected[s]) for s, r in got.items())
+    slots = mixing.schedule(targets, 64).groupBy("sid").agg(F.sum("words").alias("words"), F.count("*").alias("n"), F.max("rank").alias("last"), F.count_distinct("rank").alias("ranks"))
+    slots = {r["sid"]: r for r in slots.collect()}
+    assert all(slots[r["sid"]]["words"] == round(r["target"]) for r in got.values() if round(r["target"]))
+    assert all(r["n"] == r["ranks"] == r["last"] + 1 for r in slots.values())
+
+
+def test_running_sums_of_a_frequent_key(spark):
+    df = spark.range(5000).select(F.when(F.col("id") % 3 > 0, F.lit(0)).otherwise(F.col("id")).alias("k"), F.col("id").alias("at"), F.pmod(F.xxhash64("id"), F.lit(100)).alias("v"))
+    got = {(r["k"], r["at"]): r["before"] for r in mixing.running(df, ["at"], keys=("k",), before=F.col("v")).collect()}
+    sums, expected = Counter(), {}
+    for r in sorted(rows(df), key=lambda r: r["at"]):
+        expected[r["k"], r["at"]] = sums[r["k"]]
+        sums[r["k"]] += r["v"]
+    assert got == expected
+
+
 def test_mix_of_no_documents(no_docs):
     assert mixing.mix(no_docs).count() == 0
 
