@@ -662,11 +662,12 @@ _MADE = "sha256(chat_id || '#' || character_id || '#rolling_v1')"
 
 @query(f"""WITH {SAID}, {o.MEM}, a AS (SELECT * FROM memories WHERE turn < 5), w1 AS ({_WINDOW.format(rows="a")}), o1 AS ({_OLD.format(rows="a")}),
 i1 AS (SELECT chat_id, character_id, list(id ORDER BY nth DESC) AS known FROM w1 GROUP BY ALL HAVING count(*) >= 3), wrote AS (SELECT chat_id, character_id, known, coalesce(summary_id, {_MADE}) AS wrote_id FROM i1 LEFT JOIN o1 USING (chat_id, character_id)),
-b AS (SELECT m.* REPLACE (CASE WHEN wrote_id = m.id THEN TIMESTAMP '{src.AS_OF}' ELSE m.updated_at END AS updated_at) FROM memories m LEFT JOIN wrote USING (chat_id, character_id)), win AS ({_WINDOW.format(rows="b")}), o2 AS ({_OLD.format(rows="b")}),
+b AS (SELECT m.* REPLACE (CASE WHEN wrote_id = m.id THEN TIMESTAMP '{src.AS_OF}' ELSE m.updated_at END AS updated_at) FROM memories m LEFT JOIN wrote USING (chat_id, character_id)),
+made AS (SELECT chat_id, character_id, id, type, is_summary, archived, updated_at FROM b UNION ALL SELECT chat_id, character_id, wrote_id, 'summary', true, false, TIMESTAMP '{src.AS_OF}' FROM wrote ANTI JOIN o1 USING (chat_id, character_id)), win AS ({_WINDOW.format(rows="b")}), o2 AS ({_OLD.format(rows="made")}),
 inputs AS (SELECT chat_id, character_id, list(id ORDER BY nth DESC) AS ids, list(content ORDER BY nth) AS contents, list(keywords ORDER BY nth DESC) AS kws FROM win GROUP BY ALL),
-rolled AS (SELECT chat_id, character_id, coalesce(ids, []::VARCHAR[]) AS ids, contents, kws, coalesce(wrote_id, summary_id) AS summary_id, NULL::VARCHAR AS summary_text, coalesce(known, []::VARCHAR[]) AS known FROM inputs FULL JOIN o2 USING (chat_id, character_id) LEFT JOIN wrote USING (chat_id, character_id)), {_AGAIN}""")
+rolled AS (SELECT chat_id, character_id, coalesce(ids, []::VARCHAR[]) AS ids, contents, kws, summary_id, NULL::VARCHAR AS summary_text, CASE WHEN summary_id = wrote_id THEN known ELSE []::VARCHAR[] END AS known FROM inputs FULL JOIN o2 USING (chat_id, character_id) LEFT JOIN wrote USING (chat_id, character_id)), {_AGAIN}""")
 def resumed_summaries(spark, sf_dir):
-    """Summaries after the fifth turn are written to the store; later turns then meet summaries that know their sources. The text is shown where it is written."""
+    """Summaries after the fifth turn are written to the store; later turns then meet a scope's newest summary, which knows its sources if it is a written one. The text is shown where it is written."""
     rows = durable(said_memories(spark, sf_dir))
     parts = in_turns(rows.withColumn("turn", F.split("id", "-")[1].cast("int")), 5)
     first, later = (x.select(*src.COLUMNS) for x in parts)
