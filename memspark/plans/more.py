@@ -603,20 +603,17 @@ def summaries_from_stream(spark, sf_dir):
 # Streams of several batches: a table comes in parts, one after another; part of it comes again; the query is stopped and goes on from its checkpoint.
 
 
-def fed(spark: SparkSession, parts: list[DataFrame], make: Callable[[DataFrame], DataFrame], keys: list[str], stops: set[int], mode: str = "append") -> DataFrame:
-    """What make() writes of a stream that gets the parts in order, a part's rows of a key in one file, a file a batch. stops: after which parts the query runs until it has caught up and ends."""
+def fed(spark: SparkSession, parts: list[DataFrame], make: Callable[[DataFrame], DataFrame], keys: list[str], order: list[str], mode: str = "append") -> DataFrame:
+    """What make() writes of a stream that gets the parts one after another. A part is one batch, whatever number of files it has; the query ends after each and goes on from its checkpoint with the next. A key's rows of a part lie in order."""
     base = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
-    schema, out = None, None
-    for i, part in enumerate(parts):
-        part.repartition(*keys).write.mode("append").parquet(f"{base}/feed")
-        schema = schema or part.schema
-        if i in stops or i + 1 == len(parts):
-            out = make(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/feed"))
-            writer = out.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{base}/state").outputMode(mode)
-            if mode == "append":
-                writer.format("parquet").option("path", f"{base}/out").start().awaitTermination()
-            else:
-                writer.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{base}/out")).start().awaitTermination()
+    for part in parts:
+        part.repartition(*keys).sortWithinPartitions(*keys, *order).write.mode("append").parquet(f"{base}/feed")
+        out = make(spark.readStream.schema(parts[0].schema).parquet(f"{base}/feed"))
+        writer = out.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{base}/state").outputMode(mode)
+        if mode == "append":
+            writer.format("parquet").option("path", f"{base}/out").start().awaitTermination()
+        else:
+            writer.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{base}/out")).start().awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{base}/out")
 
 
@@ -646,10 +643,10 @@ walk AS (SELECT DISTINCT chat_id, character_id, 0::BIGINT AS step, NULL::VARCHAR
     list_reverse_sort(list_filter(w.mems, lambda m: NOT m.safe AND m.type = g.type AND {_SHARED.format(a="g", b="m")}))[1] AS near FROM walk w JOIN gated g ON g.chat_id = w.chat_id AND g.character_id = w.character_id AND g.step = w.step + 1)))
 SELECT id, decision, branch, matched_id, round(importance, 6) AS importance, sha256(content) AS content FROM walk WHERE step > 0""")
 def decisions_from_stream(spark, sf_dir):
-    """Decisions of the sequential store over three parts of the turns, the query being stopped after the second."""
+    """Decisions of the sequential store over three parts of the turns, the query being stopped after each."""
     with streams.state_in_rocksdb(spark):
         rows = durable(said_memories(spark, sf_dir).withColumn("seq", F.split("id", "-")[1].cast("long")))
-        got = fed(spark, in_turns(rows, 3, 5, turn="seq"), lambda x: streams.store_stream(x, merge=MergePolicy()), ["chat_id", "character_id"], {1})
+        got = fed(spark, in_turns(rows, 3, 5, turn="seq"), lambda x: streams.store_stream(x, merge=MergePolicy()), ["chat_id", "character_id"], ["seq", "id"])
         return got.select("id", "decision", "branch", "matched_id", F.round("importance", 6).alias("importance"), F.sha2("content", 256).alias("content"))
 
 
@@ -696,26 +693,26 @@ def summaries_from_state(spark, sf_dir):
     micros = spark.sql(f"SELECT unix_micros(TIMESTAMP '{src.AS_OF}') AS t").first()["t"]
     with streams.state_in_rocksdb(spark):
         rows = durable(said_memories(spark, sf_dir).withColumn("turn", F.split("id", "-")[1].cast("int")))
-        return shown_summaries(fed(spark, in_turns(rows, 3, 5), lambda x: streams.summary_stream(x, as_of=micros, skips=True), ["chat_id", "character_id"], {0, 1}))
+        return shown_summaries(fed(spark, in_turns(rows, 3, 5), lambda x: streams.summary_stream(x, as_of=micros, skips=True), ["chat_id", "character_id"], ["turn"]))
 
 
 @query(f"""WITH {o.TURNS} SELECT chat_id, msg_idx, string_agg(text, '|') OVER (PARTITION BY chat_id ORDER BY msg_idx ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS recent FROM turns""")
 def context_from_batches(spark, sf_dir):
-    """Recent context over three parts of the turns, the query being stopped after the first."""
+    """Recent context over three parts of the turns, the query being stopped after each."""
     with streams.state_in_rocksdb(spark):
         parts = in_turns(src.messages_from_conversations(spark, sf_dir), 2, 4, turn="msg_idx")
-        return fed(spark, parts, lambda x: streams.recent_context_stream(x, 3), ["chat_id"], {0}).select("chat_id", "msg_idx", F.array_join("recent", "|").alias("recent"))
+        return fed(spark, parts, lambda x: streams.recent_context_stream(x, 3), ["chat_id"], ["msg_idx"]).select("chat_id", "msg_idx", F.array_join("recent", "|").alias("recent"))
 
 
 @query(f"WITH {o.LOG}, again AS (SELECT * FROM log UNION ALL SELECT * FROM log WHERE ts < (SELECT min(ts) + INTERVAL 3 DAY FROM log)) SELECT id, count(*) AS uses, max(ts) AS last_use FROM again GROUP BY id")
 def usage_from_batches(spark, sf_dir):
-    """Uses over three parts of the log, of which the third brings the first days' rows once more, late; the query is stopped after the second part."""
+    """Uses over three parts of the log, of which the third brings the first days' rows once more, late; the query is stopped after each part."""
     log = src.access_log_from_events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
     start = log.agg(F.min("ts").alias("t")).first()["t"]
     after = lambda days: F.lit(start) + F.make_dt_interval(F.lit(days))
     late = log.filter(F.col("ts") < after(3))
     parts = [log.filter(F.col("ts") < after(8)), log.filter((F.col("ts") >= after(8)) & (F.col("ts") < after(16))), log.filter(F.col("ts") >= after(16)).unionByName(late)]
-    return fed(spark, parts, streams.usage_stream, ["id"], {1}, "complete").withColumn("last_use", F.col("last_use").cast("timestamp_ntz"))
+    return fed(spark, parts, streams.usage_stream, ["id"], ["ts"], "complete").withColumn("last_use", F.col("last_use").cast("timestamp_ntz"))
 
 
 #: Turns of a part have one time, ten days after the part before. A key's state goes when the watermark is past its time and the delay.
@@ -733,7 +730,7 @@ def evicted_keys_from_batches(spark, sf_dir):
     keyed = durable(rows.select(F.concat_ws("-", "user_id", "event_type").alias("turn_key"), part.alias("part")).withColumn("ts", start + F.make_dt_interval(F.col("part") * 10)))
     parts = [keyed.filter(F.col("part") == i) for i in range(4)]
     parts[3] = parts[3].unionByName(parts[0])
-    got = fed(spark, parts, lambda x: streams.once_per_turn(x, delay="1 day"), ["turn_key"], {0, 1, 2})
+    got = fed(spark, parts, lambda x: streams.once_per_turn(x, delay="1 day"), ["turn_key"], ["ts"])
     return got.select("turn_key", "part")
 
 

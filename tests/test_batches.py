@@ -1,5 +1,6 @@
 """Streams of several batches over tables of more files and later times than the smallest tables have."""
 
+import glob
 import os
 
 import duckdb
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from memspark.sources import memories as src
+from memspark.sources.durable import checkpoint_dir
 from memspark.streaming import store as streams
 
 from .test_queries import SF, normal
@@ -24,6 +26,13 @@ def equals_sql(name, spark, sf):
     assert normal(map(tuple, got.collect())) == normal(found.fetchall())
 
 
+@pytest.fixture
+def small_files(spark):
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "15")
+    yield
+    spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+
+
 @pytest.fixture(scope="module")
 def late(spark, tmp_path_factory):
     """Conversations whose times lie about the queries' present: from before it to weeks after it."""
@@ -34,6 +43,26 @@ def late(spark, tmp_path_factory):
     return sf
 
 
+def test_evicted_keys_with_parts_of_many_files(spark, small_files):
+    equals_sql("evicted_keys_from_batches", spark, SF)
+
+
+def batches(spark, name):
+    before = set(glob.glob(f"{checkpoint_dir(spark).removeprefix('file:')}/stream-*"))
+    entry.queries()[name](spark, SF)
+    (base,) = set(glob.glob(f"{checkpoint_dir(spark).removeprefix('file:')}/stream-*")) - before
+    files = len(glob.glob(f"{base}/feed/*.parquet"))
+    # With no data of its own, a batch only moves the watermark on.
+    return files, len(glob.glob(f"{base}/state/sources/0/*"))
+
+
+@pytest.mark.parametrize("name", ["decisions_from_stream", "context_from_batches", "usage_from_batches"])
+def test_a_part_is_one_batch(name, spark, small_files):
+    files, n = batches(spark, name)
+    assert files > 3
+    assert n == 3
+
+
 @pytest.mark.parametrize("name", ["resumed_summaries", "summaries_from_state"])
 def test_summaries_of_later_times(name, spark, late):
     equals_sql(name, spark, late)
