@@ -135,3 +135,15 @@ def test_shadowed_episodes_with_hot_terms(spark, hot, min_shared):
             if first:
                 expected[r[0]] = first
     assert got == expected
+
+
+def test_tokens_of_one_set_are_not_posted(spark):
+    """Words that no other text has are in no posting; they still count where the overlap is asked for."""
+    shared = [f"w{i}" for i in range(17)]
+    texts = {1: shared + ["a1", "a2", "a3"], 2: shared + ["b1", "b2", "b3", "b4"], 3: shared + ["c1", "c2", "c3"] + ["c4"] * 2 + ["c5"], 4: ["alone", "words"], 5: shared[:9]}
+    rows = spark.createDataFrame([("x", i, " ".join(w)) for i, w in texts.items()], "lang string, id long, text string")
+    tokens = F.array_distinct(F.split("text", " "))
+    sets = duplicates._sets(duplicates._classes(rows, ["lang"], tokens), ["lang"], 85)
+    assert {r["id"]: len(r["ts"]) for r in sets.collect()} == {1: 17, 2: 17, 3: 17, 5: 9}
+    got = {r["id"]: r["n_links"] for r in duplicates.overlap_report(rows, ["lang"], tokens, 85).collect()}
+    assert got == {1: 3, 2: 2, 3: 2, 4: 0, 5: 3}
