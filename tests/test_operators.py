@@ -337,3 +337,9 @@ def test_sources(spark, mem, tmp_path):
     assert one(spark, src.parse_list, " a, ,b ", None) == [["a", "b"], []]
     groups = insight.chat_groups(memories, now())
     assert insight.select_group(groups, "c", "p").first()["total_count"] == 2 and insight.select_group(groups, "x", "y").count() == 1 and insight.select_group(groups, None, None, "all").count() == 0
+
+
+def test_entities_are_chosen_in_one_pass(spark):
+    """A text of 40,000 names; each of them used to read the whole text again."""
+    names = " ".join(f"Name{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} NAME" for i in range(20_000))
+    assert one(spark, lambda c: t.entities(c, 3), f"with Anna, Anna and {names}") == [["Anna", "Nameaa", "Nameba"]]
