@@ -127,3 +127,16 @@ def test_all_reasons_of_the_gate_occur():
     found = {r[0] for r in con.execute(f"SELECT DISTINCT gate_reason FROM ({more.ORACLES['gate_reasons']})").fetchall()}
     # Punctuation becomes blanks, of which one stays, so nothing that isn't empty is empty after normalisation.
     assert len(found) == 9
+
+
+def test_postings_are_no_row_for_each_gram_and_memory(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(search, "CHUNK", 7)
+    rows = more.said_memories(spark, SF).withColumn("bucket", src.bucket_of("chat_id", "character_id"))
+    rows = rows.withColumn("content", F.when(F.substring("id", -1, 1) == "1", F.concat(F.lit("𝄞ñ𝄞"), "content")).otherwise(F.col("content")))
+    search.write_postings(rows.filter("bucket % 2 = 0"), f"{tmp_path}/p")
+    search.write_postings(rows.filter("bucket % 2 = 1"), f"{tmp_path}/p")
+    made = spark.read.parquet(f"{tmp_path}/p").filter("part >= 0")
+    assert 2 * made.count() < made.agg(F.sum("n")).first()[0]
+    for needle in ("𝄞Ñ𝄞", "ñ𝄞я", "анна и борис", "thon", "никого тут нет"):
+        got = sorted(r["id"] for r in search.search_postings(spark, rows, f"{tmp_path}/p", needle).collect())
+        assert got == sorted(r["id"] for r in insight.search(rows, needle).collect())
