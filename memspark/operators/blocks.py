@@ -9,6 +9,8 @@ from pyspark.sql.window import Window as W
 from ..functions import memory as m
 from ..functions import text as t
 from ..functions.policy import BudgetPolicy
+from ..sources.durable import durable
+from .contained import TOLD, contained, told_apart
 
 HEADER, ANCHOR_HEADER = "[Relevant Memory]", "[Lore Anchor]"
 
@@ -74,11 +76,14 @@ EXPLICIT = r"(?im)^\s*@memory-anchor\s*:\s*(.+)\s*$"
 def anchor_candidates(entries: DataFrame) -> DataFrame:
     """Allowed lore entries (from sources.lore_entries) with anchor_text: by tag or marker line."""
     comment, content = F.col("lore_comment"), F.col("lore_content")
-    allowed = F.array_contains("lore_tags", "memory-anchor") | comment.rlike(MARKER) | content.rlike(MARKER)
-    explicit = lambda c: F.nullif(t.collapse(F.regexp_extract(c, EXPLICIT, 1)), F.lit(""))
-    plain = lambda c: F.nullif(t.collapse(F.regexp_replace(c, MARKER, "")), F.lit(""))
+    # Only texts that hold the marker's word are held against the patterns.
+    marked = lambda c: F.lower(c).contains("memory-anchor")
+    allowed = F.array_contains("lore_tags", "memory-anchor") | (marked(comment) & comment.rlike(MARKER)) | (marked(content) & content.rlike(MARKER))
+    explicit = lambda c: F.when(marked(c), F.nullif(t.collapse(F.regexp_extract(c, EXPLICIT, 1)), F.lit("")))
+    plain = lambda c: F.nullif(t.collapse(F.when(marked(c), F.regexp_replace(c, MARKER, "")).otherwise(c)), F.lit(""))
     text = F.coalesce(explicit(comment), explicit(content), plain(content), plain(comment))
-    return entries.filter(allowed).withColumn("anchor_text", text).filter(F.col("anchor_text").isNotNull())
+    # Exploded, as a filter on a plain column would make the text once more.
+    return entries.filter(allowed).withColumn("anchor_text", F.explode(F.array(text))).filter(F.col("anchor_text").isNotNull())
 
 
 def anchor_blocks(entries: DataFrame, blocks: DataFrame | None = None, max_items: int = 1, max_chars: int = 220) -> DataFrame:
@@ -89,8 +94,10 @@ def anchor_blocks(entries: DataFrame, blocks: DataFrame | None = None, max_items
     """
     rows = anchor_candidates(entries).withColumn("norm", F.lower(t.collapse(F.col("anchor_text"))))
     if blocks is not None:
-        known = blocks.select("request_id", F.lower(t.collapse(F.col("block"))).alias("known"))
-        rows = rows.join(known, "request_id", "left").filter(F.coalesce(~F.col("known").contains(F.col("norm")) | (F.col("known") == ""), F.lit(True)))
+        known = durable(blocks.select("request_id", F.lower(t.collapse(F.col("block"))).alias("known")))
+        # Blocks may be long, so texts are looked up in pieces of them, and no row carries a block.
+        rows = durable(told_apart(rows.select("request_id", "pos", "anchor_text", "norm"), "norm"))
+        rows = rows.join(contained(rows, known, "request_id", "known"), ["request_id", *TOLD], "left_anti")
     rows = rows.withColumn("copy", F.row_number().over(W.partitionBy("request_id", "norm").orderBy("pos"))).filter("copy = 1")
     order = W.partitionBy("request_id").orderBy("pos")
     rows = rows.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= max_items)

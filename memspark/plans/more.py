@@ -413,7 +413,7 @@ KNOWN_BLOCKS = f"SELECT 'r' || (page_id % 20) AS request_id, string_agg('- ' ||
 
 def plain_pages(spark, sf_dir) -> DataFrame:
     html = F.regexp_replace("html", r"(?s)<script.*?</script>|<style.*?</style>", " ")
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", t.collapse(F.regexp_replace(html, "<[^>]*>", " ")).alias("plain"), F.concat(F.lit("r"), F.col("page_id") % 20).alias("request_id"))
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.explode(F.array(t.collapse(F.regexp_replace(html, "<[^>]*>", " ")))).alias("plain"), F.concat(F.lit("r"), F.col("page_id") % 20).alias("request_id"))
 
 
 def lore(spark, sf_dir) -> DataFrame:

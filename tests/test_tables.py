@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from memspark.functions import text as t
-from memspark.operators import changes, insight, lemmas, overlap, search
+from memspark.operators import blocks, changes, contained, insight, lemmas, overlap, search
 from memspark.plans import more
 from memspark.sources import memories as src
 
@@ -140,3 +140,22 @@ def test_postings_are_no_row_for_each_gram_and_memory(spark, tmp_path, monkeypat
     for needle in ("𝄞Ñ𝄞", "ñ𝄞я", "анна и борис", "thon", "никого тут нет"):
         got = sorted(r["id"] for r in search.search_postings(spark, rows, f"{tmp_path}/p", needle).collect())
         assert got == sorted(r["id"] for r in insight.search(rows, needle).collect())
+
+
+def test_needles_are_found_in_pieces_of_a_text(spark, monkeypatch):
+    monkeypatch.setattr(contained, "PIECE", 50)
+    texts = spark.createDataFrame([("a", "".join(chr(97 + i * i % 23) for i in range(400)) + "ñ𝄞" * 3), ("b", ""), ("c", "x" * 500)], "k string, text string")
+    whole = {r["k"]: r["text"] for r in texts.collect()}
+    a = whole["a"]
+    needles = [("a", n) for n in (a, a[:1], a[49:51], a[-3:], a[7:200], a[7:200] + "!", "!" + a[7:200], a[37:166], a[37:101], a[37:102], a + "a", "")]
+    needles += [("b", "x"), ("c", "x" * 129), ("c", "x" * 501), ("d", a[:9])]
+    rows = contained.told_apart(spark.createDataFrame(needles, "k string, needle string"), "needle")
+    got = rows.join(contained.contained(rows, texts, "k", "text"), ["k", *contained.TOLD], "left_semi")
+    assert sorted((r["k"], r["needle"]) for r in got.collect()) == sorted((k, n) for k, n in needles if n and n in whole.get(k, ""))
+
+
+def test_no_entry_is_joined_with_its_block(spark):
+    entries = src.lore_entries(more.plain_pages(spark, SF).select("request_id", F.col("page_id").alias("pos"), F.col("page_id").cast("string").alias("id"), F.lit("memory-anchor").alias("tags"), F.col("plain").alias("entry")))
+    known = spark.createDataFrame([("r0", "x")], "request_id string, block string")
+    plan = blocks.anchor_blocks(entries, known)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains(known" not in plan
