@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import memory as m
+from ..functions import policy
 from ..functions import text as t
 from ..functions.policy import ScorePolicy
 from ..sources.durable import durable
@@ -30,7 +31,7 @@ def query_features(requests: DataFrame, p: ScorePolicy | None = None, lemmas: di
         {
             "query_keywords": t.keywords(q, p.keywords, lemmas), "query_entities": t.entities(q, p.entities, lemmas), "query_cues": t.relationship_cues(q),
             "recent_keywords": F.flatten(F.transform(recent, lambda x: t.keywords(x, p.keywords, lemmas))), "recent_entities": F.flatten(F.transform(recent, lambda x: t.entities(x, p.entities, lemmas))),
-            "recent_cues": F.flatten(F.transform(recent, t.relationship_cues)), "scene_query": t.is_scene_query(q),
+            "recent_cues": F.flatten(F.transform(F.transform(recent, lambda x: F.lower(F.coalesce(x, F.lit("")))), lambda x: t.cues_in(x, policy.RELATIONSHIP_CUES))), "scene_query": t.is_scene_query(q),
         }
     )
     related = F.size("query_cues") > 0

@@ -343,3 +343,13 @@ def test_entities_are_chosen_in_one_pass(spark):
     """A text of 40,000 names; each of them used to read the whole text again."""
     names = " ".join(f"Name{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} NAME" for i in range(20_000))
     assert one(spark, lambda c: t.entities(c, 3), f"with Anna, Anna and {names}") == [["Anna", "Nameaa", "Nameba"]]
+
+
+def test_patterns_are_tried_only_on_texts_that_hold_what_they_require(spark):
+    patterns = [r"\bкак .* относ\w*", r"\bчто у (?:них|неё) сейчас\b", r"^\s*они\b", r"ab?c", r"(?i)loud", r"one|two", r"x{2}y"]
+    assert [t.required(p) for p in patterns] == [["как ", " относ"], ["что у "], [], ["a"], [], [], []]
+    texts = ["и как он относится", "как относится", "что у неё сейчас", "что у него сейчас", " они", "но они", "ac", "bc", "LOUD", "two", "xxy", "xy", "", None]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string")
+    for chosen in [patterns, *([p] for p in patterns)]:
+        plain = F.col("x").rlike("(?U)" + "|".join(f"(?:{p})" for p in chosen))
+        assert rows.filter(~t.matches(F.col("x"), chosen).eqNullSafe(plain)).count() == 0
