@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import memory as m
 from ..functions import text as t
+from ..sources.durable import durable
 from .duplicates import near_duplicate_candidates, near_duplicate_pairs, shadowed_by_stable
 
 SCOPE = ["chat_id", "character_id"]
@@ -96,7 +97,10 @@ def consolidation_candidates(memories: DataFrame, as_of: Column, percent: int =
     pairs: a row for each near duplicate of a memory, as the report of one chat lists them; else one row a memory, whatever the size of its group.
     """
     scope = SCOPE if scope is None else scope
-    rows = m.cards(list_position(memories, scope), as_of)
+    # Written once, with no more than what the three kinds look at, so that texts are read and rows are listed once.
+    memories = memories.withColumn("norm", t.normalize_report(F.col("content"))).drop("content", "normalized_content")
+    signals = F.struct("metadata.entities", "metadata.keywords", "metadata.review_status").alias("metadata")
+    rows = durable(m.cards(list_position(memories, scope), as_of).select(*scope, "id", "norm", "pinned", "layer", "pos", "freshness", "activity", signals))
     named = lambda c: (F.lit(c).alias("type"), F.lit(REASONS[c]).alias("reason"))
     if pairs:
         near = near_duplicate_pairs(rows, percent, scope).select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("related_id")), F.struct(F.col("b").alias("id"), F.col("a").alias("related_id")))).alias("p"))
@@ -112,7 +116,8 @@ def consolidation_candidates(memories: DataFrame, as_of: Column, percent: int =
 
 def consolidation_summary(candidates: DataFrame) -> DataFrame:
     """One row: memories with any candidate, and with each type."""
-    return candidates.agg(F.count_distinct("id").alias("total_candidates"), *[F.count_distinct(F.when(F.col("type") == x, F.col("id"))).alias(x) for x in CANDIDATE_TYPES])
+    each = candidates.filter("id is not null").groupBy("id").agg(*[F.bool_or(F.col("type") == x).alias(x) for x in CANDIDATE_TYPES])
+    return each.agg(F.count("*").alias("total_candidates"), *[F.count_if(x).alias(x) for x in CANDIDATE_TYPES])
 
 
 def sorted_memories(memories: DataFrame, sort: str, as_of: Column) -> DataFrame:

@@ -1,6 +1,7 @@
 """Overlap joins on token sets: the grid of token blocks against all pairs, and how a token that every text holds is dealt."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -147,3 +148,76 @@ def test_tokens_of_one_set_are_not_posted(spark):
     assert {r["id"]: len(r["ts"]) for r in sets.collect()} == {1: 17, 2: 17, 3: 17, 5: 9}
     got = {r["id"]: r["n_links"] for r in duplicates.overlap_report(rows, ["lang"], tokens, 85).collect()}
     assert got == {1: 3, 2: 2, 3: 2, 4: 0, 5: 3}
+
+
+def told_memories(seed, sizes):
+    """Rows (id, chat, text, pos, pinned, status, layer, entities, keywords) of chats of these sizes: near copies, equal texts, texts without words, null texts."""
+    rng, rows = random.Random(seed), []
+    for chat, n in enumerate(sizes):
+        texts = []
+        for pos in range(1, n + 1):
+            base = rng.choice(texts) if texts and rng.random() < 0.5 else " ".join(f"w{rng.randint(0, 60)}" for _ in range(rng.choice([1, 4, 12])))
+            text = rng.choice([base, base, base + " more", base.replace(" ", ", ", 1), "?", "??", "", None])
+            texts.append(base)
+            some = lambda k: rng.sample([f"T{i}" for i in range(9)], rng.randint(0, k))
+            rows.append((f"{chat}-{pos}", f"c{chat}", text, pos, rng.random() < 0.1, rng.choice([None, None, "reviewed_keep", "other"]), rng.choice(["stable", "episodic"]), some(3), some(4)))
+    return rows
+
+
+def told_frame(spark, rows):
+    flat = spark.createDataFrame(rows, "id string, chat_id string, content string, pos int, pinned boolean, review_status string, layer string, entities array<string>, keywords array<string>")
+    return flat.withColumns({"character_id": F.lit("x"), "activity": F.lit("low_use"), "metadata": F.struct("entities", "keywords", "review_status")}).drop("entities", "keywords", "review_status")
+
+
+def told_links(rows):
+    """Pairs of near duplicates, the first in the list first, and the first stable memory of shadowed episodes."""
+    norm = lambda x: re.sub(r"[^\w\s]", " ", " ".join(x.lower().split()))
+    near, shadowed = set(), {}
+    for a in rows:
+        for b in rows:
+            if a[1] != b[1]:
+                continue
+            if a[3] < b[3] and not (a[4] or b[4]) and a[5] != "reviewed_keep" and a[2] is not None and b[2] is not None:
+                x, y = set(norm(a[2]).split()), set(norm(b[2]).split())
+                if norm(a[2]) == norm(b[2]) or (x and y and 100 * len(x & y) >= 85 * min(len(x), len(y))):
+                    near.add((a[0], b[0]))
+            if a[6] == "episodic" and not a[4] and a[5] != "reviewed_keep" and b[6] == "stable" and len({*a[7], *a[8]} & {*b[7], *b[8]}) >= 2:
+                shadowed.setdefault(a[0], b[0])
+    return near, shadowed
+
+
+@pytest.mark.parametrize("few", [0, 6, 1000])
+def test_pairs_of_small_scopes_are_those_of_large_ones(spark, monkeypatch, few):
+    monkeypatch.setattr(duplicates, "FEW", few)
+    rows = told_memories(4, [1, 2, 6, 7, 25, 60])
+    memories = told_frame(spark, rows)
+    near, shadowed = told_links(rows)
+    assert {(r["a"], r["b"]) for r in duplicates.near_duplicate_pairs(memories).collect()} == near
+    place = {r[0]: r[3] for r in rows}
+    partners = {}
+    for a, b in near:
+        partners.setdefault(a, []).append(b)
+        partners.setdefault(b, []).append(a)
+    # The first that stands before it in the list, else the last.
+    expected = {i: min(before, key=place.get) if (before := [x for x in all_ if place[x] < place[i]]) else max(all_, key=place.get) for i, all_ in partners.items()}
+    got = duplicates.near_duplicate_candidates(memories).collect()
+    assert {r["id"]: r["related_id"] for r in got} == expected
+    assert len(got) == len(expected) > 30
+    assert {r["id"]: r["related_id"] for r in duplicates.shadowed_by_stable(memories).collect()} == shadowed
+
+
+def test_small_scopes_need_no_tables_of_tokens_or_terms(spark, monkeypatch):
+    rows = told_memories(8, [8] * 12)
+    memories = told_frame(spark, rows)
+    near, shadowed = told_links(rows)
+
+    def refused(*args):
+        raise AssertionError("tokens of a small scope are made rows")
+
+    monkeypatch.setattr(duplicates, "ranked_sets", refused)
+    written = []
+    monkeypatch.setattr(duplicates, "durable", lambda df: written.append(1) or df.checkpoint())
+    assert {(r["a"], r["b"]) for r in duplicates.near_duplicate_pairs(memories).collect()} == near
+    assert {r["id"] for r in duplicates.near_duplicate_candidates(memories).collect()} == {x for p in near for x in p}
+    assert {r["id"]: r["related_id"] for r in duplicates.shadowed_by_stable(memories).collect()} == shadowed
+    assert len(written) <= 4
