@@ -7,6 +7,7 @@ Only one human label exists, so the categories before it are labelled weakly: hu
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -211,9 +212,19 @@ def fit(docs: DataFrame, labels: DataFrame, seeds: dict[str, tuple[str, ...]] |
 
     # Of rows that share an id the one with the smallest list of words counts, whatever the order of tasks.
     hashed = rows.mapInArrow(run, "doc_id long, toxic int, words array<int>").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("words").alias("words"))
-    got = hashed.toArrow().sort_by("doc_id")
-    if not got.num_rows:
-        return None
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if some := [b for b in batches if b.num_rows]:
+            yield pa.record_batch([pa.array([pickle.dumps(fit_table(pa.Table.from_batches(some), seeds))], pa.binary())], ["chain"])
+
+    # The sample is bounded, so one task holds it; the driver gets the chain alone.
+    got = hashed.coalesce(1).mapInArrow(learn, "chain binary").toArrow()
+    return pickle.loads(got.column("chain")[0].as_py()) if got.num_rows else None
+
+
+def fit_table(got: pa.Table, seeds: dict[str, tuple[str, ...]]) -> Chain:
+    """The chain fitted on the rows (doc_id, toxic, words: hashes) of a sample, whatever their order."""
+    got = got.sort_by("doc_id")
     lists = got.column("words").combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
     words = lists.flatten().to_numpy(zero_copy_only=False)

@@ -377,3 +377,13 @@ def test_the_secret_comes_from_the_session_and_its_absence_is_told(spark):
         assert pii.session_key(spark) == b"s3"
     finally:
         spark.conf.unset(pii.KEY_SETTING)
+
+
+def test_the_sample_is_fitted_off_the_driver(spark, monkeypatch):
+    rows = [(i, f"word{i % 7} {'stupid fool' if i % 3 == 0 else 'kind friend'} text{i}") for i in range(60)]
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int")
+    taken, real = [], type(docs).toArrow
+    monkeypatch.setattr(type(docs), "toArrow", lambda self: taken.append(real(self)) or taken[-1])
+    chain = toxicity.fit(docs, known)
+    assert [got.num_rows for got in taken] == [1] and chain.predict(toxicity.word_hashes("stupid fool", {}))[-1] > 0.5
+    assert toxicity.fit(docs, known.filter("toxic is null")) is None
