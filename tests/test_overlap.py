@@ -3,6 +3,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -221,3 +222,28 @@ def test_small_scopes_need_no_tables_of_tokens_or_terms(spark, monkeypatch):
     assert {r["id"] for r in duplicates.near_duplicate_candidates(memories).collect()} == {x for p in near for x in p}
     assert {r["id"]: r["related_id"] for r in duplicates.shadowed_by_stable(memories).collect()} == shadowed
     assert len(written) <= 4
+
+
+def test_a_set_travels_to_few_blocks(spark, monkeypatch):
+    """What a set is sent to doesn't grow with the number of sets as long as tasks can hold more of them."""
+    monkeypatch.setattr(overlap, "SETS", 16)
+    common = [f"c{j}" for j in range(10)]
+    rows = [(i, "s", {*common, *(f"x{i // 2}-{j}" for j in range(20 + i % 3))}) for i in range(400)] + [(1000 + i, "s", set(common[i % 4 : i % 4 + 5])) for i in range(40)]
+    sets = frame(spark, rows).select("scope", "id", F.col("words").alias("tokens"), F.size("words").alias("n"), *[F.lit(0).cast("long").alias(c) for c in ("m", "last", "first")])
+    most = overlap._proposed(overlap.ranked_sets(sets, ["scope"], 85))[0].groupBy("k").agg(F.count("*").alias("blocks"), F.sum(F.size("others")).alias("others")).orderBy(F.desc("others")).first()
+    assert most["others"] >= 400 and most["blocks"] <= 14
+    got = duplicates.overlap_report(frame(spark, rows), ["scope"], F.col("words"))
+    assert {r["id"]: r["n_links"] for r in got.collect()} == brute(rows)
+
+
+def test_many_partners_are_looked_up_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "PIECE", 50)
+    rows = texts(8, 150, True)
+    block = overlap._Block(pa.table({"k": range(len(rows)), "ts": [sorted(hash_of(x) for x in s | {"the"}) for _, _, s in rows]}))
+    left = pa.table({"ts": [[hash_of("the"), hash_of("of")], []], "others": [list(range(len(rows)))[::-1], [3]], "needed": [1, 0]})
+    found = {row: (at.tolist(), shared.tolist()) for row, at, shared in block.asking(left)}
+    assert found[0] == (list(range(len(rows)))[::-1], [1 + ("of" in s) for _, _, s in rows][::-1]) and found[1] == ([3], [0])
+
+
+def hash_of(word):
+    return sum(ord(c) * 131**i for i, c in enumerate(word)) % 2**40
